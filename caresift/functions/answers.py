@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def without_markup(response: Column) -> Column:
 def multilingual_letter(response: Column, prefixes: Sequence[str] = K.ANSWER_PREFIXES, letters: str = K.ANSWER_LETTERS) -> Column:
     """PRJ-12: letter after the first prefix (in list order) that is found, as A–D; null without any.
 
-    ``response`` should come from ``without_markup``.  Patterns that cannot match are skipped by one cheap test: no
+    ``response`` should be a column made with ``without_markup`` (it is read once per prefix).  Patterns that cannot match are skipped by one cheap test: no
     prefix matches a text without its last character, a colon of one kind or another.
     """
     hits = [found(response, f"(?i){p}[ \\t]*({letters})") for p in prefixes]
@@ -89,22 +89,38 @@ def _bag(normalised: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalised, r"\s+"), lambda t: t != ""))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: lambda bodies have no common-subexpression elimination."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _answer_parts(c: Column) -> Column:
+    def with_bag(text: Column) -> Column:
+        bag = _bag(text)
+        return F.struct(text.alias("text"), bag.alias("bag"), F.filter(bag, _is_number).alias("numbers"))
+
+    return _bound(normalized_answer(c), with_bag)
+
+
+def _scored(p: Column, g: Column) -> Column:
+    def of(common: Column) -> Column:
+        precision = F.when(F.size(p["bag"]) == 0, F.lit(1.0)).otherwise(common / F.size(p["bag"]))
+        recall = F.when(F.size(g["bag"]) == 0, F.lit(1.0)).otherwise(common / F.size(g["bag"]))
+        f1 = F.when((precision == 0) & (recall == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall)) * 100
+        gate = (F.size(g["numbers"]) == 0) | F.arrays_overlap(g["numbers"], p["numbers"])
+        return F.struct(
+            F.when(p["text"] == g["text"], 1.0).otherwise(0.0).alias("em"), F.when(gate, F.round(f1, 2)).otherwise(F.lit(0.0)).alias("f1")
+        )
+
+    return _bound(F.size(F.array_intersect(p["bag"], g["bag"])).cast("double"), of)
+
+
 def span_scores(predicted: Column, gold: Column) -> Column:
     """PRJ-15: ``struct<em, f1>`` of one prediction against one reference.
 
     F1 of the token sets, times 100, zero when the reference has numbers and none of them is predicted.
     """
-    p, g = normalized_answer(predicted), normalized_answer(gold)
-    pb, gb = _bag(p), _bag(g)
-    common = F.size(F.array_intersect(pb, gb)).cast("double")
-    precision = F.when(F.size(pb) == 0, F.lit(1.0)).otherwise(common / F.size(pb))
-    recall = F.when(F.size(gb) == 0, F.lit(1.0)).otherwise(common / F.size(gb))
-    f1 = F.when((precision == 0) & (recall == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall)) * 100
-    gold_numbers = F.filter(gb, _is_number)
-    gate = (F.size(gold_numbers) == 0) | F.arrays_overlap(gold_numbers, F.filter(pb, _is_number))
-    return F.struct(
-        F.when(p == g, 1.0).otherwise(0.0).alias("em"), F.when(gate, F.round(f1, 2)).otherwise(F.lit(0.0)).alias("f1")
-    )
+    return _bound(_answer_parts(predicted), lambda p: _bound(_answer_parts(gold), lambda g: _scored(p, g)))
 
 
 def loosely_normalized(c: Column) -> Column:
@@ -120,11 +136,16 @@ def fuzzy_match(a: Column, b: Column) -> Column:
 
 def best_span(predicted: Column, references: Column) -> Column:
     """PRJ-15: best exact match and best F1 over the non-blank references."""
-    scored = F.transform(F.filter(references, X.filled), lambda r: span_scores(predicted, r))
-    return F.struct(
-        F.array_max(F.transform(scored, lambda s: s["em"])).alias("em"),
-        F.array_max(F.transform(scored, lambda s: s["f1"])).alias("f1"),
-    )
+    def against(p: Column) -> Column:
+        return F.transform(F.filter(references, X.filled), lambda r: _bound(_answer_parts(r), lambda g: _scored(p, g)))
+
+    def best(scores: Column) -> Column:
+        return F.struct(
+            F.array_max(F.transform(scores, lambda s: s["em"])).alias("em"),
+            F.array_max(F.transform(scores, lambda s: s["f1"])).alias("f1"),
+        )
+
+    return _bound(_bound(_answer_parts(predicted), against), best)
 
 
 def judged_yes(judgement: Column) -> Column:
