@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from caresift import constants as K
 from caresift.functions import text as X
 
-MAX_INLINE = 20_000
+MAX_INLINE = 2_000
 MAX_CENTROIDS = 4_096
 
 
@@ -37,7 +39,7 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
         if not sample:
             return df.join(phrases, F.lit(False))
         names = phrases.columns
-        table = F.array(*[F.struct(*[F.lit(row[n]).alias(n) for n in names]) for row in sample])
+        table = F.from_json(F.lit(json.dumps([row.asDict() for row in sample])), ArrayType(phrases.schema))  # folds to one literal
         return (
             df.withColumn("_t", text)
             .withColumn("_hit", F.explode(F.filter(table, lambda p: F.contains(F.col("_t"), p[phrase]))))
