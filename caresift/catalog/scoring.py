@@ -40,18 +40,16 @@ def ag_10(spark, d):
 
 
 @query("ag_10_metric_rows", """
-    WITH e AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS s, l_quantity - 25 AS p1, l_returnflag = 'R' AS m1, l_discount * 100 - 4 AS p2, l_linestatus = 'O' AS m2 FROM lineitem),
-    t AS (SELECT k, n, s, unnest(['a', 'b', 'c']) AS metric, unnest([p1, p1, p2]) AS points, unnest([m1, m1, m2]) AS met FROM e UNION ALL SELECT k, n, s, unnest(['overall_score', 'x:all', 'overall_score', 'x:all']), unnest([p1, p1, p2, p2]), unnest([m1, m1, m2, m2]) FROM e),
-    v AS (SELECT k, n, s, metric, sum(CASE WHEN met THEN points ELSE 0 END) / nullif(sum(CASE WHEN points > 0 THEN points ELSE 0 END), 0) AS value, count(*) AS c FROM t GROUP BY 1, 2, 3, 4)
+    WITH e AS (SELECT row_number() OVER () AS k, l_quantity - 25 AS p1, l_returnflag = 'R' AS m1, l_discount * 100 - 4 AS p2, l_linestatus = 'O' AS m2 FROM lineitem),
+    t AS (SELECT k, unnest(['a', 'b', 'c']) AS metric, unnest([p1, p1, p2]) AS points, unnest([m1, m1, m2]) AS met FROM e UNION ALL SELECT k, unnest(['overall_score', 'x:all', 'overall_score', 'x:all']), unnest([p1, p1, p2, p2]), unnest([m1, m1, m2, m2]) FROM e),
+    v AS (SELECT k, metric, sum(CASE WHEN met THEN points ELSE 0 END) / nullif(sum(CASE WHEN points > 0 THEN points ELSE 0 END), 0) AS value FROM t GROUP BY 1, 2)
     SELECT metric, count(value)::BIGINT AS rows_, round(sum(value), 3) AS total FROM v GROUP BY 1""")
 def ag_10b(spark, d):
     item = lambda p, m, *tags: F.struct(p.alias("points"), m.alias("criteria_met"), F.array(*[F.lit(t) for t in tags]).alias("tags"))
     rubric = F.array(item(F.col("l_quantity") - 25, F.col("l_returnflag") == "R", "a", "b"), item(F.col("l_discount") * 100 - 4, F.col("l_linestatus") == "O", "c"))
-    # one example per distinct (order, line, supplier); rows that agree in all three are merged before scoring
-    rows = (table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", rubric.alias("r"))
-            .groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.flatten(F.collect_list("r")).alias("rubric_items"))
-            .withColumn("example_tags", F.array(F.lit("x:all"))))
-    rows = S.metric_rows(rows, ["l_orderkey", "l_linenumber", "l_suppkey"])
+    # every line is an example with two rubric items
+    examples = table(spark, d, "lineitem").select("l_orderkey", rubric.alias("rubric_items"), F.array(F.lit("x:all")).alias("example_tags"))
+    rows = S.metric_rows(examples, ["l_orderkey"])
     return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("rows_"), F.round(F.sum("value"), 3).alias("total"))
 
 
