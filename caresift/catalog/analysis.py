@@ -87,9 +87,9 @@ WORST_SQL = f"""{S_SQL}, r AS (SELECT model, prompt_id, score, row_number() OVER
     FROM r, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE n >= k GROUP BY 1, 2, 3)"""
 
 
-@query("ag_31_worst_at_k_per_prompt", f"WITH {WORST_SQL} SELECT model, prompt_id, k, round(value, 6) AS value FROM w")
+@query("ag_31_worst_at_k_per_prompt", f"WITH {WORST_SQL} SELECT model, prompt_id, k, round(value + 1e-10, 6) AS value FROM w")
 def ag_31(spark, d):
-    return A.worst_at_k(samples(spark, d), [1, 2, 3, 4]).withColumn("value", r6(F.col("value")))
+    return A.worst_at_k(samples(spark, d), [1, 2, 3, 4]).withColumn("value", r6(F.col("value") + 1e-10))
 
 
 @query("ag_31_worst_at_k", f"WITH {WORST_SQL} SELECT model, k, round(greatest(0, least(1, avg(value))), 6) AS value, count(*)::BIGINT AS prompts FROM w GROUP BY 1, 2")
@@ -226,7 +226,7 @@ def ag_46(spark, d):
     return out.select("model", F.col("model_rank").cast("bigint").alias("model_rank"), "cluster", *[r6(F.col(c)).alias(c) for c in ("success_rate", "lower", "upper")])
 
 
-@query("set_06_same_metrics", "WITH m AS (SELECT DISTINCT c_nationkey AS model, c_mktsegment || floor(c_acctbal / 500) AS metric FROM customer) SELECT metric, count(*)::BIGINT AS runs FROM m GROUP BY 1 HAVING count(*) < (SELECT count(DISTINCT model) FROM m)")
+@query("set_06_same_metrics", "WITH m AS (SELECT DISTINCT c_nationkey AS model, c_mktsegment || floor(c_acctbal / 500)::BIGINT AS metric FROM customer) SELECT metric, count(*)::BIGINT AS runs FROM m GROUP BY 1 HAVING count(*) < (SELECT count(DISTINCT model) FROM m)")
 def set_06(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("model"), F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 500).cast("string")).alias("metric"))
     return A.same_metrics(rows)

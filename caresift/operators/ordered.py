@@ -88,31 +88,22 @@ def exact_quantiles(
 
     Works on distinct values and their counts, so no task ever holds all values of a group.
     """
-    counts = value_counts(df, keys, value, hot_rows)
+    counts = value_counts(df.select(*keys, F.col(value).alias("_v")), keys, "_v", hot_rows)
     sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     sized = counts.join(sizes, list(keys)) if keys else counts.withColumn("n", sizes.scalar())
 
     def covers(place: Column) -> Column:
-        return F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), F.col(value))
+        return F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), F.col("_v"))
 
-    picks = []
+    picks, results = [], []
     for i, q in enumerate(at):
         place = F.lit(float(q)) * (F.col("n") - 1)
-        picks += [
-            F.max(covers(F.floor(place))).alias(f"_lo{i}"),
-            F.max(covers(F.ceil(place))).alias(f"_hi{i}"),
-        ]
+        picks += [F.max(covers(F.floor(place))).alias(f"_lo{i}"), F.max(covers(F.ceil(place))).alias(f"_hi{i}")]
+        step = F.col(f"_hi{i}") - F.col(f"_lo{i}")
+        results.append(F.struct(
+            F.lit(float(q)).alias("q"), (F.col(f"_lo{i}") + step * (place - F.floor(place))).cast("double").alias("value")
+        ))
     picked = sized.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    results = []
-    for i, q in enumerate(at):
-        place = F.lit(float(q)) * (F.col("n") - 1)
-        part = place - F.floor(place)
-        results.append(
-            F.struct(
-                F.lit(float(q)).alias("q"),
-                (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).cast("double").alias("value"),
-            )
-        )
     return picked.select(*keys, "n", F.explode(F.array(*results)).alias("r")).select(*keys, "n", "r.q", "r.value")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 MCQ = "id string, question string, opa string, opb string, opc string, opd string, cop int, exp string, " \
       "subject_name string, topic_name string"
 LITERATURE = "pubid long, question string, long_answer string, final_decision string, " \
@@ -13,7 +11,7 @@ DIALOGUE = "row_idx long, input string, output string"
 
 CATEGORIZED = "id string, dataset string, subject_name string, topic_name string, question string, " \
               "primary_category string, secondary_category string, quality_tier string, has_explanation boolean"
-CATEGORIZED_COLUMNS = [f.name for f in T.StructType.fromDDL(CATEGORIZED).fields]
+CATEGORIZED_COLUMNS = [column.split()[0] for column in CATEGORIZED.split(", ")]
 CHUNK = "source_table string, source_id string, chunk_text string, embedding array<float>, model string"
 
 EVAL_EXAMPLE = (

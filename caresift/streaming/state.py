@@ -87,10 +87,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # --- STR-02 ----------------------------------------------------------------------------------------------------
 
-MEMORY = T.StructType.fromDDL(
-    "user_id string, kind string, fact string, category string, mentions int, first_seen string, last_seen string, graduated_at string"
-)
-_FACT = T.StructType.fromDDL("fact string, category string, mentions int, first_seen string, last_seen string")
+MEMORY = "user_id string, kind string, fact string, category string, mentions int, first_seen string, last_seen string, graduated_at string"
+MEMORY_COLUMNS = [column.split()[0] for column in MEMORY.split(", ")]
+FACT_COLUMNS = ["fact", "category", "mentions", "first_seen", "last_seen"]
+_FACT = T.StructType([T.StructField(n, T.IntegerType() if n == "mentions" else T.StringType()) for n in FACT_COLUMNS])
 
 
 def apply_events(facts: list[dict], events: Iterator[tuple], graduate_at: int = GRADUATE_AT, capacity: int = MAX_FACTS) -> list[dict]:
@@ -125,16 +125,16 @@ class FactMemory(StatefulProcessor):
         self._facts = handle.getListState("facts", _FACT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        facts = [dict(zip(_FACT.names, r)) for r in self._facts.get()]
+        facts = [dict(zip(FACT_COLUMNS, r)) for r in self._facts.get()]
         # a micro-batch is bounded by the stream's rate limit; its rows come unordered
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         days = batch["ts"].dt.strftime("%Y-%m-%d")
         graduated = apply_events(facts, zip(batch["op"], batch["fact"], batch["old_fact"], batch["category"], days))
-        self._facts.put([tuple(f[n] for n in _FACT.names) for f in facts])
+        self._facts.put([tuple(f[n] for n in FACT_COLUMNS) for f in facts])
         out = [{**f, "kind": "fact", "graduated_at": None} for f in facts] + [{**g, "kind": "graduated"} for g in graduated]
         if not facts:
             out.append({"kind": "empty"})
-        yield pd.DataFrame([{n: {"user_id": key[0], **row}.get(n) for n in MEMORY.names} for row in out]).astype({"mentions": "Int32"})
+        yield pd.DataFrame([{n: {"user_id": key[0], **row}.get(n) for n in MEMORY_COLUMNS} for row in out]).astype({"mentions": "Int32"})
 
     def close(self) -> None:
         pass
