@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caresift import constants as K
 from caresift.catalog.registry import (
-    MESH_RULES, PHARMA_RULES, QUESTION_RULES, TOPIC_RULES, query, r6, sql_any, sql_count, sql_first, sql_map, sql_text, table,
+    MESH_RULES, PHARMA_RULES, QUESTION_RULES, TOPIC_RULES, query, r6, sql_any, sql_count, sql_first, sql_map, sql_text, table, texts,
 )
 from caresift.functions import rules as RU
 from caresift.functions import text as X
@@ -24,7 +24,7 @@ WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(8239)||chr(
 def records(spark, d):
     """Documents as exam records."""
     subject = F.element_at(F.create_map(*[F.lit(x) for p in SUBJECTS.items() for x in p]), F.col("lang"))
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents", "doc_id", "text", "lang", "source").select(
         F.col("doc_id").alias("id"), F.col("text").alias("question"), F.col("text").alias("exp"), subject.alias("subject_name"),
         F.col("source").alias("topic_name"), "lang", "source")
 
@@ -64,10 +64,11 @@ FIXTURE_SQL = f"""SELECT c.doc_id, d.source AS dataset, d.lang AS subject_name,
 
 def categorized(spark, d):
     """All documents in the common schema: scored categories, a tier by length, explained when labelled good."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    prepared = docs.withColumn("_q", F.lower(X.strip(F.col("text")))).withColumns(
-        {"_h": RU.hit_array(F.col("_q"), QUESTION_RULES), "_m": RU.count_array(F.col("_q"), MESH_RULES)})
-    ranked = C._with_ranking(prepared, RU.ranked_categories([(QUESTION_RULES, F.col("_h"), 2), (MESH_RULES, F.col("_m"), 1)]), K.MEDICATIONS)
+    docs, labels = texts(spark, d, "documents", "doc_id", "text", "source", "lang", "n_chars"), table(spark, d, "labels")
+    lowered = F.lower(X.strip(F.col("text")))
+    scored = RU.scored_categories(
+        [(QUESTION_RULES, RU.hit_array(lowered, QUESTION_RULES), 2), (MESH_RULES, RU.count_array(lowered, MESH_RULES), 1)], K.MEDICATIONS)
+    ranked = docs.withColumn("_c", scored).withColumns({"primary_category": F.col("_c.primary"), "secondary_category": F.col("_c.secondary")})
     n = F.col("n_chars")
     tier = F.when(n > 3000, "TIER_A").when(n > 1000, "TIER_B").when(n > 300, "TIER_C").otherwise("TIER_D")
     joined = ranked.withColumn("quality_tier", tier).join(labels.select("doc_id", "quality"), "doc_id", "left")
@@ -76,13 +77,13 @@ def categorized(spark, d):
 
 @query("cls_01_keyword", f"SELECT doc_id, {sql_any('lower(text)', ['Eauoi'.lower(), 'ntth', 'schung'])} AS hit FROM documents")
 def cls_01(spark, d):
-    rows = table(spark, d, "documents").withColumn("t", F.lower("text"))
-    return rows.select("doc_id", RU.any_keyword(F.col("t"), ["eauoi", "ntth", "schung"]).alias("hit"))
+    rows = texts(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", RU.any_keyword(F.lower("text"), ["eauoi", "ntth", "schung"]).alias("hit"))
 
 
 @query("cls_02_first_rule", f"SELECT category, count(*)::BIGINT AS n FROM (SELECT {sql_first('lower(text)', QUESTION_RULES)} AS category FROM documents) GROUP BY category")
 def cls_02(spark, d):
-    rows = table(spark, d, "documents").select(F.lower("text").alias("t")).select(RU.first_match(F.col("t"), QUESTION_RULES).alias("category"))
+    rows = texts(spark, d, "documents", "text").select(RU.first_match(F.lower("text"), QUESTION_RULES).alias("category"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,7 +107,7 @@ def cls_03(spark, d):
     f"SELECT doc_id, lower(lang || ' ' || text) AS m, lower(trim(text, {WS})) AS q FROM documents",
     [(MESH_RULES, lambda r: sql_count("m", r.keywords), 1), (QUESTION_RULES, lambda r: sql_any("q", r.keywords) + "::INT", 2)], "doc_id", K.MEDICATIONS))
 def cls_04(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.struct(F.array("lang", "text").alias("meshes")).alias("context"))
+    rows = texts(spark, d, "documents", "doc_id", "text", "lang").select("doc_id", F.col("text").alias("question"), F.struct(F.array("lang", "text").alias("meshes")).alias("context"))
     return C.categorize_literature(rows, MESH_RULES, QUESTION_RULES).select("doc_id", "primary_category", "secondary_category")
 
 
@@ -143,7 +144,7 @@ def _alternatives(patterns):
       WHEN length(t) < 50 AND regexp_matches(t, {_alternatives(K.MINIMAL_PATTERNS)}) THEN 'TIER_C' WHEN length(t) < 20 THEN 'TIER_C' ELSE 'TIER_B' END AS tier
     FROM (SELECT doc_id, lower(trim(text, {WS})) AS t FROM documents)""")
 def cls_07(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.explanation_tier(F.col("text")).alias("tier"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", C.explanation_tier(F.col("text")).alias("tier"))
 
 
 @query("cls_08_dialogue_tier", f"""

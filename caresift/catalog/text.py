@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caresift import constants as K
-from caresift.catalog.registry import query, r6, sql_text, table
+from caresift.catalog.registry import query, r6, sql_text, table, texts
 from caresift.functions import answers as A
 from caresift.functions import text as X
 from caresift.functions import weights as W
@@ -46,7 +46,7 @@ def flt_03(spark, d):
         AND list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), [{", ".join(sql_text(w) for w in K.ENGLISH_WORDS)}]) AS ok
       FROM documents) GROUP BY lang""")
 def flt_04(spark, d):
-    rows = table(spark, d, "documents").select("lang", X.looks_english(F.col("text")).alias("ok"))
+    rows = texts(spark, d, "documents", "lang", "text").select("lang", X.looks_english(F.col("text")).alias("ok"))
     return rows.groupBy("lang").agg(F.count_if("ok").alias("english"), F.count(F.lit(1)).alias("n"))
 
 
@@ -93,7 +93,7 @@ def prj_04(spark, d):
       SELECT unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+')) AS w FROM documents)
     WHERE w <> '' GROUP BY w""")
 def prj_05(spark, d):
-    return (table(spark, d, "documents").select(F.explode(X.words(F.col("text"))).alias("word"))
+    return (texts(spark, d, "documents", "text").select(F.explode(X.words(F.col("text"))).alias("word"))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -167,7 +167,7 @@ def prj_11(spark, d):
 def prj_12(spark, d):
     line = (F.when(F.col("lang") == "en", "**Answer:** $\\boxed{A}$").when(F.col("lang") == "fr", "Réponse : B")
             .when(F.col("lang") == "de", "Antwort: **C**").otherwise("الإجابة: د"))
-    cleaned = table(spark, d, "documents").withColumn("response", A.without_markup(F.concat_ws("\n", "text", line)))
+    cleaned = texts(spark, d, "documents", "doc_id", "text", "lang").withColumn("response", A.without_markup(F.concat_ws("\n", "text", line)))
     return cleaned.select("doc_id", A.multilingual_letter(F.col("response")).alias("letter"))
 
 

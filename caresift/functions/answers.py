@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caresift import constants as K
 from caresift.functions import text as X
+from caresift.functions.rules import bound
 
 CHOICE = r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?"
 LINE = r"(?i)Answer\s*:\s*([^\n]+)"
@@ -89,17 +90,12 @@ def _bag(normalised: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalised, r"\s+"), lambda t: t != ""))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once: lambda bodies have no common-subexpression elimination."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _answer_parts(c: Column) -> Column:
     def with_bag(text: Column) -> Column:
         bag = _bag(text)
         return F.struct(text.alias("text"), bag.alias("bag"), F.filter(bag, _is_number).alias("numbers"))
 
-    return _bound(normalized_answer(c), with_bag)
+    return bound(normalized_answer(c), with_bag)
 
 
 def _scored(p: Column, g: Column) -> Column:
@@ -112,7 +108,7 @@ def _scored(p: Column, g: Column) -> Column:
             F.when(p["text"] == g["text"], 1.0).otherwise(0.0).alias("em"), F.when(gate, F.round(f1, 2)).otherwise(F.lit(0.0)).alias("f1")
         )
 
-    return _bound(F.size(F.array_intersect(p["bag"], g["bag"])).cast("double"), of)
+    return bound(F.size(F.array_intersect(p["bag"], g["bag"])).cast("double"), of)
 
 
 def span_scores(predicted: Column, gold: Column) -> Column:
@@ -120,7 +116,7 @@ def span_scores(predicted: Column, gold: Column) -> Column:
 
     F1 of the token sets, times 100, zero when the reference has numbers and none of them is predicted.
     """
-    return _bound(_answer_parts(predicted), lambda p: _bound(_answer_parts(gold), lambda g: _scored(p, g)))
+    return bound(_answer_parts(predicted), lambda p: bound(_answer_parts(gold), lambda g: _scored(p, g)))
 
 
 def loosely_normalized(c: Column) -> Column:
@@ -137,7 +133,7 @@ def fuzzy_match(a: Column, b: Column) -> Column:
 def best_span(predicted: Column, references: Column) -> Column:
     """PRJ-15: best exact match and best F1 over the non-blank references."""
     def against(p: Column) -> Column:
-        return F.transform(F.filter(references, X.filled), lambda r: _bound(_answer_parts(r), lambda g: _scored(p, g)))
+        return F.transform(F.filter(references, X.filled), lambda r: bound(_answer_parts(r), lambda g: _scored(p, g)))
 
     def best(scores: Column) -> Column:
         return F.struct(
@@ -145,7 +141,7 @@ def best_span(predicted: Column, references: Column) -> Column:
             F.array_max(F.transform(scores, lambda s: s["f1"])).alias("f1"),
         )
 
-    return _bound(_bound(_answer_parts(predicted), against), best)
+    return bound(bound(_answer_parts(predicted), against), best)
 
 
 def judged_yes(judgement: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions.rules import (
-    Rule, any_keyword, count_array, first_match, first_match_other_than, hit_array, ranked_categories,
+    Rule, any_keyword, bound, count_array, first_match, first_match_other_than, hit_array, keyword_array, scored_categories,
 )
 
 PREVIEW = X.CUTS["preview"]
@@ -26,16 +26,24 @@ def _preview(c: Column, chars: int | None) -> Column:
 
 def explanation_tier(explanation: Column) -> Column:
     """CLS-07."""
-    t = F.lower(X.strip(F.coalesce(explanation, F.lit(""))))
-    textbook = t.rlike("|".join(f"(?:{p})" for p in K.TEXTBOOK_PATTERNS))
-    minimal = t.rlike("|".join(f"(?:{p})" for p in K.MINIMAL_PATTERNS))
-    return (
-        F.when(t.isin("", "null", "none"), "TIER_D")
-        .when(textbook, "TIER_A")
-        .when((F.length(t) < 50) & minimal, "TIER_C")
-        .when(F.length(t) < 20, "TIER_C")
-        .otherwise("TIER_B")
-    )
+    # plain words go to the substring search; only real patterns need a regex
+    words = [p for p in K.TEXTBOOK_PATTERNS if p.replace(" ", "").isalpha()]
+    patterns = [p for p in K.TEXTBOOK_PATTERNS if p not in words]
+
+    def tier(t: Column) -> Column:
+        textbook = F.exists(keyword_array(words), lambda w: F.contains(t, w))
+        for p in patterns:
+            textbook = textbook | t.rlike(p)
+        minimal = t.rlike("|".join(f"(?:{p})" for p in K.MINIMAL_PATTERNS))
+        return (
+            F.when(t.isin("", "null", "none"), "TIER_D")
+            .when(textbook, "TIER_A")
+            .when((F.length(t) < 50) & minimal, "TIER_C")
+            .when(F.length(t) < 20, "TIER_C")
+            .otherwise("TIER_B")
+        )
+
+    return bound(F.lower(X.strip(F.coalesce(explanation, F.lit("")))), tier)
 
 
 def dialogue_tier(df: DataFrame, output: str, name: str = "quality_tier") -> DataFrame:
@@ -112,27 +120,16 @@ def categorize_mcq(
     )
 
 
-def _with_ranking(df: DataFrame, ranking: Column, default: str) -> DataFrame:
-    """Primary = best scored category, secondary = runner-up with a score of at least 2."""
-    best, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
-    return (
-        df.withColumn("_r", ranking)
-        .withColumn("primary_category", F.coalesce(best["category"], F.lit(default)))
-        .withColumn("secondary_category", F.when(second["score"] >= 2, second["category"]))
-        .drop("_r")
-    )
-
-
 def categorize_literature(df: DataFrame, mesh_rules: Sequence[Rule], question_rules: Sequence[Rule]) -> DataFrame:
     """CLS-04: scores by subject headings (one point a keyword) and question (two points a rule)."""
-    prepared = df.withColumns(
-        {
-            "_mesh": count_array(F.lower(F.concat_ws(" ", "context.meshes")), mesh_rules),
-            "_q": hit_array(F.lower(X.strip(F.coalesce("question", F.lit("")))), question_rules),
-        }
+    mesh = count_array(F.lower(F.concat_ws(" ", "context.meshes")), mesh_rules)
+    question = hit_array(F.lower(X.strip(F.coalesce("question", F.lit("")))), question_rules)
+    scored = scored_categories([(mesh_rules, mesh, 1), (question_rules, question, 2)], K.MEDICATIONS)
+    return (
+        df.withColumn("_c", scored)
+        .withColumns({"primary_category": F.col("_c.primary"), "secondary_category": F.col("_c.secondary"), "quality_tier": F.lit("TIER_A")})
+        .drop("_c")
     )
-    ranking = ranked_categories([(mesh_rules, F.col("_mesh"), 1), (question_rules, F.col("_q"), 2)])
-    return _with_ranking(prepared, ranking, K.MEDICATIONS).withColumn("quality_tier", F.lit("TIER_A")).drop("_mesh", "_q")
 
 
 def categorize_consumer(df: DataFrame, question_rules: Sequence[Rule], preview_chars: int | None = PREVIEW) -> DataFrame:
@@ -174,13 +171,14 @@ def categorize_dialogue(df: DataFrame, question_rules: Sequence[Rule], preview_c
             "_out": F.lower(_preview(X.strip(F.coalesce("output", F.lit(""))), preview_chars)),
         }
     )
-    prepared = prepared.withColumns(
-        {"_hi": hit_array(F.col("_in"), question_rules), "_ho": hit_array(F.col("_out"), question_rules)}
+    scored = scored_categories(
+        [(question_rules, hit_array(F.col("_in"), question_rules), 2), (question_rules, hit_array(F.col("_out"), question_rules), 1)],
+        K.PUBLIC_HEALTH,
     )
-    ranking = ranked_categories([(question_rules, F.col("_hi"), 2), (question_rules, F.col("_ho"), 1)])
-    ranked = _with_ranking(prepared, ranking, K.PUBLIC_HEALTH)
     cancer = any_keyword(F.concat_ws(" ", "_in", "_out"), K.CANCER_SIGNALS)
-    return ranked.withColumn(
-        "secondary_category",
-        F.when((F.col("primary_category") != "cancer") & cancer, "cancer").otherwise(F.col("secondary_category")),
-    ).drop("_in", "_out", "_hi", "_ho")
+    secondary = F.when((F.col("_c.primary") != "cancer") & cancer, "cancer").otherwise(F.col("_c.secondary"))
+    return (
+        prepared.withColumn("_c", scored)
+        .withColumns({"primary_category": F.col("_c.primary"), "secondary_category": secondary})
+        .drop("_in", "_out", "_c")
+    )

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType
 
 from caresift import constants as K
 from caresift.functions import text as X
+from caresift.functions.rules import any_keyword, bound
 
 MAX_INLINE = 2_000
 MAX_CENTROIDS = 4_096
@@ -41,8 +42,7 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
         names = phrases.columns
         table = F.from_json(F.lit(json.dumps([row.asDict() for row in sample])), ArrayType(phrases.schema))  # folds to one literal
         return (
-            df.withColumn("_t", text)
-            .withColumn("_hit", F.explode(F.filter(table, lambda p: F.contains(F.col("_t"), p[phrase]))))
+            df.withColumn("_hit", F.explode(bound(text, lambda t: F.filter(table, lambda p: F.contains(t, p[phrase])))))
             .select(*df.columns, *[F.col(f"_hit.{n}").alias(n) for n in names])
         )
     if key is None:
@@ -191,7 +191,8 @@ def medication_category(name: Column, keywords: list[tuple[str, str]]) -> Column
     """CLS-13: category of the first drug name contained, else medications."""
     table = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(c).alias("c")) for k, c in keywords])
     lowered = F.lower(X.strip(name))
-    return F.coalesce(F.get(F.filter(table, lambda r: F.contains(lowered, r["k"])), F.lit(0))["c"], F.lit(K.MEDICATIONS))
+    first = bound(lowered, lambda t: F.get(F.filter(table, lambda r: F.contains(t, r["k"])), F.lit(0))["c"])
+    return F.coalesce(first, F.lit(K.MEDICATIONS))
 
 
 def freetext_conditions(df: DataFrame, text: Column, rules: list[tuple[list[str], str, str]]) -> DataFrame:
@@ -217,4 +218,4 @@ def freetext_conditions(df: DataFrame, text: Column, rules: list[tuple[list[str]
 
 def narrow_index_drug(text: Column, drugs: list[str] = K.NARROW_INDEX_DRUGS) -> Column:
     """CLS-15: the text names a drug with a narrow therapeutic index."""
-    return F.exists(F.array(*[F.lit(d) for d in drugs]), lambda d: F.contains(F.lower(text), d))
+    return any_keyword(F.lower(text), drugs)

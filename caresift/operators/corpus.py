@@ -109,11 +109,22 @@ def coverage_gap(literature: Column, exam: Column) -> Column:
     )
 
 
+def _pair_counts(categorized: DataFrame) -> DataFrame:
+    """Counts of (primary, secondary) pairs.
+
+    Pairs without a secondary are dropped after counting: a filter on the column itself would be pushed below the
+    categorisation when both are in one plan, and evaluate the rules twice.
+    """
+    counted = categorized.groupBy("primary_category", "secondary_category").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("secondary_category")).alias("_some")
+    )
+    return counted.where(F.col("_some") > 0).drop("_some")
+
+
 def category_pairs(categorized: DataFrame, n: int = 20) -> DataFrame:
     """AG-05: the most frequent (primary, secondary) pairs."""
     return (
-        categorized.where(F.col("secondary_category") != "")
-        .groupBy("primary_category", "secondary_category").agg(F.count(F.lit(1)).alias("cnt"))
+        _pair_counts(categorized).withColumnRenamed("n", "cnt")
         .orderBy(F.desc("cnt"), "primary_category", "secondary_category").limit(n)
     )
 
@@ -138,10 +149,7 @@ def term_categories(rows: DataFrame, terms: str = "mesh_terms", category: str =
 
 def category_links(categorized: DataFrame) -> DataFrame:
     """AG-07: the three most frequent secondary categories are strong links, the next three weak."""
-    counts = (
-        categorized.where(F.col("secondary_category") != "")
-        .groupBy("primary_category", "secondary_category").agg(F.count(F.lit(1)).alias("cross_hits"))
-    )
+    counts = _pair_counts(categorized).withColumnRenamed("n", "cross_hits")
     window = Window.partitionBy("primary_category").orderBy(F.desc("cross_hits"), "secondary_category")
     return (
         counts.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= 6)

@@ -15,6 +15,16 @@ def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores when a scan has fewer tasks than there are cores (few or unsplittable files).
+
+    Text rules are bound by CPU, so one round-robin shuffle pays off there.  A scan with enough tasks is left alone: on
+    a large table this adds nothing to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def exam_records(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """SRC-01."""
     return _read(spark, path, S.MCQ, fmt)
