@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caresift import constants as K
-from caresift.catalog.registry import query, r6, sql_any, sql_map, sql_text, table
+from caresift.catalog.registry import query, r6, sql_any, sql_map, sql_text, table, texts
 from caresift.functions import text as X
 from caresift.operators import classify as C
 from caresift.operators import kb
@@ -54,7 +54,8 @@ FUSED_SQL = lambda k: f"""fz AS (SELECT query_id, source_table, record_id, coale
 
 def records(spark, d):
     n = F.col("n_chars")
-    joined = table(spark, d, "embeddings").join(table(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    docs = texts(spark, d, "documents", F.col("doc_id").alias("vec_id"), "text", "n_chars")
+    joined = texts(spark, d, "embeddings", "vec_id", "label", "embedding").join(docs, "vec_id")
     return joined.select(
         _source_table(F.col("label")).alias("source_table"), F.col("vec_id").alias("record_id"), "embedding", "text", _category(F.col("label")).alias("primary_category"),
         F.when(n > 3000, "TIER_A").when(n > 1000, "TIER_B").when(n > 300, "TIER_C").otherwise("TIER_D").alias("quality_tier"))
@@ -111,7 +112,7 @@ TERMS_SQL = f"""terms AS (SELECT DISTINCT {CAT_SQL('item_id')} AS category, word
 
 
 def terms(spark, d):
-    words = table(spark, d, "benchmark").select(_category(F.col("item_id")).alias("category"), F.explode(X.words(F.col("text"))).alias("consumer_term"))
+    words = table(spark, d, "benchmark").select(_category(F.col("item_id")).alias("category"), F.explode_outer(X.words(F.col("text"))).alias("consumer_term"))
     return words.where(F.length("consumer_term") >= 7).distinct()
 
 

@@ -93,7 +93,7 @@ def prj_04(spark, d):
       SELECT unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+')) AS w FROM documents)
     WHERE w <> '' GROUP BY w""")
 def prj_05(spark, d):
-    return (texts(spark, d, "documents", "text").select(F.explode(X.words(F.col("text"))).alias("word"))
+    return (texts(spark, d, "documents", "text").select(F.explode_outer(X.words(F.col("text"))).alias("word")).where(F.col("word").isNotNull())
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -129,7 +129,9 @@ def wins(scores: DataFrame, model: str = "model", prompt: str = "prompt_id", sco
         levels.join(models, prompt)
         .join(held, [prompt, model, score], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     )
-    below = ordered.running_before(grid, [prompt, model], [score], {"below": "c"}, hot_rows)
+    # a model meets at most as many levels as its prompt has samples
+    hot = ordered.has_hot_group(scores, [prompt], hot_rows)
+    below = ordered.running_before(grid, [prompt, model], [score], {"below": "c"}, hot=hot)
     below = below.select(prompt, score, F.col(model).alias("model_b"), "below").where(F.col("below") > 0)
     return (
         held.join(below, [prompt, score])
@@ -157,11 +159,13 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
     difference of two running sums.  Work grows with samples times models times log(samples).  ``levels`` bounds the
     distinct scores of a prompt at 2^levels.
     """
+    # a block holds at most each sample of its prompt once and is asked about two ends of each
+    hot = ordered.has_hot_group(scores, [prompt], hot_rows // 3)
     held = (
         scores.where(F.col(length) > 0).groupBy(prompt, model, score, length).agg(F.count(F.lit(1)).alias("c"))
     )
     distinct = held.select(prompt, score).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    ranks = ordered.running_before(distinct, [prompt], [score], {"rank": "_one"}, hot_rows).drop("_one")
+    ranks = ordered.running_before(distinct, [prompt], [score], {"rank": "_one"}, hot=hot).drop("_one")
     top = F.expr("greatest(1, cast(ceil(log2(_m + 1)) as int))")
     size = ranks.groupBy(prompt).agg(F.max("rank").alias("_m")).select(prompt, F.least(top, F.lit(levels)).alias("_levels"))
     ranked = held.join(ranks, [prompt, score]).join(size, prompt)
@@ -186,7 +190,7 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
     opponents = entered.select(prompt, "model_b", "level", "block").distinct()
     asked = asking.join(opponents, [prompt, "level", "block"]).withColumn("entered", F.lit(0).cast("long"))
     events = entered.unionByName(asked.select(entered.columns))
-    counted = ordered.running_before(events, [prompt, "model_b", "level", "block"], ["at", "kind"], {"seen": "entered"}, hot_rows)
+    counted = ordered.running_before(events, [prompt, "model_b", "level", "block"], ["at", "kind"], {"seen": "entered"}, hot=hot)
     signed = F.when(F.col("kind") == 2, F.col("seen")).otherwise(-F.col("seen")) * F.col("times")
     return (
         counted.where(F.col("model_a").isNotNull()).groupBy(prompt, "model_a", "model_b").agg(F.sum(signed).alias("wins"))

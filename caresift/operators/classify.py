@@ -1,4 +1,8 @@
-"""Query classification and condition matching (CLS-09 … CLS-13, JN-05)."""
+"""Query classification and condition matching (CLS-09 … CLS-13, JN-05).
+
+Computed arrays are exploded with ``explode_outer`` and a null test: for a plain ``explode`` the optimizer adds a
+``size > 0`` filter below it and evaluates the array twice.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +46,8 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
         names = phrases.columns
         table = F.from_json(F.lit(json.dumps([row.asDict() for row in sample])), ArrayType(phrases.schema))  # folds to one literal
         return (
-            df.withColumn("_hit", F.explode(bound(text, lambda t: F.filter(table, lambda p: F.contains(t, p[phrase])))))
+            df.withColumn("_hit", F.explode_outer(bound(text, lambda t: F.filter(table, lambda p: F.contains(t, p[phrase])))))
+            .where(F.col("_hit").isNotNull())
             .select(*df.columns, *[F.col(f"_hit.{n}").alias(n) for n in names])
         )
     if key is None:
@@ -74,8 +79,8 @@ def phrase_index(terms: DataFrame) -> DataFrame:
 def token_index(terms: DataFrame) -> DataFrame:
     """``(token, category, weight)``: how often a token occurs in the phrases of a category."""
     return (
-        terms.select("category", F.explode(X.phrase_tokens(F.col("consumer_term"))).alias("token"))
-        .groupBy("token", "category").agg(F.count(F.lit(1)).alias("weight"))
+        terms.select("category", F.explode_outer(X.phrase_tokens(F.col("consumer_term"))).alias("token"))
+        .where(F.col("token").isNotNull()).groupBy("token", "category").agg(F.count(F.lit(1)).alias("weight"))
     )
 
 
@@ -98,7 +103,7 @@ def keyword_category(queries: DataFrame, terms: DataFrame) -> DataFrame:
     phrases = contained(queries.select("query_id", "text"), X.normalized(F.col("text")), phrase_index(terms), "phrase", key="query_id")
     by_phrase = _scored_winner(phrases.select("query_id", "category", F.lit(1).alias("score")))
     tokens = token_index(terms)
-    words = queries.select("query_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("token"))
+    words = queries.select("query_id", F.explode_outer(F.array_distinct(X.words(F.col("text")))).alias("token"))
     by_token = _scored_winner(words.join(tokens, "token").select("query_id", "category", F.col("weight").alias("score")))
     return (
         by_phrase.withColumn("ord", F.lit(0)).unionByName(by_token.withColumn("ord", F.lit(1)))
@@ -212,7 +217,7 @@ def freetext_conditions(df: DataFrame, text: Column, rules: list[tuple[list[str]
     return (
         df.withColumn("_t", padded).withColumn("_h", F.when(X.filled(text), hits))
         .withColumn("_h1", first_of_each)
-        .select(*df.columns, F.explode("_h1").alias("h")).select(*df.columns, "h.*")
+        .select(*df.columns, F.explode_outer("_h1").alias("h")).where(F.col("h").isNotNull()).select(*df.columns, "h.*")
     )
 
 

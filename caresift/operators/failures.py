@@ -19,8 +19,8 @@ def failed_items(examples: DataFrame) -> DataFrame:
     missed = F.filter("rubric_items", lambda r: ~F.coalesce(r["criteria_met"], F.lit(True)) & (r["points"] > 0))
     return examples.select(
         F.coalesce("prompt_id", F.lit("unknown")).alias("prompt_id"), X.last_user_text(F.col("prompt")).alias("query"),
-        X.cut(F.coalesce(reply, F.lit("")), "response").alias("response"), F.posexplode(missed).alias("item_idx", "r"),
-    ).select(
+        X.cut(F.coalesce(reply, F.lit("")), "response").alias("response"), F.posexplode_outer(missed).alias("item_idx", "r"),
+    ).where(F.col("r").isNotNull()).select(
         "prompt_id", "query", "response", "item_idx", "r.criterion", "r.points", F.coalesce("r.tags", F.array().cast("array<string>")).alias("tags"),
         F.coalesce("r.explanation", F.lit("")).alias("explanation"),
     )

@@ -98,7 +98,8 @@ def comorbidity_boosts(profiles: DataFrame, rules: list[tuple] = K.COMORBIDITY)
     have = active_categories(F.col("conditions"))
     return (
         profiles.withColumn("_have", have)
-        .select("user_id", F.explode(F.filter(table, lambda r: F.array_contains("_have", r["a"]) & F.array_contains("_have", r["b"]))).alias("r"))
+        .select("user_id", F.explode_outer(F.filter(table, lambda r: F.array_contains("_have", r["a"]) & F.array_contains("_have", r["b"]))).alias("r"))
+        .where(F.col("r").isNotNull())
         .select("user_id", F.concat(F.lit("cat:"), "r.src").alias("src"), F.concat(F.lit("cat:"), "r.dst").alias("dst"),
                 "r.boost", F.lit("comorbidity").alias("source_type"), "r.reason")
     )
@@ -123,7 +124,8 @@ def demographic_boosts(profiles: DataFrame, anchors: DataFrame, categories: list
     return (
         profiles.join(by_user, "user_id", "left")
         .select("user_id", F.coalesce("_cats", every).alias("_cats"),
-                F.explode(F.concat(F.coalesce(by_age, none), F.coalesce(by_sex, none))).alias("r"))
+                F.explode_outer(F.concat(F.coalesce(by_age, none), F.coalesce(by_sex, none))).alias("r"))
+        .where(F.col("r").isNotNull())
         .select("user_id", F.explode("_cats").alias("src"), F.concat(F.lit("cat:"), "r.dst").alias("dst"), "r.boost",
                 F.lit("demographic").alias("source_type"), "r.reason")
         .where(F.col("src") != F.col("dst"))
@@ -159,11 +161,10 @@ def user_overlay(profiles: DataFrame, graph: DataFrame, categories: list[str] =
 
 def both_directions(boosts: DataFrame) -> DataFrame:
     """Positive boosts summed per (user, src, dst) with each boost counted for the edge and its reverse."""
-    positive = boosts.where(F.col("boost") > 0).groupBy("user_id", "src", "dst").agg(F.sum("boost").alias("b"))
     ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return (
-        positive.select("user_id", "b", F.explode(ends).alias("e"))
-        .groupBy("user_id", "e.src", "e.dst").agg(F.sum("b").alias("boosts"))
+        boosts.where(F.col("boost") > 0).select("user_id", "boost", F.explode(ends).alias("e"))
+        .groupBy("user_id", "e.src", "e.dst").agg(F.sum("boost").alias("boosts"))
     )
 
 

@@ -1,7 +1,8 @@
 """Knowledge-base documents to tables (SRC-05), condition registry (CLS-14), lookups (JN-19) and context (WN-07).
 
 Documents are cut by nested splitting — document, section, block, line — so a line carries its section without any
-window or shuffle (WN-04).
+window or shuffle (WN-04).  The pieces are exploded with ``…_outer`` and a null test, because for a plain ``explode`` the
+optimizer adds a ``size > 0`` filter below it and cuts every text twice.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def sections(docs: DataFrame) -> DataFrame:
     """``(slug, sec, section, body)``: one row per ``## `` section."""
     cuts = F.split("text", r"(?m)^(?=[ \t]*## )")
     return (
-        docs.select("slug", F.posexplode(cuts).alias("sec", "body"))
+        docs.select("slug", F.posexplode_outer(cuts).alias("sec", "body")).where(F.col("body").isNotNull())
         .withColumn("section", X.strip(F.regexp_extract("body", r"^[ \t]*## (.*)", 1)))
         .select("slug", "sec", "section", "body")
     )
@@ -37,7 +38,7 @@ def sections(docs: DataFrame) -> DataFrame:
 def lines(parts: DataFrame, *carried: str) -> DataFrame:
     """Non-blank lines of ``body``, trimmed, with their position."""
     return (
-        parts.select(*carried, F.posexplode(F.split("body", "\n")).alias("pos", "raw"))
+        parts.select(*carried, F.posexplode_outer(F.split("body", "\n")).alias("pos", "raw"))
         .withColumn("line", X.strip(F.col("raw"))).where(F.col("line") != "").drop("raw")
     )
 
@@ -46,7 +47,7 @@ def links(docs: DataFrame) -> DataFrame:
     """``(category, target, link_type, cross_hits, reason)`` of the Links sections; both dash forms are read."""
     blocks = (
         sections(docs).where(F.col("section") == "Links")
-        .select("slug", "sec", F.posexplode(F.split("body", r"(?=\*\*(?:Strong|Weak) links:\*\*)")).alias("blk", "body"))
+        .select("slug", "sec", F.posexplode_outer(F.split("body", r"(?=\*\*(?:Strong|Weak) links:\*\*)")).alias("blk", "body"))
         .withColumn("link_type", F.lower(F.regexp_extract("body", r"^\*\*(Strong|Weak) links:\*\*", 1)))
         .where(F.col("link_type") != "")
     )
@@ -84,7 +85,7 @@ def subcategories(docs: DataFrame) -> DataFrame:
     """``(category, subcategory, name, pos, body)`` of the Subcategory Details sections."""
     return (
         sections(docs).where(F.col("section") == "Subcategory Details")
-        .select("slug", F.posexplode(F.split("body", r"(?m)^(?=[ \t]*### )")).alias("pos", "body"))
+        .select("slug", F.posexplode_outer(F.split("body", r"(?m)^(?=[ \t]*### )")).alias("pos", "body"))
         .withColumn("name", X.strip(F.regexp_extract("body", r"^[ \t]*### (.*)", 1)))
         .where(F.col("name") != "")
         .select(F.col("slug").alias("category"), X.slugify(F.col("name")).alias("subcategory"), "name", "pos", "body")
@@ -101,7 +102,7 @@ def related(docs: DataFrame) -> DataFrame:
     return (
         lines(subcategories(docs), "category", "subcategory")
         .where(F.col("line").startswith("- **Related:**"))
-        .select("category", "subcategory", F.explode(pairs).alias("r"))
+        .select("category", "subcategory", F.explode_outer(pairs).alias("r")).where(F.col("r").isNotNull())
         .select("category", "subcategory", "r.target", X.strip(F.col("r.reason")).alias("reason"))
     )
 

@@ -22,7 +22,8 @@ from caresift.session import cut_lineage
 HOT_ROWS = 1_000_000
 
 
-def _has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
+def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
+    """One counting job over the keys only: does any group have more than ``hot_rows`` rows?"""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return not counts.where(F.col("_n") > hot_rows).isEmpty()
 
@@ -33,13 +34,16 @@ def running_before(
     order: Sequence[str],
     sums: dict[str, str],
     hot_rows: int = HOT_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add, per ``name: measure``, the sum of ``measure`` over earlier rows of the same ``keys`` (0 for the first).
 
     ``order`` (ascending) must be unique within ``keys``, except among rows whose measures are all zero.  Runs one
-    counting job; with a hot group also one checkpoint.
+    counting job unless the caller knows whether groups are ``hot``; with a hot group also one checkpoint.
     """
-    if not _has_hot_group(df, keys, hot_rows):
+    if hot is None:
+        hot = has_hot_group(df, keys, hot_rows)
+    if not hot:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(m).over(window), F.lit(0)) for n, m in sums.items()})
 
@@ -78,7 +82,9 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_idx", hot_row
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct values per group with ``cnt`` and ``before``, the number of rows with a smaller value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return running_before(counts, keys, [value], {"before": "cnt"}, hot_rows)
+    # A group has at most as many distinct values as rows; only a group of many rows needs the closer look.
+    hot = None if has_hot_group(df, keys, hot_rows) else False
+    return running_before(counts, keys, [value], {"before": "cnt"}, hot_rows, hot)
 
 
 def exact_quantiles(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions import weights as W
+from caresift.operators.sizes import checked_broadcast
 
 QUERY_BLOCK = 2_048
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
@@ -110,23 +111,38 @@ def lexical_hits(corpus: DataFrame, queries: DataFrame, n: int | None = K.LIST_L
     """JN-03: records that contain every query word that is not a stop word; ``(query_id, source_table, record_id, score)``.
 
     Score: sum over query words of tf / (1 + ln(words in the record)), at most 1.  ``corpus`` is ``(source_table,
-    record_id, text)``, ``queries`` is ``(query_id, text)``.  Only words that some query asks for leave the scan, and a
-    record's matches are added up where the record is read; hot words are split by the adaptive join.
+    record_id, text)``, ``queries`` is ``(query_id, text)``.
+
+    Texts are split once (``explode_outer``: a plain ``explode`` would make the optimizer add a ``size > 0`` filter that
+    splits them again).  Only words that some query asks for leave the scan, counted per record.  A query first meets the records that hold
+    its *rarest* word; only those pairs are checked for its other words, by equality on record and word.  Common words
+    therefore never multiply queries with records.
     """
     stop = F.array(*[F.lit(w) for w in stop_words])
     asked = queries.select("query_id", F.array_except(F.array_distinct(X.words(F.col("text"))), stop).alias("ws"))
-    asked = asked.where(F.size("ws") > 0).select("query_id", F.size("ws").alias("need"), F.explode("ws").alias("word"))
+    asked = asked.select("query_id", F.size("ws").alias("need"), F.explode_outer("ws").alias("word")).where(F.col("word").isNotNull())
     words = (
         corpus.withColumn("_w", X.words(F.col("text")))
-        .select("source_table", "record_id", F.size("_w").alias("len"), F.explode("_w").alias("word"))
-        .join(asked.select("word").distinct(), "word", "left_semi")
+        .select("source_table", "record_id", F.size("_w").alias("len"), "_w")  # the array must not follow its words
+        .select("source_table", "record_id", "len", F.explode_outer("_w").alias("word"))
+        .join(checked_broadcast(asked.select("word").distinct()), "word", "left_semi")
     )
-    # one row per record and word, so a query is joined with words, not with occurrences
     postings = words.groupBy("source_table", "record_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    matches = postings.join(asked, "word").groupBy("query_id", "source_table", "record_id", "need", "len").agg(
-        F.count(F.lit(1)).alias("got"), F.sum("tf").alias("tf")
+    held_by = postings.groupBy("word").agg(F.count(F.lit(1)).alias("records"))
+    rarest = (
+        asked.join(held_by, "word").groupBy("query_id", "need")
+        .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("records", "word")).alias("r"))
+        .where(F.col("known") == F.col("need"))  # a word that no record has rules the query out
+        .select("query_id", "need", F.col("r.word").alias("word"))
+    )
+    candidates = postings.join(rarest, "word").select("query_id", "need", "source_table", "record_id")
+    checked = (
+        candidates.join(asked.select("query_id", "word"), "query_id")
+        .join(postings, ["source_table", "record_id", "word"])
+        .groupBy("query_id", "source_table", "record_id", "need", "len")
+        .agg(F.count(F.lit(1)).alias("got"), F.sum("tf").alias("tf"))
     )
-    scored = matches.where(F.col("got") == F.col("need")).select(
+    scored = checked.where(F.col("got") == F.col("need")).select(
         "query_id", "source_table", "record_id",
         F.round(F.least(F.lit(1.0), F.col("tf") / (1 + F.log(F.col("len").cast("double")))), 9).alias("score"),
     )

@@ -49,7 +49,7 @@ def metric_rows(examples: DataFrame, keys: Sequence[str] = EXAMPLE) -> DataFrame
     head = F.array(F.struct(F.lit("overall_score").alias("metric"), F.col("_o").alias("value")))
     return (
         examples.withColumn("_o", overall).withColumn("_own", own)
-        .select(*keys, F.explode(F.concat(head, inherited, "_own")).alias("m"))
+        .select(*keys, F.explode_outer(F.concat(head, inherited, "_own")).alias("m"))
         .select(*keys, "m.metric", "m.value").where(F.col("value").isNotNull())
     )
 
