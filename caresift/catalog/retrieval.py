@@ -326,3 +326,10 @@ def jn_19(spark, d):
     docs = table(spark, d, "region").select(F.concat(F.lit("slug"), F.col("r_regionkey").cast("string")).alias("slug"), F.concat(F.lower("r_name"), F.lit(" rules")).alias("text"))
     wanted = table(spark, d, "part").select("p_partkey", F.concat(F.lit("slug"), F.col("p_size").cast("string")).alias("slug"))
     return kb.lookup(wanted, docs).select("p_partkey", "found", F.coalesce("content", F.lit("")).alias("content"))
+
+
+@query("wn_08_unique_winner", """
+    WITH s AS (SELECT o_custkey AS query_id, o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY n DESC) AS k FROM s)
+    SELECT query_id, min(category) AS category FROM r WHERE k = 1 GROUP BY 1 HAVING count(*) = 1""")
+def wn_08(spark, d):
+    return C.unique_winner(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("category"), F.lit(1).alias("score")))

@@ -110,3 +110,19 @@ def udf_03(spark, d):
 def udf_04(spark, d):
     responses = table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("response"))
     return providers.responses_joined(table(spark, d, "documents").select("doc_id"), responses, "doc_id")
+
+
+@query("wn_06_strongest_facts", """
+    WITH f AS (SELECT user_id, event_type || ' ' || (props->>'$.k') AS fact, count(*) AS mentions, min(ts)::DATE AS first_seen FROM events GROUP BY 1, 2)
+    SELECT user_id, fact, mentions::BIGINT AS mentions FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mentions DESC, first_seen DESC, fact) AS r FROM f) WHERE r <= 20""")
+def wn_06(spark, d):
+    fact = F.concat_ws(" ", "event_type", F.from_json("props", "k int")["k"].cast("string"))
+    seen = table(spark, d, "events").groupBy("user_id", fact.alias("fact")).agg(F.count(F.lit(1)).alias("mentions"), F.min(F.col("ts").cast("date")).alias("first_seen"))
+    return state.strongest_facts(seen).select("user_id", "fact", "mentions")
+
+
+@query("ag_45_embedding_summary", "SELECT source AS source_table, count(*)::BIGINT AS chunks, count(l.doc_id)::BIGINT AS embedded, (count(*) - count(l.doc_id))::BIGINT AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def ag_45b(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_table"), F.col("doc_id").alias("source_id"))
+    done = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
+    return providers.embedding_summary(docs, done)

@@ -84,8 +84,11 @@ def token_index(terms: DataFrame) -> DataFrame:
     )
 
 
-def _scored_winner(hits: DataFrame) -> DataFrame:
-    """Unique winner from ``(query_id, category, score)`` parts, in two aggregations over one shuffle of scores."""
+def unique_winner(hits: DataFrame) -> DataFrame:
+    """WN-08: the category with the largest summed score of each query, when no other has the same.
+
+    The scores of a query are one per category, so the map that is gathered stays small.
+    """
     scores = hits.groupBy("query_id", "category").agg(F.sum("score").alias("score"))
     ranked = scores.groupBy("query_id").agg(
         F.max(F.struct("score", "category")).alias("hi"),
@@ -101,10 +104,10 @@ def keyword_category(queries: DataFrame, terms: DataFrame) -> DataFrame:
     Categories are few, so the map of a query's scores is small.
     """
     phrases = contained(queries.select("query_id", "text"), X.normalized(F.col("text")), phrase_index(terms), "phrase", key="query_id")
-    by_phrase = _scored_winner(phrases.select("query_id", "category", F.lit(1).alias("score")))
+    by_phrase = unique_winner(phrases.select("query_id", "category", F.lit(1).alias("score")))
     tokens = token_index(terms)
     words = queries.select("query_id", F.explode_outer(F.array_distinct(X.words(F.col("text")))).alias("token"))
-    by_token = _scored_winner(words.join(tokens, "token").select("query_id", "category", F.col("weight").alias("score")))
+    by_token = unique_winner(words.join(tokens, "token").select("query_id", "category", F.col("weight").alias("score")))
     return (
         by_phrase.withColumn("ord", F.lit(0)).unionByName(by_token.withColumn("ord", F.lit(1)))
         .groupBy("query_id").agg(F.min_by("category", "ord").alias("category"))

@@ -57,6 +57,15 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, model: str, batch: int =
     )
 
 
+def embedding_summary(chunks: DataFrame, target: DataFrame) -> DataFrame:
+    """AG-45: per source table how many chunks there are, are embedded, and are missing (not reached yet or failed)."""
+    done = target.select("source_table", "source_id").distinct().withColumn("_done", F.lit(True))
+    joined = chunks.select("source_table", "source_id").distinct().join(done, ["source_table", "source_id"], "left")
+    return joined.groupBy("source_table").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count("_done").alias("embedded"), F.count_if(F.col("_done").isNull()).alias("missing")
+    )
+
+
 def _tried(call: Callable, attempts: int):
     for _ in range(attempts):
         try:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -157,6 +157,12 @@ def remembered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return facts, rows.where(F.col("kind") == "graduated").drop("kind", "batch")
 
 
+def strongest_facts(facts: DataFrame, capacity: int = MAX_FACTS) -> DataFrame:
+    """WN-06: the facts a user keeps: fewest mentions go first, then the oldest.  The limit applies before the shuffle."""
+    window = Window.partitionBy("user_id").orderBy(F.desc("mentions"), F.desc("first_seen"), "fact")
+    return facts.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= capacity).drop("_n")
+
+
 def novel_facts(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     """JN-13: facts that neither contain nor are contained in a condition or medication of the user's profile.
 
