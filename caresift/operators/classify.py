@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType
 from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions.rules import any_keyword, bound
+from caresift.operators.sizes import checked_broadcast
 
 MAX_INLINE = 2_000
 MAX_CENTROIDS = 4_096
@@ -54,15 +55,19 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
         raise ValueError("a unique key column is needed to join more phrases than fit inline")
     keyed = phrases.withColumn("_len", F.least(F.length(phrase), F.lit(gram))).withColumn("_gram", F.substring(phrase, 1, gram))
     texts = df.select(key, text.alias("_t")).withColumn("_n", F.length("_t"))
-    # Shorter phrases need grams of their own length.
+
     def grams(length: int) -> Column:
         last = F.col("_n") - length + 1
         places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(places, lambda i: F.substring("_t", i, F.lit(length))))
-    all_grams = F.concat(*[
-        F.transform(grams(n), lambda g, n=n: F.struct(F.lit(n).alias("_len"), g.alias("_gram"))) for n in range(1, gram + 1)
-    ])
-    candidates = texts.select(key, F.explode(all_grams).alias("g")).select(key, "g._len", "g._gram").join(keyed, ["_len", "_gram"])
+        cut = F.array_distinct(F.transform(places, lambda at: F.substring("_t", at, F.lit(length))))
+        return F.transform(cut, lambda g: F.struct(F.lit(length).alias("_len"), g.alias("_gram")))
+
+    # phrases shorter than a gram need grams of their own length
+    every = F.concat(*[grams(n) for n in range(1, gram + 1)])
+    candidates = (
+        texts.select(key, F.explode_outer(every).alias("g")).where(F.col("g").isNotNull()).select(key, "g._len", "g._gram")
+        .join(checked_broadcast(keyed), ["_len", "_gram"])
+    )
     return (
         candidates.drop("_len", "_gram").join(df.withColumn("_t", text), key)
         .where(F.contains(F.col("_t"), F.col(phrase)))
