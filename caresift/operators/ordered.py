@@ -32,34 +32,39 @@ def running_before(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: dict[str, str],
+    measures: dict[str, str],
     hot_rows: int = HOT_ROWS,
     hot: bool | None = None,
+    how: str = "sum",
 ) -> DataFrame:
-    """Add, per ``name: measure``, the sum of ``measure`` over earlier rows of the same ``keys`` (0 for the first).
+    """Add, per ``name: measure``, the sum (or, with ``how="max"``, the largest) of ``measure`` over earlier rows.
 
-    ``order`` (ascending) must be unique within ``keys``, except among rows whose measures are all zero.  Runs one
-    counting job unless the caller knows whether groups are ``hot``; with a hot group also one checkpoint.
+    Earlier means smaller in ``order`` (ascending) among the rows of the same ``keys``.  For the first row a sum is 0 and
+    a maximum null.  ``order`` must be unique within ``keys``, except among rows that add nothing.  Runs one counting
+    job unless the caller knows whether groups are ``hot``; with a hot group also one checkpoint.
     """
+    total = {"sum": F.sum, "max": F.max}[how]
+    start = (lambda c: F.coalesce(c, F.lit(0))) if how == "sum" else (lambda c: c)
+    added = (lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else F.greatest
     if hot is None:
         hot = has_hot_group(df, keys, hot_rows)
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({n: F.coalesce(F.sum(m).over(window), F.lit(0)) for n, m in sums.items()})
+        return df.withColumns({n: start(total(m).over(window)) for n, m in measures.items()})
 
     # The partition number is written with the rows: later stages must all see the same placement.
     placed = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = placed.withColumns({f"_l_{n}": F.coalesce(F.sum(m).over(local), F.lit(0)) for n, m in sums.items()})
+    within = placed.withColumns({f"_l_{n}": start(total(m).over(local)) for n, m in measures.items()})
 
-    totals = placed.groupBy("_part", *keys).agg(*[F.sum(m).alias(f"_t_{n}") for n, m in sums.items()])
+    totals = placed.groupBy("_part", *keys).agg(*[total(m).alias(f"_t_{n}") for n, m in measures.items()])
     across = Window.partitionBy(*keys).orderBy("_part")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         totals.withColumn("_first", F.row_number().over(across) == 1)
-        .withColumns({f"_o_{n}": F.sum(f"_t_{n}").over(earlier) for n in sums})
+        .withColumns({f"_o_{n}": total(f"_t_{n}").over(earlier) for n in measures})
         .where(~F.col("_first"))
-        .select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{n}" for n in sums])
+        .select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{n}" for n in measures])
     )
     # Only groups cut by a partition border have offsets: fewer rows than partitions, so broadcasting is bounded.
     same = reduce(
@@ -69,8 +74,8 @@ def running_before(
     )
     joined = within.join(F.broadcast(offsets), same, "left")
     return joined.withColumns(
-        {n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
-    ).select(*df.columns, *sums)
+        {n: added(F.col(f"_l_{n}"), F.col(f"_o_{n}")) for n in measures}
+    ).select(*df.columns, *measures)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_idx", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -122,19 +127,18 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_row
 
 
 def running_max_frontier(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, carry: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], order: str, value: str, carry: Sequence[str] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """WN-03: rows that beat everything earlier in ``order``.
 
-    Rows of the same ``order`` value are first reduced to their best one (ties by ``carry``), so the window runs over
-    the distinct dates or costs, not over the rows.
+    Rows of the same ``order`` value are first reduced to their best one (largest value, then smallest ``carry``
+    columns), so what is put in order is the distinct dates or costs, not the rows.
     """
     rest = [c for c in carry if c != value]
-    # best = largest value; among equals the smallest carry columns
-    best = df.groupBy(*keys, order).agg(F.max(value).alias(value))
     if rest:
-        first = df.groupBy(*keys, order, value).agg(F.min(F.struct(*rest)).alias("_c"))
-        best = best.join(first, [*keys, order, value]).select(*keys, order, value, "_c.*")
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(value).over(window)
-    return best.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(value) > F.col("_b"))).drop("_b")
+        top = F.min(F.struct((-F.col(value)).alias("_neg"), *rest)).alias("_t")
+        best = df.groupBy(*keys, order).agg(top).select(*keys, order, (-F.col("_t._neg")).alias(value), *[F.col(f"_t.{c}").alias(c) for c in rest])
+    else:
+        best = df.groupBy(*keys, order).agg(F.max(value).alias(value))
+    ranked = running_before(best, keys, [order], {"_b": value}, hot_rows, how="max")
+    return ranked.where(F.col("_b").isNull() | (F.col(value) > F.col("_b"))).drop("_b")

@@ -93,7 +93,7 @@ def clipped_stats(metrics: DataFrame, keys: Sequence[str] = ("run_id", "model"))
 
 
 def bootstrap_std(metrics: DataFrame, keys: Sequence[str] = ("run_id", "model"), replicates: int = 1000, seed: int = 0,
-                  chunks: int = 64) -> DataFrame:
+                  chunks: int = 256) -> DataFrame:
     """AG-13 (a): standard deviation of the clipped mean over Poisson bootstrap replicates.
 
     Equal values are counted first; a value seen c times gets Poisson(c) copies in every replicate.  Each metric is cut

@@ -99,6 +99,19 @@ def test_correlations(spark, samples, hot_rows):
         assert (r.pearson, r.slope, r.intercept) == (pytest.approx(np.corrcoef(x, y)[0, 1]), pytest.approx(slope), pytest.approx(intercept))
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
+def test_long_frontier(spark, hot_rows):
+    r = random.Random(9)
+    rows = [(g, i, r.random() + i / 300) for g, n in (("a", 90), ("b", 2)) for i in range(n)]
+    expected, best = [], {}
+    for g, i, v in rows:
+        if v > best.get(g, -1):
+            best[g] = v
+            expected.append((g, i))
+    got = O.running_max_frontier(spark.createDataFrame(rows, "g string, d int, v double"), ["g"], "d", "v", hot_rows=hot_rows)
+    assert values(got, "g", "d") == sorted(expected)
+
+
 def test_frontier(spark):
     rows = [(1, 0.5, "a"), (1, 0.7, "b"), (2, 0.7, "c"), (3, 0.6, "d"), (4, 0.9, "e")]
     df = spark.createDataFrame(rows, "cost int, score double, model string")
