@@ -196,7 +196,7 @@ def ag_03b(spark, d):
 
 @query("ag_04_coverage_gap", f"""
     WITH f AS ({FIXTURE_SQL}), b AS (SELECT primary_category, count_if(dataset = 'src0') AS lit, count_if(dataset = 'src1') AS exam FROM f GROUP BY 1)
-    SELECT primary_category, CASE WHEN lit = 0 THEN 'no_literature' WHEN exam = 0 THEN 'no_exam' WHEN lit < exam * 0.1 THEN 'low_literature' ELSE 'good' END AS gap FROM b""")
+    SELECT primary_category, CASE WHEN lit = 0 THEN {sql_text(K.GAP_LABELS['no_literature'])} WHEN exam = 0 THEN {sql_text(K.GAP_LABELS['no_exam'])} WHEN lit < exam * 0.1 THEN {sql_text(K.GAP_LABELS['low_literature'])} ELSE {sql_text(K.GAP_LABELS['good'])} END AS gap FROM b""")
 def ag_04(spark, d):
     block = O.category_block(categorized(spark, d), ["src0", "src1"])
     return block.select("primary_category", O.coverage_gap(F.col("ds_src0"), F.col("ds_src1")).alias("gap"))

@@ -119,7 +119,7 @@ def src_09(spark, d):
 def src_10(spark, d):
     path = fresh(spark, "results")
     example = F.struct(F.col("o_orderkey").cast("string").alias("prompt_id"), (F.col("o_totalprice") / 500000).alias("score"), F.struct(F.col("o_custkey").alias("input_tokens")).alias("usage"))
-    rows = table(spark, d, "orders").select(F.concat(F.lit("healthbench_model_"), "o_orderstatus", F.lit("_20250101_120000_allresults.json")).alias("file"), F.struct(F.array(example).alias("example_level_metadata")).alias("metadata"))
+    rows = table(spark, d, "orders").select(F.concat(F.lit("eval_model_"), "o_orderstatus", F.lit("_20250101_120000_allresults.json")).alias("file"), F.struct(F.array(example).alias("example_level_metadata")).alias("metadata"))
     # one folder per file name; a reader takes the model from the name of the file
     rows.write.partitionBy("file").json(path)
     files = spark.read.schema(readers.S.RESULT_FILE).option("recursiveFileLookup", True).json(path).withColumn("name", F.regexp_extract("_metadata.file_path", "file=([^/]+)", 1))

@@ -47,12 +47,12 @@ def str_02(spark, d):
 
 
 @query("str_03_query_history", """
-    SELECT user_id, event_type AS src, 'k' || (props->>'$.k') AS dst, count(*)::BIGINT AS cnt, epoch_us(max(ts))::BIGINT AS last_used FROM events GROUP BY 1, 2, 3""")
+    SELECT user_id, event_type AS src, 'k' || (props->>'$.k') AS dst, count(*)::BIGINT AS cnt, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_used FROM events GROUP BY 1, 2, 3""")
 def str_03(spark, d):
     path = fresh(spark, "history")
     nodes = F.array("event_type", F.concat(F.lit("k"), F.from_json("props", "k int")["k"].cast("string")))
     state.keep_history(state.history_increments(events(spark, d).select("user_id", nodes.alias("nodes"), "ts")), path, fresh(spark, "ck"))
-    return state.latest(spark, path, ["user_id", "src", "dst"]).withColumn("last_used", F.unix_micros("last_used"))
+    return state.latest(spark, path, ["user_id", "src", "dst"]).withColumn("last_used", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("str_06_pattern_tracker", """

@@ -221,15 +221,27 @@ def prj_17(spark, d):
 
 
 @query("prj_18_trace", """
-    SELECT doc_id, 'Classified as ' || lang || ' by keyword' AS reasoning, 'hybrid_search' AS tool, '1 results' AS result, md5(text) AS content FROM documents""")
+    WITH t AS (SELECT doc_id, text, lang, source, n_chars, lang = 'en' AS found, chr(39) AS q FROM documents),
+    r AS (SELECT doc_id, unnest(list_filter(['Agent A: classified query as ' || q || lang || q || ' using keyword method',
+        CASE WHEN lang = 'fr' THEN 'Agent A: normalized terms -> ' || lang || ', ' || source ELSE 'Agent A: no term normalization applied' END,
+        'Agent B: retrieval plan built — must_load=[' || q || source || q || '], may_load=[]',
+        CASE WHEN found THEN 'Agent C: hybrid search (pgvector + FTS, RRF fusion) returned 1 results from ' || source ELSE 'Agent C: hybrid search (pgvector + FTS, RRF fusion) returned 0 results' END,
+        'Agent D: confidence=0.50 — disclaimer=' || CASE WHEN n_chars > 1000 THEN 'applied' ELSE 'none' END,
+        CASE WHEN lang = 'de' THEN 'Agent D: uncertainty flags -> [UNCERTAINTY FLAG]' END], lambda x: x IS NOT NULL)) AS line, md5(CASE WHEN found THEN text ELSE '' END) AS content FROM t)
+    SELECT doc_id, line, content FROM r""")
 def prj_18(spark, d):
-    from caresift.operators.providers import trace_of
-
-    hit = F.array(F.struct(F.col("source").alias("source_table"), F.col("text").alias("chunk_text"), F.lit(1.0).alias("relevance_score")))
-    trace = trace_of(F.col("lang"), F.col("source"), F.col("lang"), F.lit("keyword"), hit)
-    rows = table(spark, d, "documents").select("doc_id", trace.alias("t"))
-    return rows.select("doc_id", F.get("t.reasoning_trace", F.lit(0)).alias("reasoning"), F.get("t.tool_calls", F.lit(1))["tool_name"].alias("tool"),
-                       F.get("t.tool_calls", F.lit(1))["result"].alias("result"), F.md5(F.get("t.retrieval_results", F.lit(0))["content"]).alias("content"))
+    from caresift.operators.providers import trace_of, trace_or_default
+
+    lang = F.col("lang")
+    hit = F.array(F.struct(F.col("source").alias("source_table"), F.col("text").alias("chunk_text"), F.lit(0.5).alias("relevance_score")))
+    hits = F.when(lang == "en", hit).otherwise(F.filter(hit, lambda _: F.lit(False)))
+    none = F.lit(None).cast("array<string>")
+    trace = trace_of(
+        F.col("text"), lang, F.lit("keyword"), F.when(lang == "fr", F.array("lang", "source")), F.array("source"), none, F.lit(None).cast("string"), hits, F.lit(0.5),
+        F.when(F.col("n_chars") > 1000, "notice"), F.when(lang == "de", F.array(F.lit("[UNCERTAINTY FLAG]"))), hits, F.lit(None).cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", trace_or_default(trace, F.col("text")).alias("t"))
+    content = F.coalesce(F.get("t.retrieval_results", F.lit(0))["content"], F.lit(""))
+    return rows.select("doc_id", F.md5(content).alias("content"), F.explode_outer("t.reasoning_trace").alias("line"))
 
 
 @query("prj_19_usage", """

@@ -102,10 +102,10 @@ def top_subjects(categorized: DataFrame, n: int = 10) -> DataFrame:
 def coverage_gap(literature: Column, exam: Column) -> Column:
     """AG-04: how well a category is covered by literature next to exam questions."""
     return (
-        F.when(literature == 0, "no_literature")
-        .when(exam == 0, "no_exam")
-        .when(literature < exam * 0.1, "low_literature")
-        .otherwise("good")
+        F.when(literature == 0, K.GAP_LABELS["no_literature"])
+        .when(exam == 0, K.GAP_LABELS["no_exam"])
+        .when(literature < exam * 0.1, K.GAP_LABELS["low_literature"])
+        .otherwise(K.GAP_LABELS["good"])
     )
 
 

@@ -108,9 +108,9 @@ def inferred_comorbidity(pairs: DataFrame, categories: list[str], ceiling: float
 
 # --- fixed values: reading-level instructions ---------------------------------------------------------------
 LITERACY = {
-    "low": "Use plain, simple language (grade 5-6 reading level). No medical jargon. Short sentences. Explain any medical terms.",
-    "medium": "Use accessible language (grade 8-10 reading level). You may use some medical terms but define them.",
-    "high": "You may use full medical terminology. The user has a clinical or advanced background.",
+    "low": "Use very simple language. Aim for a 6th-grade reading level. Avoid medical jargon.",
+    "medium": "Use plain language. Aim for a 10th-grade reading level. Define medical terms when used.",
+    "high": "You may use clinical terminology. The reader has strong health literacy.",
 }
 
 
@@ -140,23 +140,71 @@ def profile_lines(age: Column, sex: Column, conditions: Column, medications: Col
     )
 
 
-def trace_of(answer: Column, query: Column, category: Column, method: Column, hits: Column) -> Column:
-    """PRJ-18: the execution trace of an answered query as a struct."""
+def _listed(c: Column) -> Column:
+    """An array of texts as ``['a', 'b']``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+
+
+def _texts(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+# --- fixed values: wording of the trace of an answered query ------------------------------------------------
+TRACE = {
+    "classified": "Agent A: classified query as '%s' using %s method",
+    "terms": "Agent A: normalized terms -> ",
+    "no_terms": "Agent A: no term normalization applied",
+    "plan": "Agent B: retrieval plan built — must_load=%s, may_load=%s",
+    "search": "Agent C: hybrid search (pgvector + FTS, RRF fusion) returned %d results",
+    "verified": "Agent D: confidence=%.2f — disclaimer=%s",
+    "flags": "Agent D: uncertainty flags -> ",
+    "no_context": "(no brain context loaded)",
+    "retrieved": "Retrieved %d results via RRF fusion",
+}
+ITEM = "array<struct<source:string,content:string,relevance_score:double>>"
+CALL = "array<struct<tool_name:string,query:string,category:string,result:string>>"
+
+
+def trace_of(query: Column, category: Column, method: Column, terms: Column, must_load: Column, may_load: Column, context: Column,
+             hits: Column, confidence: Column, disclaimer: Column, flags: Column, citations: Column, answer: Column) -> Column:
+    """PRJ-18: the execution trace of an answered query as a struct, from the columns of its stages.
+
+    ``hits`` and ``citations`` are arrays of hit structs; ``terms``, ``must_load``, ``may_load`` and ``flags`` of texts.
+    """
+    found = F.coalesce(F.size(hits), F.lit(0))
+    named = F.coalesce(category, F.lit("unknown"))
+    tables = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["source_table"])))
+    reasoning = F.array(
+        F.format_string(TRACE["classified"], named, F.coalesce(method, F.lit("unknown"))),
+        F.when(F.size(_texts(terms)) > 0, F.concat(F.lit(TRACE["terms"]), F.array_join(terms, ", "))).otherwise(F.lit(TRACE["no_terms"])),
+        F.format_string(TRACE["plan"], _listed(_texts(must_load)), _listed(_texts(may_load))),
+        F.concat(F.format_string(TRACE["search"], found), F.when(found > 0, F.concat(F.lit(" from "), F.array_join(tables, ", "))).otherwise(F.lit(""))),
+        F.format_string(TRACE["verified"], confidence, F.when(disclaimer.isNotNull(), "applied").otherwise("none")),
+        F.when(F.size(_texts(flags)) > 0, F.concat(F.lit(TRACE["flags"]), F.array_join(flags, ", "))),
+    )
+    no_text = F.lit(None).cast("string")
     return F.struct(
-        answer.alias("final_answer"),
+        F.coalesce(answer, F.lit("")).alias("final_answer"),
         F.array(
-            F.struct(F.lit("classify_query").alias("tool_name"), query.alias("argument"), category.alias("result")),
-            F.struct(F.lit("hybrid_search").alias("tool_name"), query.alias("argument"),
-                     F.format_string("%d results", F.size(hits)).alias("result")),
-        ).alias("tool_calls"),
-        F.array(F.format_string("Classified as %s by %s", category, method),
-                F.format_string("Retrieved %d records", F.size(hits))).alias("reasoning_trace"),
-        F.transform(hits, lambda h: F.struct(
-            h["source_table"].alias("source"), h["chunk_text"].alias("content"), h["relevance_score"].alias("relevance_score"))
-        ).alias("retrieval_results"),
+            F.struct(F.lit("brain_graph").alias("tool_name"), no_text.alias("query"), named.alias("category"),
+                     F.when(F.coalesce(context, F.lit("")) != "", F.substring(context, 1, 500)).otherwise(F.lit(TRACE["no_context"])).alias("result")),
+            F.struct(F.lit("hybrid_db_search").alias("tool_name"), query.alias("query"), named.alias("category"), F.format_string(TRACE["retrieved"], found).alias("result")),
+        ).cast(CALL).alias("tool_calls"),
+        F.array_compact(reasoning).alias("reasoning_trace"),
+        F.array().cast("array<string>").alias("corrections"),
+        F.coalesce(F.transform(citations, lambda c: F.struct(
+            c["source_table"].alias("source"), c["chunk_text"].alias("content"), c["relevance_score"].alias("relevance_score"))).cast(ITEM),
+            F.array().cast(ITEM)).alias("retrieval_results"),
     )
 
 
+def trace_or_default(trace: Column, response: Column) -> Column:
+    """PRJ-18: the recorded trace, or one that holds only the response."""
+    return F.coalesce(trace, F.struct(
+        response.alias("final_answer"), F.array().cast(CALL).alias("tool_calls"), F.array().cast("array<string>").alias("reasoning_trace"),
+        F.array().cast("array<string>").alias("corrections"), F.array().cast(ITEM).alias("retrieval_results")))
+
+
 def responses_joined(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id") -> DataFrame:
     """UDF-04: the sampler interface as data: prompts with the responses that were produced for them."""
     return prompts.join(responses, key, "left")

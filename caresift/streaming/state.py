@@ -54,7 +54,7 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
 def embed_new(chunks: DataFrame, embedder: Embedder, model: str, target: str, checkpoint: str) -> None:
     """STR-01: embed the chunks of a stream whose key is not in the target yet; safe to run again.
 
-    Rows of calls that failed are not written; ``retry_missing`` finds them by the same anti-join.
+    Rows of calls that failed are not written; ``embed_missing`` over the whole table finds them by the same anti-join.
     """
     keys = ["source_table", "source_id"]
 
