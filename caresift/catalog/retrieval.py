@@ -321,11 +321,11 @@ def wn_07(spark, d):
 
 
 @query("jn_19_knowledge_lookup", """
-    SELECT p_partkey, r_name IS NOT NULL AS found, coalesce(lower(r_name) || ' rules', '') AS content FROM part LEFT JOIN region ON p_size = r_regionkey""")
+    SELECT p_partkey, r_name IS NOT NULL AS found, coalesce(lower(r_name) || ' rules', '') AS content, CASE WHEN r_name IS NULL THEN 'slug0, slug1, slug2, slug3, slug4' END AS known_slugs FROM part LEFT JOIN region ON p_size = r_regionkey""")
 def jn_19(spark, d):
     docs = table(spark, d, "region").select(F.concat(F.lit("slug"), F.col("r_regionkey").cast("string")).alias("slug"), F.concat(F.lower("r_name"), F.lit(" rules")).alias("text"))
     wanted = table(spark, d, "part").select("p_partkey", F.concat(F.lit("slug"), F.col("p_size").cast("string")).alias("slug"))
-    return kb.lookup(wanted, docs).select("p_partkey", "found", F.coalesce("content", F.lit("")).alias("content"))
+    return kb.lookup(wanted, docs).select("p_partkey", "found", F.coalesce("content", F.lit("")).alias("content"), "known_slugs")
 
 
 @query("wn_08_unique_winner", """

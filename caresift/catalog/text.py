@@ -292,11 +292,11 @@ HISTORY_SQL = """SELECT user_id, event_type, count(*) AS cnt, max(ts) AS last FR
 
 
 @query("prj_24_history_boost", f"""
-    SELECT user_id, event_type, round(least(cnt * 0.02 * pow(0.5, ((epoch_us(TIMESTAMP '2024-06-01') - epoch_us(last)) / 86400000000.0) / 90), 0.15), 6) AS boost
+    SELECT user_id, event_type, round(least(cnt * 0.02 * pow(0.5, ((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(last)) / 86400000000.0) / 90), 0.15), 6) AS boost
     FROM ({HISTORY_SQL})""")
 def prj_24(spark, d):
     history = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("cnt"), F.max(F.col("ts").cast("timestamp")).alias("last"))
-    days = (F.unix_micros(F.lit("2024-06-01").cast("timestamp")) - F.unix_micros("last")) / 86_400_000_000
+    days = (F.unix_micros(F.lit("2024-03-01").cast("timestamp")) - F.unix_micros("last")) / 86_400_000_000
     return history.select("user_id", "event_type", r6(W.history_boost(F.col("cnt"), days)).alias("boost"))
 
 

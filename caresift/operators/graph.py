@@ -1,8 +1,8 @@
 """Category graph, per-user overlay and retrieval plan (JN-07 … JN-12, AG-39, AG-40, SET-04).
 
 The overlay works on one row per user: conditions and medications are arrays inside the profile row and the rule tables
-are short literals, so four of the five stages need no shuffle.  Only the edge lookups join, against the category graph
-(one row per linked pair of categories), whose size Spark checks before it broadcasts.
+are short literals.  Edge lookups join the category graph, which has one row per linked pair of categories; it is counted
+and then broadcast (``checked_broadcast``), since a shuffle on its twenty categories would be as skewed as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caresift import constants as K
 from caresift.functions import weights as W
 from caresift.operators import kb
+from caresift.operators.sizes import checked_broadcast
 
 BOOST_COLUMNS = ["user_id", "src", "dst", "boost", "source_type", "reason"]
 
@@ -61,12 +62,12 @@ def anchored(profiles: DataFrame, graph: DataFrame) -> DataFrame:
                 F.concat_ws(":", F.lit("sub"), "c.category_id", "c.subcategory_id").alias("sub"), F.col("c.name").alias("condition"))
     )
     known = graph.where(F.col("src").startswith("sub:")).select(F.col("src").alias("sub")).distinct()
-    return conditions.join(known, "sub", "left_semi")
+    return conditions.join(checked_broadcast(known), "sub", "left_semi")
 
 
 def anchor_boosts(anchors: DataFrame, graph: DataFrame) -> DataFrame:
     """JN-11: out-edges of the categories of anchored conditions: 0.30 on strong links, 0.25 on others."""
-    out = graph.where(F.col("src").startswith("cat:") & F.col("dst").startswith("cat:"))
+    out = checked_broadcast(graph.where(F.col("src").startswith("cat:") & F.col("dst").startswith("cat:")))
     return anchors.join(out, anchors["cat"] == out["src"]).select(
         "user_id", "src", "dst", F.when(F.col("edge_type") == "strong", 0.30).otherwise(0.25).alias("boost"),
         F.lit("anchor").alias("source_type"),
@@ -76,7 +77,7 @@ def anchor_boosts(anchors: DataFrame, graph: DataFrame) -> DataFrame:
 
 def expand_boosts(anchors: DataFrame, graph: DataFrame) -> DataFrame:
     """JN-11: Related edges of anchored subcategories: 0.15."""
-    rel = graph.where(F.col("edge_type") == "related").select("src", "dst")
+    rel = checked_broadcast(graph.where(F.col("edge_type") == "related").select("src", "dst"))
     return anchors.join(rel, anchors["sub"] == rel["src"]).select(
         "user_id", "src", "dst", F.lit(0.15).alias("boost"), F.lit("expand").alias("source_type"),
         F.concat(F.lit("Related link from anchored subcategory "), "src").alias("reason"),
@@ -176,13 +177,14 @@ def retrieval_plan(queries: DataFrame, graph: DataFrame, boosts: DataFrame, hist
     total = both_directions(boosts)
     asked = queries.select("query_id", "user_id", F.concat(F.lit("cat:"), "primary_category").alias("src"))
     out = graph.where(F.col("src").startswith("cat:") & F.col("dst").startswith("cat:")).select("src", "dst", "base_weight")
-    direct = asked.join(out, "src").select("query_id", "user_id", "src", "dst", "base_weight", F.lit(True).alias("direct"))
+    linked = checked_broadcast(out)
+    direct = asked.join(linked, "src").select("query_id", "user_id", "src", "dst", "base_weight", F.lit(True).alias("direct"))
     known = out.select("src").union(out.select(F.col("dst").alias("src"))).distinct()
     extra = (
-        asked.join(known, "src", "left_semi")
+        asked.join(checked_broadcast(known), "src", "left_semi")
         .join(anchors.select("user_id", F.col("cat").alias("dst")).distinct(), "user_id")
         .where(F.col("src") != F.col("dst"))
-        .join(out.select("src", "dst"), ["src", "dst"], "left_anti")
+        .join(linked.select("src", "dst"), ["src", "dst"], "left_anti")
         .select("query_id", "user_id", "src", "dst", F.lit(0.0).alias("base_weight"), F.lit(False).alias("direct"))
     )
     days = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_used").cast("timestamp"))) / 86_400_000_000)

@@ -178,11 +178,31 @@ def condition_registry(docs: DataFrame) -> DataFrame:
 
 
 def lookup(requests: DataFrame, docs: DataFrame, slug: str = "slug") -> DataFrame:
-    """JN-19: knowledge text for requested slugs; unknown ones are flagged."""
+    """JN-19: knowledge text for requested slugs; unknown ones are flagged and get the list of known slugs.
+
+    There is one document per category, so the list is short.
+    """
     known = docs.select(F.col("slug").alias("_known"), F.col("text").alias("content"))
-    return requests.join(known, F.col(slug) == F.col("_known"), "left").withColumn(
-        "found", F.col("_known").isNotNull()
-    ).drop("_known")
+    names = docs.agg(F.array_join(F.sort_array(F.collect_set("slug")), ", ").alias("names")).scalar()
+    return (
+        requests.join(known, F.col(slug) == F.col("_known"), "left")
+        .withColumn("found", F.col("_known").isNotNull())
+        .withColumn("known_slugs", F.when(~F.col("found"), names)).drop("_known")
+    )
+
+
+def context_sections(queries: DataFrame, plan: DataFrame, docs: DataFrame, general: str = "") -> DataFrame:
+    """JN-19, WN-07: the sections a query may read, as ``(query_id, ord, text)`` for ``budgeted``.
+
+    The primary category first, then must-load and may-load categories by weight, general rules last.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.col("bucket") != "must", F.desc("weight"), "category")
+    loaded = plan.where(F.col("bucket").isNotNull()).select("query_id", F.row_number().over(order).alias("ord"), F.col("category").alias("slug"))
+    primary = queries.select("query_id", F.lit(0).alias("ord"), F.col("category").alias("slug"))
+    texts = primary.unionByName(loaded).join(docs.select("slug", "text"), "slug").select("query_id", "ord", "text")
+    if not general:
+        return texts
+    return texts.unionByName(queries.select("query_id", F.lit(1_000_000).alias("ord"), F.lit(general).alias("text")))
 
 
 def budgeted(parts: DataFrame, key: str = "query_id", order: str = "ord", text: str = "text", budget: int = K.CONTEXT_BUDGET) -> DataFrame:

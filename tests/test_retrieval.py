@@ -173,6 +173,16 @@ def test_budget(spark):
     assert values(kb.joined_context(cut), "query_id", "context") == [(1, "aaaa\n\n---\n\nbb"), (2, "dd")]
 
 
+def test_context_sections(spark):
+    docs = spark.createDataFrame([(s, s * 2) for s in "abcd"], "slug string, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, "zz")], "query_id int, category string")
+    plan = spark.createDataFrame([(1, "b", 0.4, "may"), (1, "c", 0.7, "must"), (1, "d", 0.1, None), (2, "b", 0.6, "must")], "query_id int, category string, weight double, bucket string")
+    got = kb.joined_context(kb.budgeted(kb.context_sections(queries, plan, docs, "rules"), budget=9), separator="|")
+    assert values(got, "query_id", "context") == [(1, "aa|cc|bb|rul"), (2, "bb|rules")]
+    found = {r.slug: (r.found, r.known_slugs) for r in kb.lookup(spark.createDataFrame([("a",), ("q",)], "slug string").toDF("slug"), docs).collect()}
+    assert found == {"a": (True, None), "q": (False, "a, b, c, d")}
+
+
 def test_answering_end_to_end(spark):
     r = np.random.default_rng(1)
     vec = lambda i: [float(x) for x in r.normal(size=4) * 0.01 + np.eye(4)[i % 4]]
