@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caresift.llm import ngram_join, toxicity
+from caresift.llm import decontaminate, mixing, ngram_join, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,11 +27,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_token_output")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.sequence_table(spark, tokens.write_shards(table(spark, folder, "documents")))
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, folder, "documents"))
 
 
+@query("op8_mixing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rates, model, _ = mixing.mixed_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    named = F.map_from_arrays(F.lit(list(model.domains)), F.col("posterior"))
+    return rates.select("doc_id", "n_tokens", named.alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

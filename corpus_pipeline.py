@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.llm import ngram_join, toxicity
+from caresift.llm import decontaminate, mixing, ngram_join, tokens, toxicity
 from caresift.llm.common import fresh_folder
 
 
@@ -22,7 +22,28 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return ngram_join.one_of_each_class(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", one_per_class)]
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or with a few words edited, go."""
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated so that the expected tokens of every domain meet its target; each stays at least once."""
+    return mixing.repeated_to_targets(docs, _table(spark, sf_dir, "labels"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in training order, and one row per sequence, read back from them."""
+    return tokens.sequence_table(spark, tokens.write_shards(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_per_class),
+    ("benchmark_decontamination", drop_leaked),
+    ("mixing", mix_to_targets),
+    ("token_output", token_output),
+]
 
 #: Several stages are trained or iterate: no SQL says the same, the tests hold them against brute force.
 ORACLE_SQL = None
