@@ -30,7 +30,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Sketches of a pair at the threshold agree on fewer values than this share only 4.5 standard deviations below the mean.
 SKETCH_SHARE = 0.6
-BUCKET_BLOCK = 1_000
+BUCKET_BLOCK = 256
 GROUP_BLOCK = 256
 
 
