@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caresift.llm import decontaminate, mixing, ngram_join, tokens, toxicity
+from caresift.llm import chat, decontaminate, mixing, ngram_join, pii, substrings, tiff, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,16 +27,125 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op1_url_filters", """
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), ruled AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judged_urls(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op2_token_output")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.sequence_table(spark, tokens.write_shards(table(spark, folder, "documents")))
 
 
-@query("op5_ngram_jaccard_join")
+@query("op3_tiff_pages")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    images = tiff.texts_as_tiff(table(spark, folder, "documents"))
+    measured = images.withColumns({"media_bytes": F.length("image").cast("bigint"), "media_sha256": F.sha2("image", 256)})
+    return tiff.page_digests(tiff.tiff_pages(measured, "image"))
+
+
+@query("op4_pii_sanitisation")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest_columns(pii.sanitised(table(spark, folder, "documents")))
+
+
+@query("op5_ngram_jaccard_join", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS t(i)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(x.n) + any_value(y.n) - count(*)) - 1e-9
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), classes AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY ALL),
+degrees AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY ALL),
+copies AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS copy_id FROM words)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, p.copy_id, coalesce(g.n, 0) AS n_links
+FROM documents d LEFT JOIN classes c USING (doc_id) LEFT JOIN degrees g USING (doc_id) JOIN copies p USING (doc_id)
+""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, folder, "documents"))
 
 
+@query("op6_substring_dedup", """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM words, unnest(range(1, greatest(len(w) - 18, 1))) AS t(i)
+), firsts AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS at FROM firsts, unnest(range(0, 20)) AS t(j) WHERE nth > 1
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words
+), kept AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) AS k FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at GROUP BY p.doc_id
+), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.k, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    result = substrings.without_repeats(table(spark, folder, "documents"))
+    return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_ESCAPED = "replace(coalesce({0}, ''), '\\', '\\\\')"
+for _control in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
+
+
+@query("op7_chat_formatting", f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length({_ESCAPED.format("text")}) + CASE role
+    WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 17 + length({_ESCAPED.format("role")}) END AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(chat.conversations_from_rows(rows.unionByName(more)))
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("read"))
+    lost = F.array_join(F.transform(F.filter("read", lambda t: t["loss"]), lambda t: t["text"]), "")
+    every = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("read").cast("bigint").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length(lost).cast("bigint").alias("loss_chars"),
+        F.sha2(lost, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     rates, model, _ = mixing.mixed_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
