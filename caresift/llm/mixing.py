@@ -244,9 +244,8 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def repeated_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with every row repeated as its rate says; rates are at least 1, so that no document is lost."""
     model = fit_domains(domain_rows(docs, labels), list(targets))
-    names = docs.columns
-    members = stored(posteriors(docs.select("doc_id", "text"), model), "mix-members")
+    members = stored(posteriors(docs.select("text"), model), "mix-members")
     mix = fit_rates(members, np.array([targets[d] for d in model.domains]), 1.0, True)
-    judged = with_rates(posteriors(docs.withColumn("_words", F.col("text")), model, "_words"), mix)
-    many = judged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies(F.col("rate"), F.col("doc_id")), F.lit(1)))))
-    return many.select(*names)
+    judged = with_rates(posteriors(docs.select(F.struct("*").alias("row"), "text"), model), mix)
+    times = F.greatest(copies(F.col("rate"), F.col("row.doc_id")), F.lit(1))
+    return judged.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")
