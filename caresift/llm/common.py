@@ -26,10 +26,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later stages neither recompute it nor depend on an executor."""
     folder = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -30,6 +30,8 @@ END = 50_256
 LENGTH = 512
 PER_SHARD = 8_192
 ROUNDS = 6
+#: Compression of ids on their way: from this level on they come close to their entropy.
+LEVEL = 6
 
 
 def encoder(ranks: bytes):
@@ -122,7 +124,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
     folder = folder or fresh_folder(spark, "token-shards")
     with open(vocabulary, "rb") as f:
         ranks = f.read()
-    sequences = stored(packed_sequences(docs, ranks, length, doc_id, text), "token-sequences")
+    sequences = stored(packed_sequences(docs, ranks, length, doc_id, text), "token-sequences", LEVEL)
     # One number per task of the scan: bounded by its tasks, not by the rows.
     counts = {r["task"]: r["n"] for r in sequences.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, base = 0, {}
@@ -135,7 +137,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
         return permuted(start[np.searchsorted(np.unique(task), task)] + number, total, key)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -164,7 +166,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
     blobs = sequences.select("task", "number", "ids").mapInArrow(deal, "shard bigint, slots binary, records binary")
     n_shards = -(-total // per_shard)
     if total:
-        ordered = blobs.repartition(max(n_shards, 1), "shard").sortWithinPartitions("shard")
+        ordered = blobs.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
         files = ordered.mapInArrow(write, "shard bigint, file binary")
         files.select("shard", F.col("file").cast("string").alias("value")).write.partitionBy("shard").mode("overwrite").text(folder)
 
