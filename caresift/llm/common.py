@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caresift.session import shared_dir
 
 #: Bytes of text worked on at once: large enough for vector operations, small enough for the processor's cache.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: White space of the word contract, [\x20\x09-\x0D].
 WHITE_SPACE = (9, 10, 11, 12, 13, 32)
