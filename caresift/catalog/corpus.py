@@ -244,7 +244,7 @@ def ag_44(spark, d):
     return O.first_per_category(categorized(spark, d), 30, "TIER_A").select("primary_category", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
-@query("lim_02_seeded_sample")
+@query("lim_02_seeded_sample", "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def lim_02(spark, d):
     return sampling.seeded_sample(table(spark, d, "documents").select("doc_id", "lang"), 100, "doc_id", 42)
 
@@ -280,7 +280,10 @@ def lim_06(spark, d):
     return sampling.repeated(table(spark, d, "benchmark").select("item_id"), 4)
 
 
-@query("lim_07_companions")
+@query("lim_07_companions", """
+    WITH t AS (SELECT doc_id AS train_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents),
+    w AS (SELECT item_id, shot, (SELECT count(*) FROM documents) AS n, ('0x' || substr(md5('42:' || item_id || ':' || shot), 1, 12))::BIGINT AS h FROM benchmark, range(1, 4) AS r(shot))
+    SELECT item_id, train_id, shot::INT AS shot FROM w JOIN t ON t.at = (shot - 1) * w.n // 3 + h % (shot * w.n // 3 - (shot - 1) * w.n // 3)""")
 def lim_07(spark, d):
     tests = table(spark, d, "benchmark").select("item_id")
     return sampling.companions(tests, table(spark, d, "documents").select("doc_id"), 3, "item_id", "doc_id").select("item_id", "train_id", "shot")
@@ -291,4 +294,4 @@ def lim_07(spark, d):
 def set_01(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("documents").alias("dataset"), F.col("lang").alias("subject_name"), "text")
     conv = table(spark, d, "conversations").select(F.lit("conversations").alias("dataset"), F.col("role").alias("subject_name"), F.concat_ws("-", "conv_id", "turn").alias("id"))
-    return docs.unionByName(conv, allowMissingColumns=True).select("id", "dataset", "subject_name")
+    return O.union_tables([docs, conv], ["id", "dataset", "subject_name"])

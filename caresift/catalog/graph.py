@@ -181,18 +181,19 @@ def jn_11b(spark, d):
 
 @query("jn_09_comorbidity_boosts", _boost_sql("b3"))
 def jn_09(spark, d):
-    return _boosts(G.comorbidity_boosts(profiles(spark, d)))
+    return _boosts(G.comorbidity_boosts(profiles(spark, d), category_graph(spark, d)))
 
 
 @query("jn_10_demographic_boosts", _boost_sql("b4"))
 def jn_10(spark, d):
     users = profiles(spark, d)
-    return _boosts(G.demographic_boosts(users, G.anchored(users, category_graph(spark, d))))
+    graph = category_graph(spark, d)
+    return _boosts(G.demographic_boosts(users, G.anchored(users, graph), graph))
 
 
 @query("jn_12_medication_boosts", _boost_sql("b5"))
 def jn_12(spark, d):
-    return _boosts(G.medication_boosts(profiles(spark, d)))
+    return _boosts(G.medication_boosts(profiles(spark, d), category_graph(spark, d)))
 
 
 PLAN_SQL = f"""qs AS (SELECT c_custkey AS user_id, 'cat:' || {CAT('c_custkey * 7')} AS src FROM customer),
@@ -267,7 +268,7 @@ def ag_40(spark, d):
 def str_05(spark, d):
     # every fourth profile has changed; the others keep the medication boosts they had
     users, graph = profiles(spark, d), category_graph(spark, d)
-    return _boosts(G.rebuilt_for(users.where(F.col("user_id") % 4 == 0), graph, G.medication_boosts(users)))
+    return _boosts(G.rebuilt_for(users.where(F.col("user_id") % 4 == 0), graph, G.medication_boosts(users, graph)))
 
 
 @query("str_04_decayed_history", f"""SELECT user_id, src, dst, cnt::BIGINT AS cnt, round(least(cnt * 0.02 * pow(0.5, ((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(last)) / 86400000000.0) / 90), 0.15), 6) AS boost

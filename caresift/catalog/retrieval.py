@@ -33,12 +33,13 @@ def _source_table(label):
 CAT_SQL = lambda n: "[" + ", ".join(sql_text(c) for c in CATS) + f"][({n}) % 5 + 1]"
 TABLE_SQL = f"CASE WHEN label < 4 THEN '{TABLES[0]}' WHEN label < 7 THEN '{TABLES[1]}' ELSE '{TABLES[2]}' END"
 WORDS_SQL = lambda c: f"list_filter(string_split_regex(regexp_replace(lower({c}), {PUNCT}, ' ', 'g'), '\\s+'), lambda x: x <> '')"
-STOP_SQL = "[" + ", ".join(sql_text(w) for w in K.ENGLISH_WORDS) + "]"
+STOP_SQL = "[" + ", ".join(sql_text(w) for w in K.STOP_WORDS) + "]"
 
 RECORDS_SQL = f"""rec AS (SELECT vec_id AS record_id, {TABLE_SQL} AS source_table, embedding::DOUBLE[] AS e, text, {CAT_SQL('label')} AS primary_category,
-    CASE WHEN n_chars > 3000 THEN 'TIER_A' WHEN n_chars > 1000 THEN 'TIER_B' WHEN n_chars > 300 THEN 'TIER_C' ELSE 'TIER_D' END AS quality_tier FROM embeddings JOIN documents ON doc_id = vec_id)"""
-SEM_SQL = f"""{RECORDS_SQL}, qs AS (SELECT item_id AS query_id, b.text, embedding::DOUBLE[] AS e FROM benchmark b JOIN embeddings ON vec_id = item_id),
-  sim AS (SELECT query_id, source_table, record_id, round(list_cosine_similarity(qs.e, rec.e), 9) AS score FROM qs, rec),
+    CASE WHEN n_chars > 3000 THEN 'TIER_A' WHEN n_chars > 1000 THEN 'TIER_B' WHEN n_chars > 300 THEN 'TIER_C' ELSE 'TIER_D' END AS quality_tier
+    FROM (SELECT doc_id AS vec_id, text, n_chars, embedding, coalesce(label, doc_id % 10) AS label FROM documents LEFT JOIN embeddings ON doc_id = vec_id))"""
+SEM_SQL = f"""{RECORDS_SQL}, qs AS (SELECT item_id AS query_id, b.text, embedding::DOUBLE[] AS e FROM benchmark b LEFT JOIN embeddings ON vec_id = item_id),
+  sim AS (SELECT query_id, source_table, record_id, greatest(0, least(1, round(list_cosine_similarity(qs.e, rec.e), 9))) AS score FROM qs, rec WHERE qs.e IS NOT NULL AND rec.e IS NOT NULL),
   sem0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY score DESC, record_id) AS r FROM sim) WHERE r <= 20),
   sem AS (SELECT query_id, source_table, record_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_table, record_id) AS rank FROM sem0) WHERE rank <= 20)"""
 LEX_SQL = f"""qw AS (SELECT query_id, len(ws) AS need, unnest(ws) AS word FROM (SELECT item_id AS query_id, list_filter(list_distinct({WORDS_SQL('text')}), lambda x: NOT list_contains({STOP_SQL}, x)) AS ws FROM benchmark)),
@@ -55,7 +56,8 @@ FUSED_SQL = lambda k: f"""fz AS (SELECT query_id, source_table, record_id, coale
 def records(spark, d):
     n = F.col("n_chars")
     docs = texts(spark, d, "documents", F.col("doc_id").alias("vec_id"), "text", "n_chars")
-    joined = texts(spark, d, "embeddings", "vec_id", "label", "embedding").join(docs, "vec_id")
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    joined = docs.join(vectors, "vec_id", "left").withColumn("label", F.coalesce("label", F.col("vec_id") % 10))
     return joined.select(
         _source_table(F.col("label")).alias("source_table"), F.col("vec_id").alias("record_id"), "embedding", "text", _category(F.col("label")).alias("primary_category"),
         F.when(n > 3000, "TIER_A").when(n > 1000, "TIER_B").when(n > 300, "TIER_C").otherwise("TIER_D").alias("quality_tier"))
@@ -63,11 +65,13 @@ def records(spark, d):
 
 def asked(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
 
 
 def semantic(spark, d):
-    return R.list_top(R.semantic_hits(records(spark, d).select("source_table", "record_id", "embedding"), asked(spark, d)))
+    vectors = table(spark, d, "embeddings").select(_source_table(F.col("label")).alias("source_table"), F.col("vec_id").alias("record_id"), "embedding")
+    present = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"))
+    return R.list_top(R.semantic_hits(vectors.join(present, "record_id", "left_semi"), asked(spark, d)))
 
 
 def lexical(spark, d):
@@ -82,7 +86,7 @@ def _long(df, *names):
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
-@query("jn_01_embeddings_with_records", f"WITH {RECORDS_SQL} SELECT source_table, record_id, primary_category, quality_tier, md5(text) AS text FROM rec")
+@query("jn_01_embeddings_with_records", f"WITH {RECORDS_SQL} SELECT source_table, record_id, primary_category, quality_tier, md5(text) AS text FROM rec WHERE e IS NOT NULL")
 def jn_01(spark, d):
     docs = table(spark, d, "documents")
     n = F.col("n_chars")
@@ -123,7 +127,7 @@ def questions(spark, d):
 
 @query("jn_05_contained_phrases", f"WITH {TERMS_SQL} SELECT query_id, phrase, category FROM q JOIN ph ON contains(t, phrase)")
 def jn_05(spark, d):
-    return C.contained(questions(spark, d), X.normalized(F.col("text")), C.phrase_index(terms(spark, d)), "phrase", key="query_id").select("query_id", "phrase", "category")
+    return C.contained(questions(spark, d), X.normalized(F.col("text")), C.phrase_index(terms(spark, d)), "phrase").select("query_id", "phrase", "category")
 
 
 KEYWORD_SQL = f"""{TERMS_SQL},

@@ -256,7 +256,10 @@ def prj_19(spark, d):
     return rows.groupBy("l_returnflag").agg(F.sum("u.input_tokens").alias("input_tokens"), F.sum("u.output_tokens").alias("output_tokens"), F.count("u.total_tokens").alias("with_total"))
 
 
-@query("prj_20_shuffled_options")
+@query("prj_20_shuffled_options", """
+    WITH o AS (SELECT p_partkey, p_type, unnest([0, 1, 2, 3]) AS i, unnest([p_type, p_brand, p_name, p_size::VARCHAR]) AS option FROM part),
+    s AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('7:' || p_partkey || ':' || i), i) AS place FROM o)
+    SELECT p_partkey, p_type, string_agg(option, '|' ORDER BY place) AS options, substr('ABCD', max(CASE WHEN i = 0 THEN place END)::INT, 1) AS letter FROM s GROUP BY ALL""")
 def prj_20(spark, d):
     options = F.array("p_type", "p_brand", "p_name", F.col("p_size").cast("string"))
     rows = table(spark, d, "part").select("p_partkey", "p_type", X.shuffled_options(F.col("p_partkey"), options, 7).alias("o"))

@@ -70,8 +70,8 @@ def cut(c: Column, kind: str) -> Column:
     return F.substring(c, 1, CUTS[kind])
 
 
-def chunk_text(question: Column, answer: Column | None, category: Column, limit: int | None = CUTS["embed"]) -> Column:
-    """PRJ-04: the text that is embedded; a null answer column leaves its line out."""
+def chunk_text(question: Column, answer: Column | None, category: Column, limit: int | None = None) -> Column:
+    """PRJ-04: the text that is embedded, cut to ``limit`` if given; a null answer column leaves its line out."""
     def line(name: str, c: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")))
 
@@ -208,7 +208,7 @@ def usage(u: Column) -> Column:
 def shuffled_options(key: Column, options: Column, seed: int) -> Column:
     """PRJ-20: the options of a question in a seeded order (the first one is the correct one)."""
     keyed = F.transform(
-        options, lambda o, i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i"), o.alias("option"))
+        options, lambda o, i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), key, i)).alias("h"), i.alias("i"), o.alias("option"))
     )
     return F.transform(F.sort_array(keyed), lambda s: F.struct(s["option"].alias("option"), s["i"].alias("original")))
 

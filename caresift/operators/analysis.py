@@ -92,7 +92,7 @@ def worst_at_k(scores: DataFrame, ks: Sequence[int], model: str = "model", promp
     """
     keys = [model, prompt]
     counts = ordered.value_counts(scores, keys, score, hot_rows)
-    sized = counts.join(counts.groupBy(*keys).agg(F.sum("cnt").alias("n")), keys)
+    sized = ordered.join_groups(counts, counts.groupBy(*keys).agg(F.sum("cnt").alias("n")), keys)
     left = F.col("n") - F.col("before")
     sums = [
         F.sum(F.when(F.col("n") >= k, F.col(score) * (_subset_share(left, F.col("n"), k) - _subset_share(left - F.col("cnt"), F.col("n"), k)))).alias(f"_w{k}")
@@ -150,14 +150,13 @@ def _length_bounds(length: Column, limit: float) -> tuple[Column, Column]:
 
 
 def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "model", prompt: str = "prompt_id",
-                           score: str = "score", length: str = "length", levels: int = 24, hot_rows: int = HOT_ROWS) -> DataFrame:
+                           score: str = "score", length: str = "length", hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-15 with length control: pairs whose whole-number lengths differ by at most ``limit`` relative to their mean.
 
     Counting, not pairing: a sample counts the samples of each model with a smaller score and a length in its window.
     Scores become ranks within the prompt; ``ranks below r`` is split into dyadic blocks (one per set bit of r), every
     sample is entered in the block of each level it belongs to, and within a block the lengths in a window are a
-    difference of two running sums.  Work grows with samples times models times log(samples).  ``levels`` bounds the
-    distinct scores of a prompt at 2^levels.
+    difference of two running sums.  Work grows with samples times models times log(samples).
     """
     # a block holds at most each sample of its prompt once and is asked about two ends of each
     hot = ordered.has_hot_group(scores, [prompt], hot_rows // 3)
@@ -167,7 +166,7 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
     distinct = held.select(prompt, score).distinct().withColumn("_one", F.lit(1).cast("bigint"))
     ranks = ordered.running_before(distinct, [prompt], [score], {"rank": "_one"}, hot=hot).drop("_one")
     top = F.expr("greatest(1, cast(ceil(log2(_m + 1)) as int))")
-    size = ranks.groupBy(prompt).agg(F.max("rank").alias("_m")).select(prompt, F.least(top, F.lit(levels)).alias("_levels"))
+    size = ranks.groupBy(prompt).agg(F.max("rank").alias("_m")).select(prompt, top.alias("_levels"))
     ranked = held.join(ranks, [prompt, score]).join(size, prompt)
     level = F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)).alias("level")
     block = F.expr("shiftright(rank, level)")
@@ -237,7 +236,7 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 2
     else:
         bounds = rows.groupBy(*keys).agg(least.alias("_lo"), most.alias("_hi"), F.count(F.lit(1)).alias("_n"))
     if keys:
-        joined = rows.join(bounds, list(keys))
+        joined = ordered.join_groups(rows, bounds, keys)
     else:
         bounds_row = bounds.select(F.struct("_lo", "_hi", "_n").alias("b")).scalar()
         joined = rows.withColumn("_b", bounds_row).withColumns({c: F.col("_b")[c] for c in ("_lo", "_hi", "_n")})

@@ -132,7 +132,7 @@ def categorize_literature(df: DataFrame, mesh_rules: Sequence[Rule], question_ru
     )
 
 
-def categorize_consumer(df: DataFrame, question_rules: Sequence[Rule], preview_chars: int | None = PREVIEW) -> DataFrame:
+def categorize_consumer(df: DataFrame, question_rules: Sequence[Rule], preview_chars: int | None = None) -> DataFrame:
     """CLS-05: consumer QA by site, then question, then the beginning of the answer (``None``: all of it)."""
     site = F.lower(F.coalesce("source", F.lit("")))
     question = F.lower(X.strip(F.coalesce("question", F.lit(""))))
@@ -163,7 +163,7 @@ def categorize_consumer(df: DataFrame, question_rules: Sequence[Rule], preview_c
     )
 
 
-def categorize_dialogue(df: DataFrame, question_rules: Sequence[Rule], preview_chars: int | None = PREVIEW) -> DataFrame:
+def categorize_dialogue(df: DataFrame, question_rules: Sequence[Rule], preview_chars: int | None = None) -> DataFrame:
     """CLS-06: patient text counts double, the beginning of the reply (``None``: all of it) once."""
     prepared = df.withColumns(
         {

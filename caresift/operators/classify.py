@@ -19,6 +19,7 @@ from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions.rules import any_keyword, bound
 from caresift.operators.sizes import checked_broadcast
+from caresift.session import cut_lineage
 
 MAX_INLINE = 2_000
 MAX_CENTROIDS = 4_096
@@ -32,14 +33,15 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram: int = 4, key: str | None = None,
-              inline: int = MAX_INLINE) -> DataFrame:
+def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram: int = 4, inline: int = MAX_INLINE) -> DataFrame:
     """JN-05: rows of ``df`` with every phrase that is a substring of ``text``, as ``(df columns, phrase columns)``.
 
-    Up to ``inline`` phrases become one literal array that is searched inside the row.  More than that are joined on
-    character grams: a phrase can only be contained where its first gram is, so the grams of the text give equality
-    keys and the phrase is checked afterwards — ``key`` must then name a unique column of ``df``.
+    Null and empty phrases are contained in nothing.  Up to ``inline`` phrases become one literal array that is searched
+    inside the row.  More than that are joined on character grams: a phrase can only be contained where its first gram
+    is, so the grams of the text give equality keys and the phrase is checked afterwards.  Rows get a number of their
+    own for that, written with them, so repeated rows stay apart and a lost executor changes none.
     """
+    phrases = phrases.where(F.length(phrase) > 0)
     sample = phrases.limit(inline + 1).collect()
     if len(sample) <= inline:
         if not sample:
@@ -51,10 +53,9 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
             .where(F.col("_hit").isNotNull())
             .select(*df.columns, *[F.col(f"_hit.{n}").alias(n) for n in names])
         )
-    if key is None:
-        raise ValueError("a unique key column is needed to join more phrases than fit inline")
     keyed = phrases.withColumn("_len", F.least(F.length(phrase), F.lit(gram))).withColumn("_gram", F.substring(phrase, 1, gram))
-    texts = df.select(key, text.alias("_t")).withColumn("_n", F.length("_t"))
+    numbered = cut_lineage(df.withColumns({"_t": text, "_row": F.monotonically_increasing_id()}))
+    texts = numbered.select("_row", "_t", F.length("_t").alias("_n"))
 
     def grams(length: int) -> Column:
         last = F.col("_n") - length + 1
@@ -65,11 +66,11 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
     # phrases shorter than a gram need grams of their own length
     every = F.concat(*[grams(n) for n in range(1, gram + 1)])
     candidates = (
-        texts.select(key, F.explode_outer(every).alias("g")).where(F.col("g").isNotNull()).select(key, "g._len", "g._gram")
+        texts.select("_row", F.explode_outer(every).alias("g")).where(F.col("g").isNotNull()).select("_row", "g._len", "g._gram")
         .join(checked_broadcast(keyed), ["_len", "_gram"])
     )
     return (
-        candidates.drop("_len", "_gram").join(df.withColumn("_t", text), key)
+        candidates.drop("_len", "_gram").join(numbered, "_row")
         .where(F.contains(F.col("_t"), F.col(phrase)))
         .select(*df.columns, *phrases.columns)
     )
@@ -108,7 +109,7 @@ def keyword_category(queries: DataFrame, terms: DataFrame) -> DataFrame:
 
     Categories are few, so the map of a query's scores is small.
     """
-    phrases = contained(queries.select("query_id", "text"), X.normalized(F.col("text")), phrase_index(terms), "phrase", key="query_id")
+    phrases = contained(queries.select("query_id", "text"), X.normalized(F.col("text")), phrase_index(terms), "phrase")
     by_phrase = unique_winner(phrases.select("query_id", "category", F.lit(1).alias("score")))
     tokens = token_index(terms)
     words = queries.select("query_id", F.explode_outer(F.array_distinct(X.words(F.col("text")))).alias("token"))
@@ -176,7 +177,7 @@ def cascade(queries: DataFrame, by_keyword: DataFrame, by_centroid: DataFrame, b
     ).drop("_k", "_c", "_m", "_asked")
 
 
-def match_conditions(names: DataFrame, registry: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
+def match_conditions(names: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     """CLS-12: exact registry entry, else the first entry (by name) where either contains the other.
 
     Only names without exact match go on to the substring search.
@@ -186,12 +187,13 @@ def match_conditions(names: DataFrame, registry: DataFrame, name: str = "name",
     entries = registry.select(F.col("name").alias("entry"), "category", "subcategory")
     exact = asked.join(entries, asked["_n"] == entries["entry"]).select(*names.columns, "category", "subcategory")
     rest = asked.join(entries.select(F.col("entry").alias("_n")), "_n", "left_anti")
-    inside = contained(rest, F.col("_n"), entries, "entry", key=key).select(*names.columns, "entry", "category", "subcategory")
-    # the other direction: the wanted name inside the entry
-    distinct_names = rest.where(F.col("_n") != "").select("_n").distinct()
-    around = contained(entries, F.col("entry"), distinct_names, "_n", key="entry").join(rest, "_n").select(*names.columns, "entry", "category", "subcategory")
+    # The least entry of each direction is found per distinct name before any requester is joined.
+    wanted_names = rest.where(F.col("_n") != "").select("_n").distinct()
     first = F.min(F.struct("entry", "category", "subcategory")).alias("e")
-    partial = inside.unionByName(around).groupBy(*names.columns).agg(first).select(*names.columns, "e.category", "e.subcategory")
+    inside = contained(wanted_names, F.col("_n"), entries, "entry").groupBy("_n").agg(first)
+    around = contained(entries, F.col("entry"), wanted_names, "_n").groupBy("_n").agg(first)
+    least = inside.unionByName(around).groupBy("_n").agg(F.min("e").alias("e"))
+    partial = rest.join(least, "_n").select(*names.columns, "e.category", "e.subcategory")
     return exact.unionByName(partial)
 
 

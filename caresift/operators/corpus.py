@@ -33,7 +33,7 @@ STAT_COLUMNS = ["dataset", "primary_category", "quality_tier", "subject_name", "
 
 def harmonised(
     df: DataFrame, dataset: str | Column, key: Column, question: Column, subject: Column | None = None,
-    topic: Column | None = None, explained: Column | None = None, question_chars: int | None = X.CUTS["question"],
+    topic: Column | None = None, explained: Column | None = None, question_chars: int | None = None,
 ) -> DataFrame:
     """Project categorised rows to the common schema."""
     empty = F.lit("")
@@ -51,9 +51,9 @@ def harmonised(
     )
 
 
-def union_tables(tables: Sequence[DataFrame]) -> DataFrame:
+def union_tables(tables: Sequence[DataFrame], columns: Sequence[str] = CATEGORIZED_COLUMNS) -> DataFrame:
     """SET-01."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select(*CATEGORIZED_COLUMNS)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select(*columns)
 
 
 def corpus_stats(categorized: DataFrame) -> DataFrame:

@@ -93,22 +93,30 @@ def active_categories(conditions: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda c: c["category_id"]))
 
 
-def comorbidity_boosts(profiles: DataFrame, rules: list[tuple] = K.COMORBIDITY) -> DataFrame:
-    """JN-09: rules both of whose categories the user has.  One pass over the profile row, no pairing of conditions."""
+def between_nodes(boosts: DataFrame, graph: DataFrame) -> DataFrame:
+    """Only boosts both of whose ends are nodes of the graph."""
+    nodes = checked_broadcast(graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    for end in ("src", "dst"):
+        boosts = boosts.join(nodes.withColumnRenamed("node", end), end, "left_semi")
+    return boosts
+
+
+def comorbidity_boosts(profiles: DataFrame, graph: DataFrame, rules: list[tuple] = K.COMORBIDITY) -> DataFrame:
+    """JN-09: rules both of whose categories the user has, between nodes of the graph.  One pass over the profile row."""
     table = _rules(rules, ["a", "b", "src", "dst", "boost", "reason"])
     have = active_categories(F.col("conditions"))
-    return (
+    boosts = (
         profiles.withColumn("_have", have)
         .select("user_id", F.explode_outer(F.filter(table, lambda r: F.array_contains("_have", r["a"]) & F.array_contains("_have", r["b"]))).alias("r"))
         .where(F.col("r").isNotNull())
         .select("user_id", F.concat(F.lit("cat:"), "r.src").alias("src"), F.concat(F.lit("cat:"), "r.dst").alias("dst"),
                 "r.boost", F.lit("comorbidity").alias("source_type"), "r.reason")
     )
+    return between_nodes(boosts, graph)
 
 
-def demographic_boosts(profiles: DataFrame, anchors: DataFrame, categories: list[str] = K.CATEGORIES,
-                       ages: list[tuple] = K.AGE_BOOSTS, sexes: list[tuple] = K.SEX_BOOSTS) -> DataFrame:
-    """JN-10: age and sex rules, from every anchored category (from all categories when none is anchored)."""
+def demographic_boosts(profiles: DataFrame, anchors: DataFrame, graph: DataFrame, ages: list[tuple] = K.AGE_BOOSTS, sexes: list[tuple] = K.SEX_BOOSTS) -> DataFrame:
+    """JN-10: age and sex rules, from every anchored category (from all the graph's categories when none is anchored)."""
     by_user = anchors.groupBy("user_id").agg(F.collect_set("cat").alias("_cats"))
     age_table = _rules(ages, ["lo", "hi", "dst", "boost", "reason"])
     sex_table = _rules(sexes, ["sex", "dst", "boost", "reason"])
@@ -120,9 +128,10 @@ def demographic_boosts(profiles: DataFrame, anchors: DataFrame, categories: list
         F.filter(sex_table, lambda r: F.col("sex") == r["sex"]),
         lambda r: F.struct(r["dst"].alias("dst"), r["boost"].alias("boost"), r["reason"].alias("reason")),
     )
-    every = F.array(*[F.lit(f"cat:{c}") for c in categories])
+    nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").startswith("cat:"))
+    every = nodes.agg(F.sort_array(F.collect_set("node"))).scalar()  # the categories of one graph: a few dozen
     none = F.filter(by_sex, lambda _: F.lit(False))
-    return (
+    boosts = (
         profiles.join(by_user, "user_id", "left")
         .select("user_id", F.coalesce("_cats", every).alias("_cats"),
                 F.explode_outer(F.concat(F.coalesce(by_age, none), F.coalesce(by_sex, none))).alias("r"))
@@ -131,10 +140,11 @@ def demographic_boosts(profiles: DataFrame, anchors: DataFrame, categories: list
                 F.lit("demographic").alias("source_type"), "r.reason")
         .where(F.col("src") != F.col("dst"))
     )
+    return between_nodes(boosts, graph)
 
 
-def medication_boosts(profiles: DataFrame) -> DataFrame:
-    """JN-12: each medication's category towards medications (0.10) and back (0.05)."""
+def medication_boosts(profiles: DataFrame, graph: DataFrame) -> DataFrame:
+    """JN-12: each medication's category towards medications (0.10) and back (0.05), between nodes of the graph."""
     meds = F.lit(f"cat:{K.MEDICATIONS}")
     cat = F.concat(F.lit("cat:"), "m.category_id")
     taken = profiles.select("user_id", F.explode("medications").alias("m")).where(F.col("m.category_id") != K.MEDICATIONS)
@@ -144,16 +154,17 @@ def medication_boosts(profiles: DataFrame) -> DataFrame:
         F.struct(meds.alias("src"), cat.alias("dst"), F.lit(0.05).alias("boost"),
                  F.format_string("Medication %s relates to %s", "m.name", "m.category_id").alias("reason")),
     )
-    return taken.select("user_id", F.explode(both).alias("b")).select(
+    boosts = taken.select("user_id", F.explode(both).alias("b")).select(
         "user_id", "b.src", "b.dst", "b.boost", F.lit("medication").alias("source_type"), "b.reason"
     )
+    return between_nodes(boosts, graph)
 
 
-def user_overlay(profiles: DataFrame, graph: DataFrame, categories: list[str] = K.CATEGORIES) -> DataFrame:
+def user_overlay(profiles: DataFrame, graph: DataFrame) -> DataFrame:
     """All boosts of all users."""
     anchors = anchored(profiles, graph)
-    parts = [anchor_boosts(anchors, graph), expand_boosts(anchors, graph), comorbidity_boosts(profiles),
-             demographic_boosts(profiles, anchors, categories), medication_boosts(profiles)]
+    parts = [anchor_boosts(anchors, graph), expand_boosts(anchors, graph), comorbidity_boosts(profiles, graph),
+             demographic_boosts(profiles, anchors, graph), medication_boosts(profiles, graph)]
     out = parts[0].select(*BOOST_COLUMNS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*BOOST_COLUMNS))
@@ -232,7 +243,7 @@ def memory_weights(plan: DataFrame, facts: DataFrame, keys: list[str]) -> DataFr
     return joined.withColumn("weight", grown).drop("fresh", "grown")
 
 
-def rebuilt_for(changed: DataFrame, graph: DataFrame, old_boosts: DataFrame, categories: list[str] = K.CATEGORIES) -> DataFrame:
+def rebuilt_for(changed: DataFrame, graph: DataFrame, old_boosts: DataFrame) -> DataFrame:
     """STR-05: boosts after profile changes; other users keep theirs and query history is not touched."""
     kept = old_boosts.join(changed.select("user_id"), "user_id", "left_anti")
-    return kept.select(*BOOST_COLUMNS).unionByName(user_overlay(changed, graph, categories))
+    return kept.select(*BOOST_COLUMNS).unionByName(user_overlay(changed, graph))

@@ -84,6 +84,13 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_idx", hot_row
     return running_before(ones, [], order, {name: "_one"}, hot_rows).drop("_one")
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one-row-per-group values back to rows; a null key is a group like any other."""
+    renamed = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_g_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct values per group with ``cnt`` and ``before``, the number of rows with a smaller value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
@@ -101,7 +108,7 @@ def exact_quantiles(
     """
     counts = value_counts(df.select(*keys, F.col(value).alias("_v")), keys, "_v", hot_rows)
     sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    sized = counts.join(sizes, list(keys)) if keys else counts.withColumn("n", sizes.scalar())
+    sized = join_groups(counts, sizes, keys) if keys else counts.withColumn("n", sizes.scalar())
 
     def covers(place: Column) -> Column:
         return F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), F.col("_v"))
@@ -123,7 +130,7 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_row
     ranks = value_counts(df, keys, value, hot_rows).select(
         *keys, value, (F.col("before") + (F.col("cnt") + 1) / 2).alias(name)
     )
-    return df.join(ranks, [*keys, value])
+    return join_groups(df, ranks, [*keys, value])
 
 
 def running_max_frontier(

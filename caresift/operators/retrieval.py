@@ -14,6 +14,7 @@ from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions import weights as W
 from caresift.operators.sizes import checked_broadcast
+from caresift.session import cut_lineage
 
 QUERY_BLOCK = 2_048
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
@@ -50,9 +51,15 @@ def semantic_hits(corpus: DataFrame, queries: DataFrame, n: int = K.LIST_LENGTH,
     ``corpus`` is ``(source_table, record_id, embedding)`` and is never shuffled or replicated: each task multiplies its
     Arrow batches with a block of query vectors and keeps only the best ``n`` per query and table, so no pair is ever
     written.  Query blocks are bounded (``QUERY_BLOCK`` rows and 64 MB); a larger query table is taken block by block,
-    one corpus scan each.  Similarities are rounded to 9 decimals, so copies tie and ids decide.
+    one corpus scan each, and a block's hits are written before the next block is fetched, so that the driver never
+    holds more than one.  Similarities are rounded to 9 decimals and lie in 0 to 1 (opposite vectors: 0), so copies tie
+    and ids decide.  Queries and records without a vector have no semantic hits.
     """
+    has_vector = F.col(embedding).isNotNull() & (F.size(embedding) > 0)
+    queries, corpus = queries.where(has_vector), corpus.where(has_vector)
     blocks = _block_count(queries, embedding)
+    if blocks > 1:
+        queries = cut_lineage(queries.select("query_id", embedding))
     id_type = queries.schema["query_id"].dataType.simpleString()
     rec_type = corpus.schema["record_id"].dataType.simpleString()
     schema = f"query_id {id_type}, source_table string, record_id {rec_type}, score double"
@@ -61,7 +68,8 @@ def semantic_hits(corpus: DataFrame, queries: DataFrame, n: int = K.LIST_LENGTH,
         mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", embedding).collect()
         if not mine:
             continue
-        parts.append(corpus.select("source_table", "record_id", embedding).mapInPandas(_scanner(mine, embedding, n), schema))
+        part = corpus.select("source_table", "record_id", embedding).mapInPandas(_scanner(mine, embedding, n), schema)
+        parts.append(part if blocks == 1 else cut_lineage(part))
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema)
     local = reduce(DataFrame.unionByName, parts)
@@ -88,7 +96,7 @@ def _scanner(rows: list, embedding: str, n: int):
             for table, group in batch.groupby("source_table", sort=False):
                 x = np.stack(group[embedding].to_numpy()).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                names, scores = best(group["record_id"].to_numpy(), np.round(wanted @ x.T, 9))
+                names, scores = best(group["record_id"].to_numpy(), np.clip(np.round(wanted @ x.T, 9), 0.0, 1.0))
                 if table in kept:
                     names = np.concatenate([kept[table][0], names], axis=1)
                     scores = np.concatenate([kept[table][1], scores], axis=1)
@@ -107,7 +115,7 @@ def _scanner(rows: list, embedding: str, n: int):
     return scan
 
 
-def lexical_hits(corpus: DataFrame, queries: DataFrame, n: int | None = K.LIST_LENGTH, stop_words: list[str] = K.ENGLISH_WORDS) -> DataFrame:
+def lexical_hits(corpus: DataFrame, queries: DataFrame, n: int | None = K.LIST_LENGTH, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
     """JN-03: records that contain every query word that is not a stop word; ``(query_id, source_table, record_id, score)``.
 
     Score: sum over query words of tf / (1 + ln(words in the record)), at most 1.  ``corpus`` is ``(source_table,

@@ -92,37 +92,52 @@ def clipped_stats(metrics: DataFrame, keys: Sequence[str] = ("run_id", "model"))
     )
 
 
-def bootstrap_std(metrics: DataFrame, keys: Sequence[str] = ("run_id", "model"), replicates: int = 1000, seed: int = 0,
-                  chunks: int = 256) -> DataFrame:
+def bootstrap_std(metrics: DataFrame, keys: Sequence[str] = ("run_id", "model"), replicates: int = 1000, seed: int = 0) -> DataFrame:
     """AG-13 (a): standard deviation of the clipped mean over Poisson bootstrap replicates.
 
-    Equal values are counted first; a value seen c times gets Poisson(c) copies in every replicate.  Each metric is cut
-    into chunks by value hash, so a large metric is spread over many tasks; a task sends one row of replicate sums per
-    metric and chunk, whatever the number of values.  The draw depends on the value and the seed only, so a
+    Equal values are counted first; a value seen c times gets Poisson(c) copies in every replicate.  The values are
+    dealt over all tasks by their hash, so a large metric is spread; a task adds up its batches and sends one row of
+    replicate sums per metric.  The draw depends on value, replicate and seed only (a counter-based generator), so a
     recomputed task repeats it.
     """
     group = [*keys, "metric"]
     counts = (
         metrics.where(F.col("value").isNotNull()).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("chunk", F.pmod(F.xxhash64("value"), F.lit(chunks)).cast("int"))
         .withColumn("h", F.xxhash64(*group, "value", F.lit(seed)))
     )
     types = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in group)
 
+    def uniform(h: np.ndarray) -> np.ndarray:
+        x = h.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+    def poisson(h: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+        """Inverse of the distribution function, tabulated once per distinct count within 12 standard deviations."""
+        out = np.empty((len(h), replicates))
+        for c in np.unique(cnt):
+            low = max(0, int(c - 12 * np.sqrt(c)))
+            k = np.arange(low, int(c + 12 * np.sqrt(c) + 12))
+            logs = np.concatenate([[0.0], np.cumsum(np.log(c) - np.log(k[1:]))])
+            mass = np.exp(logs - logs.max())
+            mine = cnt == c
+            out[mine] = low + np.searchsorted(np.cumsum(mass) / mass.sum(), uniform(h[mine]))
+        return out
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for names, part in batch.groupby(group, sort=False, dropna=False):
-                weight = np.zeros(replicates)
-                total = np.zeros(replicates)
-                for value, cnt, h in zip(part["value"], part["cnt"], part["h"]):
-                    w = np.random.default_rng(int(h) & (2**63 - 1)).poisson(cnt, replicates)
-                    weight += w
-                    total += w * value
-                out.append(dict(zip(group, names)) | {"w": weight.tolist(), "t": total.tolist()})
-            yield pd.DataFrame(out, columns=[*group, "w", "t"])
-
-    partial = counts.repartition(*group, "chunk").mapInPandas(draw, f"{types}, w array<double>, t array<double>")
+            for at in range(0, len(batch), 512):
+                for names, part in batch.iloc[at:at + 512].groupby(group, sort=False, dropna=False):
+                    copies = poisson(part["h"].to_numpy(), part["cnt"].to_numpy())
+                    both = np.stack([copies.sum(0), part["value"].to_numpy(float) @ copies])
+                    names = tuple(None if pd.isna(x) else x for x in names)
+                    sums[names] = sums[names] + both if names in sums else both
+        rows = [dict(zip(group, names)) | {"w": both[0].tolist(), "t": both[1].tolist()} for names, both in sums.items()]
+        yield pd.DataFrame(rows, columns=[*group, "w", "t"])
+
+    partial = counts.repartition("h").mapInPandas(draw, f"{types}, w array<double>, t array<double>")
     sums = (
         partial.select(*group, F.posexplode(F.arrays_zip("w", "t")).alias("replicate", "s"))
         .groupBy(*group, "replicate").agg(F.sum("s.w").alias("w"), F.sum("s.t").alias("t"))

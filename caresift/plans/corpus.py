@@ -49,7 +49,7 @@ def united(exam: DataFrame, literature: DataFrame, consumer: DataFrame, dialogue
     return O.union_tables([
         O.harmonised(exam, "medmcqa", F.col("id"), F.col("question"), F.col("subject_name"), F.col("topic_name"), F.col("has_explanation")),
         O.harmonised(literature, "pubmedqa", F.col("pubid"), F.col("question"), None,
-                     F.array_join(F.slice(F.coalesce("context.meshes", F.array().cast("array<string>")), 1, 5), ", ")),
+                     F.array_join(F.coalesce("context.meshes", F.array().cast("array<string>")), ", ")),
         O.harmonised(consumer, "medquad", F.col("id"), F.col("question"), F.col("question_type"), F.col("source")),
         O.harmonised(dialogue, "healthcaremagic", F.col("row_idx"), F.col("input")),
     ]).select(*CATEGORIZED_COLUMNS)

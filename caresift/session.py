@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,14 @@ def build_session(name: str = "caresift", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when that is unset (tests on one machine) a local folder is made and set.
+    Only when that is unset and the session runs on one machine (tests) a local folder is made and set; on a cluster an
+    unset folder is an error, as executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="caresift-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -29,7 +29,7 @@ def record_tables(spark: SparkSession, database: str | None = None) -> dict[str,
     return found
 
 
-def read_record_table(spark: SparkSession, name: str, columns: list[str], question_chars: int | None = X.CUTS["question"]) -> DataFrame:
+def read_record_table(spark: SparkSession, name: str, columns: list[str], question_chars: int | None = None) -> DataFrame:
     """One table in the common schema; only the chosen columns are read."""
     def pick(options: list[str]):
         hit = next((c for c in options if c in columns), None)

@@ -27,17 +27,28 @@ def profiles(spark):
 
 def test_stages(spark, graph, profiles):
     anchors = G.anchored(profiles, graph)
+    cats = [f"cat:{c}" for c in K.CATEGORIES]
+    whole = spark.createDataFrame([(a, b) for a, b in zip(cats, cats[1:])], "src string, dst string")
     assert values(anchors, "user_id", "cat") == [("a", f"cat:{HORMONES}"), ("a", f"cat:{KIDNEY}")]
     assert values(G.anchor_boosts(anchors, graph), "user_id", "dst", "boost") == [("a", f"cat:{KIDNEY}", 0.30)]
     assert values(G.expand_boosts(anchors, graph), "dst", "boost") == [(f"cat:{EYES}", 0.15)]
-    assert values(G.comorbidity_boosts(profiles), "src", "dst", "boost") == sorted([
+    assert values(G.comorbidity_boosts(profiles, whole), "src", "dst", "boost") == sorted([
         (f"cat:{HORMONES}", f"cat:{HEART}", 0.20), (f"cat:{KIDNEY}", f"cat:{HEART}", 0.20), (f"cat:{HORMONES}", f"cat:{EYES}", 0.15)])
-    demo = G.demographic_boosts(profiles, anchors)
+    demo = G.demographic_boosts(profiles, anchors, whole)
     a = [r for r in demo.collect() if r.user_id == "a"]
     # age 55: cancer, heart, bones, eyes; male: kidney; from two anchored categories, never to itself
     assert len(a) == 2 * 4 + 1
     assert len([r for r in demo.collect() if r.user_id == "b"]) == 19 * 2  # two rules, from all categories
-    assert values(G.medication_boosts(profiles), "user_id", "src", "boost")[:2] == [("a", f"cat:{HEART}", 0.10), ("a", f"cat:{HORMONES}", 0.10)]
+    assert values(G.medication_boosts(profiles, whole), "user_id", "src", "boost")[:2] == [("a", f"cat:{HEART}", 0.10), ("a", f"cat:{HORMONES}", 0.10)]
+
+
+def test_boosts_stay_inside_the_graph(spark, profiles):
+    two = spark.createDataFrame([(f"cat:{HORMONES}", f"cat:{HEART}", "strong", 0.8)], "src string, dst string, edge_type string, base_weight double")
+    anchors = spark.createDataFrame([], "user_id string, cat string, sub string, condition string")
+    assert values(G.comorbidity_boosts(profiles, two), "src", "dst") == [(f"cat:{HORMONES}", f"cat:{HEART}")]
+    demo = G.demographic_boosts(profiles, anchors, two).collect()
+    assert demo and {r.src for r in demo} | {r.dst for r in demo} <= {f"cat:{HORMONES}", f"cat:{HEART}"}
+    assert G.medication_boosts(profiles, two).count() == 0
 
 
 def test_plan(spark, graph, profiles):

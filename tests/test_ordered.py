@@ -128,5 +128,22 @@ def test_seeded_samples(spark):
     a = {r.id for r in sampling.seeded_sample(spark.range(50), 10, "id", 1).collect()}
     b = {r.id for r in sampling.seeded_sample(spark.range(50).repartition(7), 10, "id", 1).collect()}
     assert a == b and len(a) == 10 and a != {r.id for r in sampling.seeded_sample(spark.range(50), 10, "id", 2).collect()}
-    shots = sampling.companions(spark.range(5), spark.range(100).withColumnRenamed("id", "t"), 3, "id", "t", buckets=4)
+    shots = sampling.companions(spark.range(5), spark.range(100).withColumnRenamed("id", "t"), 3, "id", "t")
     assert shots.groupBy("id").agg(F.countDistinct("train_id").alias("n")).where("n = 3").count() == 5
+    many = sampling.companions(spark.range(3_000), spark.range(10).withColumnRenamed("id", "t"), 3, "id", "t")
+    assert many.select("train_id").distinct().count() == 10  # every row can be drawn
+    assert sampling.companions(spark.range(5), spark.range(2).withColumnRenamed("id", "t"), 3, "id", "t").count() == 10
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_page(spark, hot_rows):
+    got = sampling.page(spark.range(100).repartition(5), ["id"], 40, 7, hot_rows)
+    assert sorted(r.id for r in got.collect()) == list(range(40, 47))
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_null_groups_keep_their_values(spark, hot_rows):
+    df = spark.createDataFrame([(None, float(k)) for k in range(9)] + [("a", 1.0), ("a", 3.0)], "g string, v double")
+    got = {(r.g, r.q): r.value for r in O.exact_quantiles(df, ["g"], "v", [0.5], hot_rows).collect()}
+    assert got == {(None, 0.5): 4.0, ("a", 0.5): 2.0}
+    assert O.mid_ranks(df, ["g"], "v", "r", hot_rows).where("g IS NULL").count() == 9

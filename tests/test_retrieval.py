@@ -101,8 +101,8 @@ def test_contained_phrases_both_ways(spark, inline):
     words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)]
     texts = [(i, "".join(r.choice("abc ") for _ in range(r.randint(0, 80)))) for i in range(40)]
     phrases = sorted(set(words))
-    got = C.contained(spark.createDataFrame(texts, "id int, text string"), F.col("text"), spark.createDataFrame([(p,) for p in phrases], "phrase string"), "phrase", key="id", inline=inline)
-    assert values(got, "id", "phrase") == sorted((i, p) for i, t in texts for p in phrases if p in t)
+    got = C.contained(spark.createDataFrame(texts + texts[:3], "id int, text string"), F.col("text"), spark.createDataFrame([(p,) for p in phrases + ["", None]], "phrase string"), "phrase", inline=inline)
+    assert values(got, "id", "phrase") == sorted((i, p) for i, t in texts + texts[:3] for p in phrases if p and p in t)
 
 
 def test_keyword_classifier(spark):
