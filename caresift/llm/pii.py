@@ -177,7 +177,9 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     )
     by_text = texts.join(told, "digest").select("digest", spotted.alias("terms"))
     no_terms = F.array().cast(by_text.schema["terms"].dataType)
-    with_terms = found.withColumn("digest", F.when(F.size("base") > 0, F.sha2("text", 256))).join(by_text, "digest", "left")
+    # Rows without an entity find nothing: their key only spreads them.
+    key = F.when(F.size("base") > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "text")))
+    with_terms = found.withColumn("digest", key).join(by_text, "digest", "left")
     spans = F.sort_array(F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.upper(F.concat(F.lit("["), F.element_at(F.lit(list(KINDS)), s["kind"] + 1), F.lit("]"))).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end"), F.when(s["stays"], _stem(s["value"])).otherwise("").alias("put"))),
