@@ -16,6 +16,10 @@ from caresift.functions import text as X
 LINK = r"\[([^\]]+)\]\(([^)]+?)\.md\)"
 
 
+#: Parts into which the sections of a key are dealt before its budget is applied.
+SHARES = 32
+
+
 def documents(files: DataFrame) -> DataFrame:
     """``(slug, name, text)`` from ``(path, text)``; the name is the first ``# `` heading."""
     return files.select(
@@ -208,18 +212,20 @@ def context_sections(queries: DataFrame, plan: DataFrame, docs: DataFrame, gener
 def budgeted(parts: DataFrame, key: str = "query_id", order: str = "ord", text: str = "text", budget: int = K.CONTEXT_BUDGET) -> DataFrame:
     """WN-07: sections of each key in order, cut where the character budget is used up.
 
-    Every kept section has at least one character, so at most ``budget`` rows per key can matter: the row limit is
-    applied per task before the shuffle and the running sum never sees more.
+    A section whose predecessors within one of ``SHARES`` hashed parts of its key use up the budget is beyond it for
+    sure.  So each part is cut first, in a task of its own, and at most ``SHARES`` times the budget of a key's text
+    meets in one task, whatever the number and length of its sections.
     """
-    ranked = Window.partitionBy(key).orderBy(order)
-    running = ranked.rowsBetween(Window.unboundedPreceding, -1)
+    shares = Window.partitionBy(key, "_share").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    used = lambda over: F.coalesce(F.sum(F.length(text)).over(over), F.lit(0))
     return (
-        parts.where(F.length(text) > 0)
-        .withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= budget)
-        .withColumn("_used", F.coalesce(F.sum(F.length(text)).over(running), F.lit(0)))
-        .where(F.col("_used") < budget)
+        parts.where(F.length(text) > 0).withColumn(text, F.substring(text, 1, budget))
+        .withColumn("_share", F.pmod(F.xxhash64(order), F.lit(SHARES)))
+        .withColumn("_used", used(shares)).where(F.col("_used") < budget)
+        .withColumn("_used", used(running)).where(F.col("_used") < budget)
         .withColumn(text, F.expr(f"substring(`{text}`, 1, int({budget} - _used))"))
-        .drop("_rn", "_used")
+        .drop("_share", "_used")
     )
 
 

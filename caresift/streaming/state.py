@@ -34,7 +34,7 @@ def _run(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _appending(path: str, partition_by: Sequence[str] = ()):
+def _appending(path: str):
     """Batch writer that replaces what an earlier try of the same batch wrote."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -93,29 +93,46 @@ FACT_COLUMNS = ["fact", "category", "mentions", "first_seen", "last_seen"]
 _FACT = T.StructType([T.StructField(n, T.IntegerType() if n == "mentions" else T.StringType()) for n in FACT_COLUMNS])
 
 
+class Facts:
+    """A user's facts under running numbers; a smaller number was remembered earlier."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.held = dict(enumerate(rows))
+
+    def named(self, name: str) -> int:
+        """The number of the first fact of that name (letter case aside), or the next free number."""
+        same = [number for number, row in self.held.items() if row["fact"].lower() == name.lower()]
+        return min(same, default=max(self.held, default=-1) + 1)
+
+    def weakest(self) -> int:
+        return min(self.held, key=lambda number: (self.held[number]["mentions"], self.held[number]["first_seen"], number))
+
+    def rows(self) -> list[dict]:
+        return [self.held[number] for number in sorted(self.held)]
+
+
 def apply_events(facts: list[dict], events: Iterator[tuple], graduate_at: int = GRADUATE_AT, capacity: int = MAX_FACTS) -> list[dict]:
-    """Apply ``(op, fact, old_fact, category, day)`` events to a user's facts in place; returns what graduated."""
-    graduated = []
+    """Apply ``(op, fact, old_fact, category, day)`` events to a user's facts in place; returns what graduated.
+
+    An update puts the new fact in the place of the old one, or adds it, with one mention.  Any other event mentions its
+    fact: at ``graduate_at`` mentions a fact leaves for good; a fact that is new to a full memory first displaces the
+    one with the fewest mentions, then the oldest, then the one remembered first.
+    """
+    memory, grown = Facts(facts), []
     for op, fact, old, category, day in events:
-        wanted = (old if op == "update" else fact).lower()
-        at = next((i for i, f in enumerate(facts) if f["fact"].lower() == wanted), None)
-        fresh = {"fact": fact, "category": category, "mentions": 1, "first_seen": day, "last_seen": day}
-        if op == "update":
-            if at is None:
-                facts.append(fresh)
-            else:
-                facts[at] = fresh
-        elif at is None:
-            if len(facts) >= capacity:
-                facts.sort(key=lambda f: (f["mentions"], f["first_seen"]))
-                del facts[0]
-            facts.append(fresh)
-        else:
-            facts[at]["mentions"] += 1
-            facts[at]["last_seen"] = day
-            if facts[at]["mentions"] >= graduate_at:
-                graduated.append({**facts.pop(at), "graduated_at": day})
-    return graduated
+        place = memory.named(old if op == "update" else fact)
+        before = None if op == "update" else memory.held.get(place)
+        row = {"fact": fact, "category": category, "mentions": 1, "first_seen": day} if before is None else {**before, "mentions": before["mentions"] + 1}
+        row["last_seen"] = day
+        if before is not None and row["mentions"] >= graduate_at:
+            del memory.held[place]
+            grown.append({**row, "graduated_at": day})
+            continue
+        if op != "update" and before is None and len(memory.held) >= capacity:
+            del memory.held[memory.weakest()]
+        memory.held[place] = row
+    facts[:] = memory.rows()
+    return grown
 
 
 class FactMemory(StatefulProcessor):
