@@ -94,7 +94,7 @@ _FACT = T.StructType([T.StructField(n, T.IntegerType() if n == "mentions" else T
 
 
 class Facts:
-    """A user's facts under running numbers; a smaller number was remembered earlier."""
+    """A user's facts under running numbers, the order in which names are looked up and ties are broken."""
 
     def __init__(self, rows: list[dict]) -> None:
         self.held = dict(enumerate(rows))
@@ -104,8 +104,10 @@ class Facts:
         same = [number for number, row in self.held.items() if row["fact"].lower() == name.lower()]
         return min(same, default=max(self.held, default=-1) + 1)
 
-    def weakest(self) -> int:
-        return min(self.held, key=lambda number: (self.held[number]["mentions"], self.held[number]["first_seen"], number))
+    def displace(self) -> None:
+        """Drop the weakest fact and number the others from the weakest on."""
+        order = sorted(self.held, key=lambda number: (self.held[number]["mentions"], self.held[number]["first_seen"], number))
+        self.held = {place: self.held[number] for place, number in enumerate(order[1:])}
 
     def rows(self) -> list[dict]:
         return [self.held[number] for number in sorted(self.held)]
@@ -116,7 +118,7 @@ def apply_events(facts: list[dict], events: Iterator[tuple], graduate_at: int =
 
     An update puts the new fact in the place of the old one, or adds it, with one mention.  Any other event mentions its
     fact: at ``graduate_at`` mentions a fact leaves for good; a fact that is new to a full memory first displaces the
-    one with the fewest mentions, then the oldest, then the one remembered first.
+    one with the fewest mentions, then the oldest, then the one with the smallest number, which renumbers the rest.
     """
     memory, grown = Facts(facts), []
     for op, fact, old, category, day in events:
@@ -129,7 +131,8 @@ def apply_events(facts: list[dict], events: Iterator[tuple], graduate_at: int =
             grown.append({**row, "graduated_at": day})
             continue
         if op != "update" and before is None and len(memory.held) >= capacity:
-            del memory.held[memory.weakest()]
+            memory.displace()
+            place = memory.named(fact)
         memory.held[place] = row
     facts[:] = memory.rows()
     return grown
