@@ -93,12 +93,19 @@ def src_07(spark, d):
     return out
 
 
-@query("src_08_metric_columns", "SELECT l_suppkey AS model, l_returnflag AS metric, round(avg(l_discount), 6) AS value, count(*)::DOUBLE AS n_samples, round(stddev_pop(l_discount), 6) AS bootstrap_std FROM lineitem GROUP BY 1, 2")
+def _folder_name():
+    """The reader takes the model from a file's name; Spark names its files itself, so here a folder carries the name."""
+    return F.regexp_extract("_metadata.file_path", "file=([^/]+)", 1)
+
+
+@query("src_08_metric_columns", "SELECT 'line_' || l_linenumber AS model, l_returnflag AS metric, round(avg(l_discount), 6) AS value, count(*)::DOUBLE AS n_samples, round(stddev_pop(l_discount), 6) AS bootstrap_std FROM lineitem GROUP BY 1, 2")
 def src_08(spark, d):
-    stats = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model"), F.col("l_returnflag").alias("m")).agg(F.avg("l_discount").alias("a"), F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop("l_discount").alias("s"))
+    path = fresh(spark, "metrics")
+    stats = table(spark, d, "lineitem").groupBy("l_linenumber", F.col("l_returnflag").alias("m")).agg(F.avg("l_discount").alias("a"), F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop("l_discount").alias("s"))
     pairs = F.array(*[F.struct(F.concat("m", F.lit(x)).alias("key"), F.col(c).alias("value")) for x, c in (("", "a"), (":n_samples", "n"), (":bootstrap_std", "s"))])
-    long = stats.select("model", F.explode(pairs).alias("p")).select("model", "p.key", "p.value")
-    return readers.metric_columns(long).withColumns({c: F.round(c, 6) for c in ("value", "bootstrap_std")})
+    objects = stats.groupBy("l_linenumber").agg(F.to_json(F.map_from_entries(F.flatten(F.collect_list(pairs)))).alias("value"))
+    objects.select(F.format_string("eval_line_%d_20250101_120000.json", F.col("l_linenumber").cast("int")).alias("file"), "value").write.partitionBy("file").text(path)
+    return readers.metric_files(spark, path, _folder_name()).withColumns({c: F.round(c, 6) for c in ("value", "bootstrap_std")})
 
 
 @query("src_09_discovered_tables", """
@@ -119,12 +126,12 @@ def src_09(spark, d):
 def src_10(spark, d):
     path = fresh(spark, "results")
     example = F.struct(F.col("o_orderkey").cast("string").alias("prompt_id"), (F.col("o_totalprice") / 500000).alias("score"), F.struct(F.col("o_custkey").alias("input_tokens")).alias("usage"))
-    rows = table(spark, d, "orders").select(F.concat(F.lit("eval_model_"), "o_orderstatus", F.lit("_20250101_120000_allresults.json")).alias("file"), F.struct(F.array(example).alias("example_level_metadata")).alias("metadata"))
-    # one folder per file name; a reader takes the model from the name of the file
-    rows.write.partitionBy("file").json(path)
-    files = spark.read.schema(readers.S.RESULT_FILE).option("recursiveFileLookup", True).json(path).withColumn("name", F.regexp_extract("_metadata.file_path", "file=([^/]+)", 1))
-    back = files.select(readers.model_of_file(F.col("name")).alias("model"), F.explode("metadata.example_level_metadata").alias("e"))
-    return back.select("model", "e.prompt_id", "e.score", "e.usage.input_tokens")
+    # a result file is one object; a run is cut into many files here
+    file, part = F.concat(F.lit("eval_model_"), "o_orderstatus", F.lit("_20250101_120000_allresults.json")).alias("file"), (F.col("o_orderkey") % 64).alias("part")
+    rows = table(spark, d, "orders").groupBy(file, part).agg(F.struct(F.collect_list(example).alias("example_level_metadata")).alias("metadata"))
+    rows.write.partitionBy("file", "part").json(path)
+    back = readers.example_results(spark, path, _folder_name())
+    return back.select("model", "prompt_id", "score", "usage.input_tokens")
 
 
 @query("snk_01_insert_if_absent", "SELECT source_id, chunk FROM (SELECT doc_id AS source_id, md5(text) AS chunk FROM documents)")

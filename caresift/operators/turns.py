@@ -19,8 +19,12 @@ def only_roles(turns: DataFrame, allowed: Sequence[str] = ("user", "assistant"),
 
 
 def last_user_text(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """PRJ-10: text of the last user turn."""
-    return turns.where(F.col(role) == "user").groupBy(key).agg(F.max_by(text, turn).alias("query"))
+    """PRJ-10: text of the last user turn; content given as a list of parts is its text parts, joined by blanks."""
+    content = F.col(text)
+    if turns.schema[text].dataType.typeName() == "array":
+        parts = F.filter(content, lambda p: p["type"] == "text")
+        content = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " ")
+    return turns.where(F.col(role) == "user").groupBy(key).agg(F.max_by(content, F.col(turn)).alias("query"))
 
 
 def dialogue_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caresift import schemas as S
@@ -95,10 +95,14 @@ def model_of_file(name):
     return F.regexp_replace(tail, r"^[^_]*_", "")
 
 
-def metric_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-08: ``(model, metric, value, n_samples, bootstrap_std)`` from one JSON object per file."""
-    objects = spark.read.text(path, wholetext=True).select(
-        model_of_file(F.col("_metadata.file_name")).alias("model"), F.from_json("value", "map<string,double>").alias("m")
+def metric_files(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """SRC-08: ``(model, metric, value, n_samples, bootstrap_std)`` from one JSON object per file.
+
+    ``name`` says what the model is read from, by default the name of the file.
+    """
+    name = F.col("_metadata.file_name") if name is None else name
+    objects = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        model_of_file(name).alias("model"), F.from_json("value", "map<string,double>").alias("m")
     )
     return metric_columns(objects.select("model", F.explode("m").alias("key", "value")))
 
@@ -114,10 +118,11 @@ def metric_columns(long: DataFrame) -> DataFrame:
     )
 
 
-def example_results(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: per-example results of full result files, with the model of the file."""
+def example_results(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """SRC-10: per-example results of full result files, with the model of the file (see ``metric_files``)."""
+    name = F.col("_metadata.file_name") if name is None else name
     return (
-        spark.read.schema(S.RESULT_FILE).option("multiLine", True).json(path)
-        .select(model_of_file(F.col("_metadata.file_name")).alias("model"), F.explode("metadata.example_level_metadata").alias("e"))
+        spark.read.schema(S.RESULT_FILE).options(multiLine=True, recursiveFileLookup=True).json(path)
+        .select(model_of_file(name).alias("model"), F.explode("metadata.example_level_metadata").alias("e"))
         .select("model", "e.*")
     )

@@ -94,3 +94,12 @@ def test_retrieval_items(spark):
     assert [i.source for i in one(spark, X.retrieval_items(lit("pubmed_search"), lit(text)))] == ["PMID 12", "PMID 3"]
     assert one(spark, X.retrieval_items(lit("pubmed_search"), lit("Error: no"))) == []
     assert one(spark, X.retrieval_items(lit("calculator"), lit(text))) == []
+
+
+def test_last_user_text_of_parts(spark):
+    from caresift.operators import turns
+
+    part = "array<struct<type:string,text:string>>"
+    rows = [(1, 0, "user", [("text", "old")]), (1, 2, "user", [("text", "a"), ("image", "x"), ("text", None), ("text", "b")]), (1, 3, "assistant", [("text", "z")]), (2, 0, "user", [])]
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, text {part}")
+    assert {r.conv_id: r.query for r in turns.last_user_text(df).collect()} == {1: "a  b", 2: ""}
