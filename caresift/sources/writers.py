@@ -31,7 +31,9 @@ def absent(rows: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame
 def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (), partition_by: Sequence[str] = ()) -> int:
     """SNK-01: append the rows whose key is neither in the target nor earlier in the batch; returns how many.
 
-    A run that failed half way has committed nothing, so running it again is safe.
+    A plain append: files appear when the job commits, so a run that failed before that can simply run again.  A commit
+    that was itself interrupted may leave part of the rows, which the next run then finds and leaves out.  Two writers
+    at the same time are not kept apart.
     """
     new = first_of_each(rows, keys, order)
     try:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,12 +65,14 @@ def embed_new(chunks: DataFrame, embedder: Embedder, model: str, target: str, ch
 
 
 def embed_missing(chunks: DataFrame, embedder: Embedder, model: str, target: str, keys: Sequence[str] = ("source_table", "source_id")) -> int:
-    """JN-02, UDF-01, SNK-01: embed what is missing in the target and add it; returns how many rows were added."""
+    """JN-02, UDF-01, SNK-01: embed what is missing in the target (one anti-join) and add it; returns how many."""
     spark = chunks.sparkSession
     wanted = first_of_each(chunks, list(keys))
     if _exists(spark, target):
         wanted = absent(wanted, spark.read.parquet(target), list(keys))
-    return insert_if_absent(embed_chunks(wanted, embedder, model), target, list(keys))
+    seen = Observation()
+    embed_chunks(wanted, embedder, model).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target)
+    return int(seen.get["n"])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
