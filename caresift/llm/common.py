@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -13,6 +14,8 @@ from caresift.session import shared_dir
 
 #: Bytes of text worked on at once: large enough for vector operations, small enough for the processor's cache.
 SLICE_BYTES = 1 << 18
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 4 << 20
 
 #: White space of the word contract, [\x20\x09-\x0D].
 WHITE_SPACE = (9, 10, 11, 12, 13, 32)
@@ -42,6 +45,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let at most ``BATCH_BYTES`` go to a Python worker at once, unless the session allows even less.
+
+    Whole texts are long: at Spark's 64 MB a batch, its copies in the executor and its workers add up to much memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub("[^0-9-]", "", spark.conf.get(key)) or 0)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

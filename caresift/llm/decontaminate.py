@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import WordHasher, mixed, ranges, separators, stored, text_slices, word_bounds
+from caresift.llm.common import WordHasher, mixed, ranges, separators, small_batches, stored, text_slices, word_bounds
 
 SIMILARITY = 0.8
 STEPS = 12
@@ -224,6 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     The reported window is the nearest, then the earliest of those found.  Null texts and items without words match
     nothing; repeated rows and items are reported each.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), T.StructField("first_word", T.LongType()), T.StructField("distance", T.LongType())])
     source = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
     result = None
@@ -244,6 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found (see ``leaks``), all columns, one pass per block."""
+    small_batches(docs.sparkSession)
     kept, names = docs, docs.columns
     for items in item_blocks(benchmark, item_id, item_text, block_words):
         width = len(names)

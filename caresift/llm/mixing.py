@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import WHITE_SPACE, WordHasher, separators, stored, text_slices, word_bounds
+from caresift.llm.common import WHITE_SPACE, WordHasher, separators, small_batches, stored, text_slices, word_bounds
 from caresift.llm.toxicity import bounded_sample
 
 HASH_BITS = 14
@@ -59,6 +59,7 @@ def fit_domains(labelled: DataFrame, domains: list[str], text: str = "text", dom
 
     Rows of other domains, or with a null domain or key, are left out.  Without any row all domains are equally likely.
     """
+    small_batches(labelled.sparkSession)
     names = sorted(set(domains))
     rows = labelled.where(F.col(domain).isin(names) & F.col(key).isNotNull())
     number = F.array_position(F.lit(names), F.col(domain)).cast("int") - 1
@@ -106,11 +107,15 @@ def fit_domains(labelled: DataFrame, domains: list[str], text: str = "text", dom
     return DomainModel(start.domains, start.words, prior, best)
 
 
-def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` but its text, plus ``n_tokens`` (words) and ``posterior`` (one share per domain)."""
-    kept = docs.drop(text, "n_tokens", "posterior")
+def posteriors(docs: DataFrame, model: DomainModel, text: str = "text", mix: Mix | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` but its text, plus ``n_tokens`` (words) and ``posterior`` (one share per domain).
+
+    With a fitted ``mix`` also ``rate``, from the same pass.
+    """
+    added = [("n_tokens", T.LongType()), ("posterior", T.ArrayType(T.FloatType()))] + ([("rate", T.DoubleType())] if mix else [])
+    kept = docs.drop(text, *[n for n, _ in added])
     width = len(kept.columns)
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in added]])
     n_domains = len(model.domains)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +125,8 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
                 numbers, counts = word_numbers(data, offsets, hasher, between)
                 share = model.posterior(model.evidence(numbers, counts)).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * n_domains), pa.array(share.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(low, high - low) for i in range(width)], pa.array(counts.astype(np.int64)), lists], names=schema.names)
+                rates = [pa.array(rates_of(share.astype(np.float64), mix.steps, mix.least)[0])] if mix else []
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(low, high - low) for i in range(width)], pa.array(counts.astype(np.int64)), lists, *rates], names=schema.names)
 
     return docs.select(*kept.columns, F.col(text).alias("_text")).mapInArrow(judge, schema)
 
@@ -246,6 +252,6 @@ def repeated_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, f
     model = fit_domains(domain_rows(docs, labels), list(targets))
     members = stored(posteriors(docs.select("text"), model), "mix-members")
     mix = fit_rates(members, np.array([targets[d] for d in model.domains]), 1.0, True)
-    judged = with_rates(posteriors(docs.select(F.struct("*").alias("row"), "text"), model), mix)
+    judged = posteriors(docs.select(F.struct("*").alias("row"), "text"), model, "text", mix)
     times = F.greatest(copies(F.col("rate"), F.col("row.doc_id")), F.lit(1))
     return judged.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caresift.llm.common import (
-    WHITE_SPACE, WordHasher, binary_rows, full_windows, group_starts, mixed, separators, shuffle_partitions, stored, text_slices,
+    WHITE_SPACE, WordHasher, binary_rows, full_windows, group_starts, mixed, separators, shuffle_partitions, small_batches, stored, text_slices,
     whole_groups, window_hashes, word_bounds,
 )
 from caresift.llm.components import components
@@ -258,7 +258,7 @@ def jaccard_classes(
     no words, and rows without an id, link with nothing and are their own class.  ``doc_id`` identifies a text: rows
     that repeat an id repeat its text and count as copies.  Other columns are not looked at.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     depth = forest_depth(threshold, trees, target, max_depth)
     signed = stored(signatures(docs, trees, depth, doc_id, text), "jaccard-signed")
     classes = stored(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caresift.llm.common import (
-    WHITE_SPACE, WordHasher, full_windows, group_starts, mixed, separators, shuffle_partitions, stored, text_slices, whole_groups, window_hashes, word_bounds,
+    WHITE_SPACE, WordHasher, full_windows, group_starts, mixed, separators, shuffle_partitions, small_batches, stored, text_slices, whole_groups, window_hashes, word_bounds,
 )
 
 WINDOW = 20
@@ -188,6 +188,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     input.  Null texts have no words; a null id counts as smaller than every other.  Rows that repeat id and text are
     the same text and treated alike; neither counts as earlier.
     """
+    small_batches(docs.sparkSession)
     found = stored(repeated_words(docs, doc_id, text, width, run), "repeated-words")
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 

@@ -7,6 +7,7 @@ as pages, to have something to read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caresift.llm.common import group_starts, small_batches, whole_groups
+
 #: Fixed values of the format: numbers of tags, compressions and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 273, 277, 278, 279
@@ -353,15 +356,12 @@ def texts_as_tiff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 ], names=schema.names)
                 row += len(texts)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(write, schema)
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
     """Pages of one image (consecutive rows with the same ``row``) put together again: digests of what was read."""
-    import hashlib
-
-    from caresift.llm.common import group_starts, whole_groups
-
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     schema = T.StructType([T.StructField("doc_id", pages.schema["doc_id"].dataType), *[T.StructField(n, T.StringType() if n.endswith("sha256") or n == "feature" else T.LongType()) for n in names[1:]]])
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caresift.llm.common import fresh_folder, group_starts, mixed, stored, whole_groups
+from caresift.llm.common import fresh_folder, group_starts, mixed, small_batches, stored, whole_groups
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern by which the vocabulary's texts are cut before merging; a fixed value of this public tokeniser.
@@ -121,6 +121,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
     table gives no shard.  ``vocabulary`` is read on the driver and sent along; its ids must be below 65,536.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or fresh_folder(spark, "token-shards")
     with open(vocabulary, "rb") as f:
         ranks = f.read()

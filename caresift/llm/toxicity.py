@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import stored, text_slices
+from caresift.llm.common import small_batches, stored, text_slices
 
 GRAM_SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -102,6 +102,7 @@ def fit_toxicity(
     ``min_documents`` documents whose log-count ratio is at least ``min_z`` standard errors from 0, strongest first.
     Without rows of either label the model knows no n-gram and scores every text with the share of label 1.
     """
+    small_batches(labelled.sparkSession)
     sizes, bits = GRAM_SIZES, HASH_BITS
     rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     sample = stored(bounded_sample(rows, key, max_rows).select(F.col(label).cast("int").alias("label"), padded(F.col(text)).alias("text")), "toxicity-sample")
@@ -195,6 +196,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     Null texts are scored as empty ones: by the bias alone.  Columns of these two names are replaced.
     """
+    small_batches(docs.sparkSession)
     source = docs.drop("score", "predicted")
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     n_columns = len(source.columns)
