@@ -1,10 +1,12 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH on item-sized windows, exact edit verification.
 
-A window walks through its words: at every step it writes down the word it stands on and moves on by one random bit
-that depends on step and word (the CGK embedding).  Similar windows fall into step again after an edit, so that edit
-distance becomes Hamming distance of what was written down.  A repetition samples a few of the first steps as its key;
-odd repetitions walk backwards from the last word.  Their number follows from the target recall, measured by simulated
-edits at the threshold.  Every candidate is verified with the exact edit distance of words.
+A walk goes through words: at every step it writes down the word it stands on and moves on by one random bit that
+depends on step and word (the CGK embedding).  Similar passages fall into step again after an edit, so that edit
+distance becomes Hamming distance of what was written down.  Short walks start at every word of an item, so that all of
+it is looked at wherever its edits stand, and at every word of a text; a hit says where the item would begin.  A
+repetition samples a few steps as its key; odd repetitions walk backwards.  Their number follows from the target recall,
+measured at the items' own lengths by simulated edits at the threshold: at random places, at both ends, in the middle
+and evenly spaced.  Every candidate is verified with the exact edit distance of words.
 
 The benchmark is the query set: it is handled in blocks of bounded size, each sent to all tasks, and the corpus is
 scanned per block without any shuffle.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from pyspark.sql import types as T
 from caresift.llm.common import WordHasher, mixed, ranges, separators, small_batches, stored, text_slices, word_bounds
 
 SIMILARITY = 0.8
-STEPS = 12
+STEPS = 8
 SAMPLED = 4
+#: Simulated items are at most this long: longer ones have more unedited runs at the same share of edits.
+SIMULATED_WORDS = 60
 #: Words of one block of benchmark items: what is sent to every task stays within a few MB.
 BLOCK_WORDS = 200_000
 
@@ -78,23 +83,62 @@ def edited(words: np.ndarray, edits: int, random: np.random.Generator) -> np.nda
     return np.array(out, np.uint64)
 
 
-def repetitions(target: float, similarity: float, steps: int, sampled: int, length: int = 40, trials: int = 400, most: int = 64) -> int:
-    """The fewest repetitions that find ``target`` of simulated items with as many random edits as the threshold allows."""
+def edit_patterns(item: np.ndarray, edits: int, random: np.random.Generator) -> list[np.ndarray]:
+    """Copies of an item with ``edits`` edits: random ones, both ends or the middle replaced, evenly spaced words replaced or dropped."""
+    n, half = len(item), edits // 2
+    spaced = np.array([(k + 1) * (n + 1) // (edits + 1) - 1 for k in range(edits)], np.int64)
+    both = np.concatenate([np.arange(half), np.arange(n - edits + half, n)])
+    out = [edited(item, edits, random), np.delete(item, spaced)]
+    for places in (both, np.arange((n - edits) // 2, (n - edits) // 2 + edits), spaced):
+        other = item.copy()
+        other[places] = random.integers(1, 1 << 62, len(places)).astype(np.uint64)
+        out.append(other)
+    return out
+
+
+def anchors(sizes: np.ndarray, walk: Walk) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the word sequences, offset in it) of all starts from which the sampled steps surely stay inside."""
+    counts = np.maximum(sizes - walk.picks[-1], 0)
+    return np.repeat(np.arange(len(sizes)), counts), ranges(np.full(len(sizes), walk.picks[-1] if walk.backward else 0), counts)
+
+
+@lru_cache(maxsize=1_000)
+def simulated(target: float, length: int, edits: int, steps: int, sampled: int, trials: int = 100, most: int = 24) -> int | None:
+    """The fewest repetitions that find ``target`` of the copies of every pattern of edits; none if ``most`` are too few."""
     random = np.random.default_rng(43)
-    plan = walks(most, steps, sampled)
-    first = np.full(trials, most)
-    for t in range(trials):
-        item = random.integers(1, 1 << 62, length).astype(np.uint64)
-        other = edited(item, int((1 - similarity) * length + 1e-9), random)
-        if len(other) < steps:
-            continue
-        for k, walk in enumerate(plan):
-            a, b = (np.array([len(x) - 1 if walk.backward else 0]) for x in (item, other))
-            if walked(item, a, walk)[1][0] == walked(other, b, walk)[1][0]:
-                first[t] = k
-                break
-    found = np.sort(first)[min(trials - 1, int(np.ceil(target * trials)) - 1)]
-    return int(min(most, found + 1))
+    items = [random.integers(1, 1 << 62, length).astype(np.uint64) for _ in range(trials)]
+    pairs = [(x, y) for x in items for y in edit_patterns(x, edits, random)]
+    first = np.full(len(pairs), most)
+    for k, walk in enumerate(walks(most, steps, sampled)):
+        sides = []
+        for side in (0, 1):
+            sizes = np.array([len(x[side]) for x in pairs])
+            owner, offset = anchors(sizes, walk)
+            _, key = walked(np.concatenate([x[side] for x in pairs]), (np.cumsum(sizes) - sizes)[owner] + offset, walk)
+            sides.append((mixed(key + owner.astype(np.uint64)), owner, offset))
+        (keys, owner, offset), (others, _, there) = sides
+        order = np.argsort(others, kind="stable")
+        low, high = np.searchsorted(others[order], keys), np.searchsorted(others[order], keys, "right")
+        hit = order[ranges(low, high - low)]
+        # A hit elsewhere in the item does not lead to the passage.
+        near = np.abs(there[hit] - np.repeat(offset, high - low)) <= edits
+        found = np.repeat(owner, high - low)[near]
+        first[found] = np.minimum(first[found], k)
+        worst = np.sort(first.reshape(trials, -1), axis=0)[max(0, int(np.ceil(target * trials)) - 1)].max()
+        if worst <= k:
+            return int(worst) + 1
+    return None
+
+
+def repetitions(target: float, length: int, edits: int) -> tuple[int, int]:
+    """(steps, repetitions) for items of ``length`` words with up to ``edits`` edits: as many steps as let recall reach the target."""
+    if length > SIMULATED_WORDS:
+        length, edits = SIMULATED_WORDS, -(-edits * SIMULATED_WORDS // length)
+    for steps in range(min(length, STEPS), 1, -1):
+        count = simulated(target, length, edits, steps, min(SAMPLED, steps))
+        if count is not None:
+            return steps, count
+    return 1, 1
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -130,16 +174,17 @@ class Finder:
             self.padded[k, :len(x.words)] = x.words
         self.limit = np.floor((1 - similarity) * self.size + 1e-9).astype(int)
         self.plans = []
-        for steps in np.unique(np.minimum(self.size, STEPS)):
-            mine = np.flatnonzero(np.minimum(self.size, STEPS) == steps)
-            sampled = min(SAMPLED, int(steps))
-            # Short items allow fewer edits than one in five; the long ones need the most repetitions.
-            for walk in walks(repetitions(target, similarity, STEPS, SAMPLED), int(steps), sampled):
-                self.plans.append((mine, int(self.size[mine].min()), walk, *self.tables(mine, walk)))
-
-    def tables(self, mine: np.ndarray, walk: Walk) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Per sampled step a bit table of the items' partial keys, then the sorted full keys and their items."""
-        bits = 16 if len(mine) < 2_000 else 20
+        need = np.array([repetitions(target, int(n), int(edits)) for n, edits in zip(self.size, self.limit)]).reshape(-1, 2)
+        for steps in np.unique(need[:, 0]):
+            mine = np.flatnonzero(need[:, 0] == steps)
+            for k, walk in enumerate(walks(int(need[mine, 1].max()), int(steps), min(SAMPLED, int(steps)))):
+                some = mine[need[mine, 1] > k]
+                self.plans.append((walk, *self.tables(some, walk)))
+
+    def tables(self, mine: np.ndarray, walk: Walk) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Per sampled step a bit table of the anchors' partial keys, then the sorted full keys, their items and offsets."""
+        owner, offset = anchors(self.size[mine], walk)
+        bits = min(22, max(16, len(owner).bit_length() + 3))
         partial: list[np.ndarray] = []
 
         def note(key: np.ndarray, n: int) -> np.ndarray:
@@ -149,35 +194,36 @@ class Finder:
             held[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
             return np.ones(len(key), bool)
 
-        start = np.array([self.size[k] - 1 if walk.backward else 0 for k in mine]) + np.cumsum(np.append(0, self.size[mine][:-1]))
-        _, keys = walked(np.concatenate([self.items[k].words for k in mine]), start, walk, note)
+        begin = np.cumsum(self.size[mine]) - self.size[mine]
+        _, keys = walked(np.concatenate([self.items[k].words for k in mine]), begin[owner] + offset, walk, note)
         order = np.argsort(keys, kind="stable")
-        return partial, keys[order], mine[order]
+        return partial, keys[order], mine[owner[order]], offset[order]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """(text, item, first word, distance), the nearest and then earliest window of each text and item."""
         starts, ends, first = word_bounds(data, offsets, self.between)
         words = self.hasher(data, starts, ends)
         sizes = np.diff(first)
-        last = np.repeat(first[1:], sizes)
+        last, start = np.repeat(first[1:], sizes), np.repeat(first[:-1], sizes)
         place = np.arange(len(words))
         found = []
-        for mine, shortest, walk, partial, keys, owner in self.plans:
+        for walk, partial, keys, owner, offset in self.plans:
             shift = 64 - (len(partial[0]).bit_length() - 1)
-            if walk.backward:
-                at = np.flatnonzero(place - np.repeat(first[:-1], sizes) >= shortest - 1)
-            else:
-                at = np.flatnonzero(place + shortest <= last)
+            reach = walk.picks[-1]
+            at = np.flatnonzero(place - start >= reach if walk.backward else place + reach < last)
             left, key = walked(words, at, walk, lambda k, n: partial[n][(k >> np.uint64(shift)).astype(np.int64)])
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            item = owner[ranges(low, high - low)]
+            hit = ranges(low, high - low)
             anchor = np.repeat(at[left], high - low)
-            found.append((anchor - self.size[item] + 1 if walk.backward else anchor, item, np.repeat(last[at[left]], high - low), anchor))
-        begin, item, end, anchor = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(4))
-        text = np.searchsorted(first, anchor, "right") - 1
-        fits = (begin >= first[text]) & (begin + self.size[item] <= end)
-        pairs = np.unique(np.stack([text[fits], item[fits], begin[fits]]), axis=1)
-        text, item, begin = pairs
+            text = np.searchsorted(first, anchor, "right") - 1
+            found.append(np.unique(np.stack([text, owner[hit], anchor - offset[hit]]), axis=1))
+        text, item, begin = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+        # As many words may be inserted as dropped in a window, each half of the edits: it begins at most so far away.
+        spread = self.limit[item] // 2
+        begin = np.repeat(begin - spread, 2 * spread + 1) + ranges(np.zeros(len(item), np.int64), 2 * spread + 1)
+        text, item = np.repeat(text, 2 * spread + 1), np.repeat(item, 2 * spread + 1)
+        fits = (begin >= first[text]) & (begin + self.size[item] <= first[text + 1])
+        text, item, begin = np.unique(np.stack([text[fits], item[fits], begin[fits]]), axis=1)
         distance = np.full(len(item), np.iinfo(np.int64).max)
         folded, folded_items = (words >> np.uint64(49)).astype(np.int16), (self.padded >> np.uint64(49)).astype(np.int16)
         for at in range(0, len(item), 1_000):

@@ -85,3 +85,28 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
     assert D.without_leaks(docs, items.limit(0)).count() == 1 and D.without_leaks(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("n, front, back", [(43, 4, 4), (43, 3, 3), (60, 6, 6), (15, 2, 1), (91, 9, 9), (10, 1, 1)])
+def test_edits_at_both_ends(n, front, back):
+    rng = random.Random(n)
+    found, finder_words = 0, D.WordHasher()
+    for k in range(40):
+        item = [f"w{rng.random()}".replace(".", "") for _ in range(n)]
+        copy = [f"x{j}" for j in range(front)] + item[front:n - back] + [f"y{j}" for j in range(back)]
+        data, offsets = next(D.text_slices(D.pa.array([" ".join(["a", "b", *copy, "c"])])))[2:]
+        own = next(D.text_slices(D.pa.array([" ".join(item)])))[2:]
+        hashes = finder_words(own[0], *D.word_bounds(*own, D.separators(*D.NOT_WORD))[:2])
+        _, _, begin, distance = D.Finder([D.Item(k, hashes)], D.SIMILARITY, 0.99)(data, offsets)
+        found += list(zip(begin, distance)) == [(2, front + back)]
+    assert found >= 39
+
+
+def test_repetitions_reach_every_pattern():
+    for n in (5, 9, 15, 40, 91, 1_000):
+        edits = int((1 - D.SIMILARITY) * n + 1e-9)
+        steps, count = D.repetitions(0.99, n, edits)
+        assert 1 <= steps <= min(n, D.STEPS) and 1 <= count <= 24
+    rng = np.random.default_rng(3)
+    item = np.arange(1, 44, dtype=np.uint64)
+    assert all(distance(item.tolist(), x.tolist()) <= 8 for x in D.edit_patterns(item, 8, rng))
