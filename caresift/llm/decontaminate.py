@@ -39,32 +39,39 @@ NOT_WORD = [c for c in range(128) if not chr(c).isalnum()]
 
 @dataclass(frozen=True)
 class Walk:
-    """One repetition: its sampled steps (the first ``SAMPLED`` that fit), its step factors, and its direction."""
+    """One repetition: its sampled steps, its step factors, its direction, and whether its samples must stand apart."""
 
     picks: tuple[int, ...]
     factors: np.ndarray
     backward: bool
+    apart: bool = True
 
 
-def walks(count: int, steps: int = STEPS, sampled: int = SAMPLED) -> list[Walk]:
+def walks(count: int, steps: int = STEPS, sampled: int = SAMPLED, apart: bool = True) -> list[Walk]:
     random = np.random.default_rng(41)
     out = []
     for k in range(count):
         picks = tuple(sorted(int(x) for x in random.choice(steps, min(sampled, steps), replace=False)))
-        out.append(Walk(picks, random.integers(0, 1 << 63, steps).astype(np.uint64) * np.uint64(2) + np.uint64(1), k % 2 == 1))
+        out.append(Walk(picks, random.integers(0, 1 << 63, steps).astype(np.uint64) * np.uint64(2) + np.uint64(1), k % 2 == 1, apart))
     return out
 
 
 def walked(words: np.ndarray, at: np.ndarray, walk: Walk, keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """(which of ``at`` are left, their keys); ``keep(keys, n)`` may drop some after the n-th sample."""
-    left, here, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
+    """(which of ``at`` are left, their keys): if ``apart``, those whose samples all stand on different places, as
+    a walk that lingers on a common word tells little; ``keep(keys, n)`` may drop more after the n-th sample."""
+    left, here, before, key = np.arange(len(at)), at.copy(), np.full(len(at), -1), np.zeros(len(at), np.uint64)
     for step in range(walk.picks[-1] + 1):
-        word = words[here]
         if step in walk.picks:
+            if walk.apart:
+                held = np.flatnonzero(here != before)
+                left, here, key = left[held], here[held], key[held]
+            before, word = here, words[here]
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + word)
             if keep is not None:
                 held = np.flatnonzero(keep(key, walk.picks.index(step)))
-                left, here, key, word = left[held], here[held], key[held], word[held]
+                left, here, before, key, word = left[held], here[held], before[held], key[held], word[held]
+        else:
+            word = words[here]
         move = ((word * walk.factors[step]) >> np.uint64(63)).astype(np.int64)
         here = here - move if walk.backward else here + move
     return left, key
@@ -114,7 +121,8 @@ def simulated(target: float, length: int, edits: int, steps: int, sampled: int,
         for side in (0, 1):
             sizes = np.array([len(x[side]) for x in pairs])
             owner, offset = anchors(sizes, walk)
-            _, key = walked(np.concatenate([x[side] for x in pairs]), (np.cumsum(sizes) - sizes)[owner] + offset, walk)
+            left, key = walked(np.concatenate([x[side] for x in pairs]), (np.cumsum(sizes) - sizes)[owner] + offset, walk)
+            owner, offset = owner[left], offset[left]
             sides.append((mixed(key + owner.astype(np.uint64)), owner, offset))
         (keys, owner, offset), (others, _, there) = sides
         order = np.argsort(others, kind="stable")
@@ -130,15 +138,21 @@ def simulated(target: float, length: int, edits: int, steps: int, sampled: int,
     return None
 
 
-def repetitions(target: float, length: int, edits: int) -> tuple[int, int]:
-    """(steps, repetitions) for items of ``length`` words with up to ``edits`` edits: as many steps as let recall reach the target."""
+def repetitions(target: float, length: int, edits: int) -> tuple[int, int, int]:
+    """(steps, samples, repetitions) for items of ``length`` words with up to ``edits`` edits: as many samples as let recall reach the target.
+
+    Without edits one walk finds every item, if its samples need not stand apart.
+    """
+    if not edits:
+        return min(length, STEPS), min(length, SAMPLED), 1
     if length > SIMULATED_WORDS:
         length, edits = SIMULATED_WORDS, -(-edits * SIMULATED_WORDS // length)
-    for steps in range(min(length, STEPS), 1, -1):
-        count = simulated(target, length, edits, steps, min(SAMPLED, steps))
-        if count is not None:
-            return steps, count
-    return 1, 1
+    for sampled in range(min(length, SAMPLED), 1, -1):
+        for steps in sorted({min(length, sampled * STEPS // SAMPLED), sampled}, reverse=True):
+            count = simulated(target, length, edits, steps, sampled)
+            if count is not None:
+                return steps, sampled, count
+    return 1, 1, 1
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -156,6 +170,21 @@ def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
+def passage_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For all k at once and every j: the least edit distance of the first ``lengths[k]`` words of ``a[k]`` to words of ``b[k]`` that end before j."""
+    width = b.shape[1]
+    row = np.zeros((len(b), width + 1), np.int16)
+    column = np.arange(width + 1, dtype=np.int16)
+    out = np.zeros_like(row)
+    for i in range(1, a.shape[1] + 1):
+        best = row + np.int16(1)
+        np.minimum(best[:, 1:], row[:, :-1] + (b != a[:, i - 1:i]), out=best[:, 1:])
+        row = np.minimum.accumulate(best - column, axis=1) + column
+        done = lengths == i
+        out[done] = row[done]
+    return out
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int | None
@@ -165,7 +194,8 @@ class Item:
 class Finder:
     """Finds the items of one block in slices of text."""
 
-    def __init__(self, items: list[Item], similarity: float, target: float) -> None:
+    def __init__(self, items: list[Item], similarity: float, target: float, passages: bool = False) -> None:
+        self.passages = passages
         self.hasher, self.between = WordHasher(), separators(*NOT_WORD)
         self.items, self.similarity = items, similarity
         self.size = np.array([len(x.words) for x in items])
@@ -174,11 +204,12 @@ class Finder:
             self.padded[k, :len(x.words)] = x.words
         self.limit = np.floor((1 - similarity) * self.size + 1e-9).astype(int)
         self.plans = []
-        need = np.array([repetitions(target, int(n), int(edits)) for n, edits in zip(self.size, self.limit)]).reshape(-1, 2)
-        for steps in np.unique(need[:, 0]):
-            mine = np.flatnonzero(need[:, 0] == steps)
-            for k, walk in enumerate(walks(int(need[mine, 1].max()), int(steps), min(SAMPLED, int(steps)))):
-                some = mine[need[mine, 1] > k]
+        need = np.array([repetitions(target, int(n), int(edits)) for n, edits in zip(self.size, self.limit)]).reshape(-1, 3)
+        need = np.column_stack([need, self.limit > 0])
+        for steps, sampled, apart in np.unique(need[:, [0, 1, 3]], axis=0):
+            mine = np.flatnonzero((need[:, [0, 1, 3]] == (steps, sampled, apart)).all(1))
+            for k, walk in enumerate(walks(int(need[mine, 2].max()), int(steps), int(sampled), bool(apart))):
+                some = mine[need[mine, 2] > k]
                 self.plans.append((walk, *self.tables(some, walk)))
 
     def tables(self, mine: np.ndarray, walk: Walk) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -195,12 +226,13 @@ class Finder:
             return np.ones(len(key), bool)
 
         begin = np.cumsum(self.size[mine]) - self.size[mine]
-        _, keys = walked(np.concatenate([self.items[k].words for k in mine]), begin[owner] + offset, walk, note)
+        left, keys = walked(np.concatenate([self.items[k].words for k in mine]), begin[owner] + offset, walk, note)
+        owner, offset = owner[left], offset[left]
         order = np.argsort(keys, kind="stable")
         return partial, keys[order], mine[owner[order]], offset[order]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """(text, item, first word, distance), the nearest and then earliest window of each text and item."""
+        """(text, item, first word, distance), the nearest and then earliest window or passage of each text and item."""
         starts, ends, first = word_bounds(data, offsets, self.between)
         words = self.hasher(data, starts, ends)
         sizes = np.diff(first)
@@ -216,8 +248,24 @@ class Finder:
             hit = ranges(low, high - low)
             anchor = np.repeat(at[left], high - low)
             text = np.searchsorted(first, anchor, "right") - 1
-            found.append(np.unique(np.stack([text, owner[hit], anchor - offset[hit]]), axis=1))
-        text, item, begin = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+            found.append((anchor - offset[hit], owner[hit], text))
+        begin, item, text = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        order = np.lexsort((begin, item, text))
+        text, item, begin = text[order], item[order], begin[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] != begin[:-1])
+        text, item, begin = text[new], item[new], begin[new]
+        text, item, begin, distance = (self.near_passages if self.passages else self.near_windows)(words, first, text, item, begin)
+        near = np.flatnonzero(distance <= self.limit[item])
+        order = near[np.lexsort((begin[near], distance[near], item[near], text[near]))]
+        text, item, begin, distance = text[order], item[order], begin[order] - first[text[order]], distance[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        return [x[new] for x in (text, item, begin, distance)]
+
+
+    def near_windows(self, words: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows of the item's own length about each candidate, with their distances."""
         # As many words may be inserted as dropped in a window, each half of the edits: it begins at most so far away.
         spread = self.limit[item] // 2
         begin = np.repeat(begin - spread, 2 * spread + 1) + ranges(np.zeros(len(item), np.int64), 2 * spread + 1)
@@ -237,12 +285,44 @@ class Finder:
             some = np.flatnonzero(missing <= self.limit[mine])
             if len(some):
                 distance[at + some] = edit_distances(words[spots[some]], self.padded[mine[some], :inside.shape[1]], size[some])
-        near = np.flatnonzero(distance <= self.limit[item])
-        order = near[np.lexsort((begin[near], distance[near], item[near], text[near]))]
-        text, item, begin, distance = text[order], item[order], begin[order] - first[text[order]], distance[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-        return [x[new] for x in (text, item, begin, distance)]
+        return text, item, begin, distance
+
+    def near_passages(self, words: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The nearest and then earliest passage of any length about each candidate, with its distance."""
+        distance = np.full(len(item), np.iinfo(np.int64).max)
+        at = begin.copy()
+        folded, folded_items = (words >> np.uint64(49)).astype(np.int16), (self.padded >> np.uint64(49)).astype(np.int16)
+        # Candidates of like lengths together; a thousand items of usual length at once, fewer of long ones.
+        order = np.argsort(self.size[item], kind="stable")
+        low = 0
+        while low < len(order):
+            high = min(len(order), low + max(1, min(1_000, 4_000_000 // int(self.size[item[order[min(len(order), low + 1_000) - 1]]]) ** 2)))
+            mine = order[low:high]
+            low = high
+            which, size, limit = item[mine], self.size[item[mine]], self.limit[item[mine]]
+            # Read backwards from where the passage may end at the latest, so that an end in the table is a begin in the text.
+            end = begin[mine] + size + limit
+            width = size + 2 * limit
+            spots = end[:, None] - 1 - np.arange(int(width.max()))
+            inside = (spots >= np.maximum(end - width, first[text[mine]])[:, None]) & (spots < first[text[mine] + 1][:, None])
+            spots = np.clip(spots, 0, len(words) - 1)
+            of_item = np.arange(int(size.max())) < size[:, None]
+            # Every edit mends one word of the item at most: with more words missing in the region it is too far.
+            around = np.where(inside, folded[spots], np.int16(-1))
+            missing = (of_item & ~(folded_items[which, :of_item.shape[1], None] == around[:, None, :]).any(2)).sum(1)
+            some = np.flatnonzero(missing <= limit)
+            if not len(some):
+                continue
+            back = np.maximum(size[some, None] - 1 - np.arange(of_item.shape[1]), 0)
+            reversed_items = self.padded[which[some, None], back]
+            # No word of an item equals what stands outside the text or the region.
+            region = np.where(inside[some], words[spots[some]], np.uint64(0))
+            table = passage_distances(reversed_items, region, size[some])
+            begins = end[some, None] - np.arange(table.shape[1])
+            table[(begins < np.maximum(end[some] - width[some], first[text[mine[some]]])[:, None]) | (begins > first[text[mine[some]] + 1][:, None])] = np.iinfo(np.int16).max
+            best = table.shape[1] - 1 - table[:, ::-1].argmin(1)
+            distance[mine[some]], at[mine[some]] = table[np.arange(len(some)), best], end[some] - best
+        return text, item, at, distance
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[Item]]:
@@ -262,12 +342,13 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int)
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS, passages: bool = False) -> DataFrame:
     """``doc_id, item_id, first_word, distance``: one row per row of ``docs`` and benchmark item found in it.
 
-    An item of n words is found if some window of n consecutive words differs from it by at most (1 - similarity) n
-    edits of words; words are lower-cased runs of ASCII letters and digits and of all other characters beyond ASCII.
-    The reported window is the nearest, then the earliest of those found.  Null texts and items without words match
+    With ``passages`` an item of n words is found if some passage, of any number of consecutive words, differs from it by
+    at most (1 - similarity) n edits of words; else only windows of exactly n words count, in which a dropped or inserted
+    word costs two edits and which a text shorter than the item lacks.  Words are lower-cased runs of ASCII letters and digits and of all other characters beyond ASCII.
+    The reported window or passage is the nearest, then the earliest of those found.  Null texts and items without words match
     nothing; repeated rows and items are reported each.
     """
     small_batches(docs.sparkSession)
@@ -276,7 +357,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     result = None
     for items in item_blocks(benchmark, item_id, item_text, block_words):
         def find(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items, similarity, target)
+            finder = Finder(items, similarity, target, passages)
             names = pa.array([x.item_id for x in items])
             for batch in batches:
                 for low, high, data, offsets in text_slices(batch.column(1)):
@@ -289,7 +370,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     return result if result is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS, passages: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found (see ``leaks``), all columns, one pass per block."""
     small_batches(docs.sparkSession)
     kept, names = docs, docs.columns
@@ -297,7 +378,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         width = len(names)
 
         def clean(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items, similarity, target)
+            finder = Finder(items, similarity, target, passages)
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 for low, _, data, offsets in text_slices(batch.column(width)):

@@ -155,7 +155,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_benchmark_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), passages=True)
 
 
 @query("op10_toxicity")

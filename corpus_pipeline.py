@@ -24,7 +24,7 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or with a few words edited, go."""
-    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"), passages=True)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

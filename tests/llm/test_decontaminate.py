@@ -105,8 +105,66 @@ def test_edits_at_both_ends(n, front, back):
 def test_repetitions_reach_every_pattern():
     for n in (5, 9, 15, 40, 91, 1_000):
         edits = int((1 - D.SIMILARITY) * n + 1e-9)
-        steps, count = D.repetitions(0.99, n, edits)
-        assert 1 <= steps <= min(n, D.STEPS) and 1 <= count <= 24
+        steps, sampled, count = D.repetitions(0.99, n, edits)
+        assert 1 <= sampled <= steps <= min(n, D.STEPS) and 1 <= count <= 24
     rng = np.random.default_rng(3)
     item = np.arange(1, 44, dtype=np.uint64)
     assert all(distance(item.tolist(), x.tolist()) <= 8 for x in D.edit_patterns(item, 8, rng))
+
+
+def nearest_passage(w, v):
+    """(distance, first word) over all passages of ``w``, the nearest and then earliest."""
+    best = None
+    reach = [0] * (len(w) + 1)
+    # Backwards, so that the column of the table is where the passage begins.
+    for i, x in enumerate(reversed(v), 1):
+        new = [i]
+        for j, y in enumerate(reversed(w), 1):
+            new.append(min(reach[j] + 1, new[-1] + 1, reach[j - 1] + (x != y)))
+        reach = new
+    for j, d in enumerate(reach):
+        best = (d, len(w) - j) if best is None or (d, len(w) - j) < best else best
+    return best
+
+
+@pytest.mark.parametrize("kind", ["cut", "insert", "mixed"])
+def test_passages_against_brute_force(spark, kind):
+    rng = random.Random(len(kind))
+    vocabulary = [f"v{k}" for k in range(2_000)]
+    items = [(q, " ".join(rng.choices(vocabulary, k=rng.choice([15, 20, 38, 43, 59])))) for q in range(20)]
+    docs = []
+    for i in range(60):
+        item = words(items[i % 20][1])
+        for e in range(int(0.2 * len(item) + 1e-9)):
+            at = rng.randrange(len(item))
+            what = kind if kind != "mixed" else rng.choice(["cut", "insert", "swap"])
+            item[at:at + (what != "insert")] = [] if what == "cut" else [f"n{i}x{e}"]
+        around = [rng.choices(vocabulary, k=rng.randint(0, 9)) if i % 3 else [] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + item + around[1])))
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, q): nearest_passage(words(t), words(v)) for i, t in docs for q, v in items}
+    want = {k: d for k, d in want.items() if d[0] <= 0.2 * len(words(items[k[1]][1])) + 1e-9}
+    got = {(r.doc_id, r.item_id): (r.distance, r.first_word) for r in D.leaks(df, benchmark, passages=True).collect()}
+    assert len(want) >= 60 and set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(got[k] == want[k] for k in got)
+    kept = {r.doc_id for r in D.without_leaks(df, benchmark, passages=True).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_item_with_one_word_dropped(spark):
+    item = " ".join(f"w{k}" for k in range(43))
+    docs = spark.createDataFrame([(1, item.replace("w7 ", "")), (2, " ".join(f"w{k}" for k in range(8, 43))), (3, " ".join(f"w{k}" for k in range(9, 43))), (4, "x y " + item.replace("w7 ", "") + " z")], "doc_id long, text string")
+    rows = D.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), passages=True).collect()
+    assert sorted((r.doc_id, r.first_word, r.distance) for r in rows) == [(1, 0, 1), (2, 0, 8), (4, 2, 1)]
+
+
+def test_lingering_walks_leave_few_candidates_and_short_items_are_found(spark):
+    rng = random.Random(2)
+    items = [(q, " ".join(f"s{rng.random()}"[:9].replace(".", "") for _ in range(1 + q % 4))) for q in range(200)]
+    docs = spark.createDataFrame([(q, f"a {t} b") for q, t in items], "doc_id long, text string")
+    rows = D.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), passages=True).collect()
+    assert {(r.doc_id, r.item_id, r.first_word, r.distance) for r in rows} >= {(q, q, 1, 0) for q, _ in items}
+    # All positions of one common word: a key that reads that word only would make each of them a candidate.
+    walk = D.walks(1)[0]
+    left, _ = D.walked(np.full(1_000, 7, np.uint64), np.arange(10, 900), walk)
+    assert len(left) in (0, 890) and sum(len(D.walked(np.full(1_000, 7, np.uint64), np.arange(10, 900), w)[0]) > 0 for w in D.walks(64)) < 32
