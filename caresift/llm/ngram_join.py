@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest, followed by exact verification.
+"""N-gram Jaccard join: MinHash banding of a fixed depth, followed by exact verification.
 
 Documents with the same words are one class of copies, represented by its smallest id.  Every representative gets one
-label of MinHash values per tree.  Labels that share a prefix are a node of the tree's trie; the matched prefix is
-shortened from ``max_depth`` until pairs at the threshold meet in some tree with the target recall, and the trie nodes
-at that depth are the candidate buckets.  Buckets and what follows are worked on in blocks, so that no task holds an
+label of MinHash values per tree.  All labels have the same length: the longest, up to ``max_depth``, at which pairs at
+the threshold meet in some tree with the target recall.  It is solved from threshold, trees and target alone; this is no
+LSH forest, as no label is longer and no prefix is shortened by what the data holds.  Equal labels are the candidate
+buckets.  Buckets and what follows are worked on in blocks, so that no task holds an
 unbounded group and no table of pairs is written:
 
 1. within blocks of a bucket, sketches (one byte of every MinHash value) join what looks alike to stars;
