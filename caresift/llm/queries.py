@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caresift.llm import chat, decontaminate, mixing, ngram_join, pii, substrings, tiff, tokens, toxicity, urls
+from caresift.llm import audit, chat, decontaminate, fim, mixing, ngram_join, pii, substrings, tiff, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +164,68 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit_toxicity(toxicity.training_rows(docs, table(spark, folder, "labels")))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op11_fill_in_middle", """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS m, coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS s FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op12_filter_audit", """
+WITH RECURSIVE known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), rows AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS least FROM rows GROUP BY t),
+failed AS (
+  SELECT r.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(r.t, '[^A-Z]', '', 'g')) > 2 * length(r.t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(r.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN r.doc_id > f.least THEN 16 ELSE 0 END AS bits
+  FROM rows r JOIN firsts f ON f.t = r.t LEFT JOIN known k ON k.doc_id = r.doc_id
+), cells AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, bits),
+filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+orders AS (
+  SELECT name AS filter_order, 1 AS step, bit, 0 AS before FROM filters
+  UNION ALL SELECT o.filter_order || f.name, o.step + 1, f.bit, o.before | o.bit FROM orders o JOIN filters f ON (o.before | o.bit) & f.bit = 0
+), steps AS (
+  SELECT w.filter_order, p.step, p.bit, p.before FROM orders w JOIN orders p ON p.step <= 5 AND starts_with(w.filter_order, p.filter_order) WHERE w.step = 5
+)
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN bits & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN bits & bit <> 0 AND bits & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN bits & bit <> 0 THEN n * 120 // bit_count(bits) ELSE 0 END) AS BIGINT) AS shapley
+FROM cells CROSS JOIN steps GROUP BY part, filter_order, step
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_warc", """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.read_warc(spark, warc.write_warc(table(spark, folder, "pages")))
+    return read.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
