@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caresift import constants as K
 from caresift.catalog.registry import query, r6, sql_any, sql_map, sql_text, table, texts
+from caresift.catalog.stem_sql import stems
 from caresift.functions import text as X
 from caresift.operators import classify as C
 from caresift.operators import kb
@@ -42,10 +43,12 @@ SEM_SQL = f"""{RECORDS_SQL}, qs AS (SELECT item_id AS query_id, b.text, embeddin
   sim AS (SELECT query_id, source_table, record_id, greatest(0, least(1, round(list_cosine_similarity(qs.e, rec.e), 9))) AS score FROM qs, rec WHERE qs.e IS NOT NULL AND rec.e IS NOT NULL),
   sem0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY score DESC, record_id) AS r FROM sim) WHERE r <= 20),
   sem AS (SELECT query_id, source_table, record_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_table, record_id) AS rank FROM sem0) WHERE rank <= 20)"""
-LEX_SQL = f"""qw AS (SELECT query_id, len(ws) AS need, unnest(ws) AS word FROM (SELECT item_id AS query_id, list_filter(list_distinct({WORDS_SQL('text')}), lambda x: NOT list_contains({STOP_SQL}, x)) AS ws FROM benchmark)),
+LEX_SQL = f"""qw0 AS (SELECT query_id, unnest(ws) AS word FROM (SELECT item_id AS query_id, list_filter(list_distinct({WORDS_SQL('text')}), lambda x: NOT list_contains({STOP_SQL}, x)) AS ws FROM benchmark)),
   dw AS (SELECT source_table, record_id, len(ws) AS len, unnest(ws) AS word FROM (SELECT source_table, record_id, {WORDS_SQL('text')} AS ws FROM rec)),
-  tf AS (SELECT source_table, record_id, len, word, count(*) AS tf FROM dw GROUP BY ALL),
-  lex1 AS (SELECT query_id, source_table, record_id, round(least(1.0, sum(tf) / (1 + ln(len::DOUBLE))), 9) AS score FROM tf JOIN qw USING (word) GROUP BY query_id, need, source_table, record_id, len HAVING count(*) = need),
+  st AS (SELECT * FROM {stems('(SELECT word FROM qw0 UNION SELECT word FROM dw)')}),
+  qw1 AS (SELECT DISTINCT query_id, stem FROM qw0 JOIN st USING (word)), qw AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS need FROM qw1),
+  tf AS (SELECT source_table, record_id, len, stem, count(*) AS tf FROM dw JOIN st USING (word) WHERE NOT list_contains({STOP_SQL}, word) GROUP BY ALL),
+  lex1 AS (SELECT query_id, source_table, record_id, round(least(1.0, sum(tf) / (1 + ln(len::DOUBLE))), 9) AS score FROM tf JOIN qw USING (stem) GROUP BY query_id, need, source_table, record_id, len HAVING count(*) = need),
   lex0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY score DESC, record_id) AS r FROM lex1) WHERE r <= 20),
   lex AS (SELECT query_id, source_table, record_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_table, record_id) AS rank FROM lex0) WHERE rank <= 20)"""
 FUSED_SQL = lambda k: f"""fz AS (SELECT query_id, source_table, record_id, coalesce(s.rank, 21) AS sem_rank, coalesce(l.rank, 21) AS lex_rank, coalesce(s.score, l.score) AS relevance_score,
@@ -105,6 +108,12 @@ def jn_03(spark, d):
     return _long(lexical(spark, d), "rank").withColumn("score", r6(F.col("score")))
 
 
+@query("jn_03_indexed_search", f"WITH {SEM_SQL}, {LEX_SQL} SELECT query_id, source_table, record_id, round(score, 6) AS score FROM lex0")
+def jn_03b(spark, d):
+    index = R.build_postings(records(spark, d).select("source_table", "record_id", "text"))
+    return R.search_postings(spark, index, asked(spark, d)).withColumn("score", r6(F.col("score")))
+
+
 @query("jn_04_semantic_search", f"WITH {SEM_SQL} SELECT query_id, source_table, record_id, rank, round(score, 6) AS score FROM sem")
 def jn_04(spark, d):
     return _long(semantic(spark, d), "rank").withColumn("score", r6(F.col("score")))

@@ -93,7 +93,7 @@ def ag_19(spark, d):
     return S.accuracy(rows, ["lang", "source"], "quality", "toxic").withColumn("accuracy", r6(F.col("accuracy")))
 
 
-_GROUPS = "CASE " + " ".join(f"WHEN s IN ({', '.join(sql_text(x) for x in v)}) THEN {sql_text(g)}" for g, v in K.SUBJECT_GROUPS.items()) + " END"
+_GROUPS = "CASE s " + " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in K.SUBJECT_CATEGORIES.items()) + " END"
 _SUBJECTS = ["anatomy", "econometrics", "virology", "astronomy", "philosophy", "prehistory", "sociology", "machine_learning"]
 
 

@@ -102,8 +102,8 @@ def udf_02b(spark, d):
 def udf_03(spark, d):
     none = F.filter(F.array(F.struct(F.lit("x").alias("name"))), lambda _: F.lit(False))
     hit = F.array(F.struct(F.lit("TIER_A").alias("quality_tier"), F.lit("medquad_records").alias("source_table"), F.col("c_name").alias("chunk_text")))
-    lines = providers.profile_lines((F.col("c_custkey") % 90), F.lit("prefer_not_to_say"), F.array(F.struct(F.col("c_mktsegment").alias("name"))), none)
-    return table(spark, d, "customer").select("c_custkey", lines.alias("profile"), providers.evidence_block(hit).alias("evidence"))
+    lines = providers.profile_lines((F.col("c_custkey") % 90), F.lit("prefer_not_to_say"), F.array(F.struct(F.col("c_mktsegment").alias("name"))), none, 10)
+    return table(spark, d, "customer").select("c_custkey", lines.alias("profile"), providers.evidence_block(hit, 400).alias("evidence"))
 
 
 @query("udf_04_responses", "SELECT d.doc_id, quality::BIGINT AS response FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -238,7 +238,7 @@ def prj_18(spark, d):
     none = F.lit(None).cast("array<string>")
     trace = trace_of(
         F.col("text"), lang, F.lit("keyword"), F.when(lang == "fr", F.array("lang", "source")), F.array("source"), none, F.lit(None).cast("string"), hits, F.lit(0.5),
-        F.when(F.col("n_chars") > 1000, "notice"), F.when(lang == "de", F.array(F.lit("[UNCERTAINTY FLAG]"))), hits, F.lit(None).cast("string"))
+        F.when(F.col("n_chars") > 1000, "notice"), F.when(lang == "de", F.array(F.lit("[UNCERTAINTY FLAG]"))), hits, F.lit(None).cast("string"), 500)
     rows = table(spark, d, "documents").select("doc_id", trace_or_default(trace, F.col("text")).alias("t"))
     content = F.coalesce(F.get("t.retrieval_results", F.lit(0))["content"], F.lit(""))
     return rows.select("doc_id", F.md5(content).alias("content"), F.explode_outer("t.reasoning_trace").alias("line"))

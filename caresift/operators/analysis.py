@@ -120,21 +120,20 @@ def wins(scores: DataFrame, model: str = "model", prompt: str = "prompt_id", sco
     """JN-15: ``(prompt, model_a, model_b, wins)``: sample pairs in which a scored above b, without writing pairs.
 
     For every distinct score of a prompt and every model of the prompt, the number of that model's samples below it
-    comes from one running sum, so work grows with samples times models.
+    comes from one running sum, so work grows with samples times models.  A null prompt or model is one like any other;
+    samples without a score are in no pair.
     """
-    held = scores.groupBy(prompt, model, score).agg(F.count(F.lit(1)).alias("c"))
+    held = scores.where(F.col(score).isNotNull()).groupBy(prompt, model, score).agg(F.count(F.lit(1)).alias("c"))
     models = held.select(prompt, model).distinct()
     levels = held.select(prompt, score).distinct()
-    grid = (
-        levels.join(models, prompt)
-        .join(held, [prompt, model, score], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    )
+    every = ordered.join_groups(levels, models, [prompt]).select(prompt, model, score, F.lit(0).cast("long").alias("c"))
+    grid = every.unionByName(held).groupBy(prompt, model, score).agg(F.sum("c").alias("c"))
     # a model meets at most as many levels as its prompt has samples
     hot = ordered.has_hot_group(scores, [prompt], hot_rows)
     below = ordered.running_before(grid, [prompt, model], [score], {"below": "c"}, hot=hot)
     below = below.select(prompt, score, F.col(model).alias("model_b"), "below").where(F.col("below") > 0)
     return (
-        held.join(below, [prompt, score])
+        ordered.join_groups(held, below, [prompt, score])
         .groupBy(prompt, F.col(model).alias("model_a"), "model_b").agg(F.sum(F.col("c") * F.col("below")).alias("wins"))
     )
 
@@ -156,18 +155,19 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
     Counting, not pairing: a sample counts the samples of each model with a smaller score and a length in its window.
     Scores become ranks within the prompt; ``ranks below r`` is split into dyadic blocks (one per set bit of r), every
     sample is entered in the block of each level it belongs to, and within a block the lengths in a window are a
-    difference of two running sums.  Work grows with samples times models times log(samples).
+    difference of two running sums.  Work grows with samples times models times log(samples).  A null prompt or model is
+    one like any other; samples without a score or a positive length are in no pair.
     """
     # a block holds at most each sample of its prompt once and is asked about two ends of each
     hot = ordered.has_hot_group(scores, [prompt], hot_rows // 3)
     held = (
-        scores.where(F.col(length) > 0).groupBy(prompt, model, score, length).agg(F.count(F.lit(1)).alias("c"))
+        scores.where((F.col(length) > 0) & F.col(score).isNotNull()).groupBy(prompt, model, score, length).agg(F.count(F.lit(1)).alias("c"))
     )
     distinct = held.select(prompt, score).distinct().withColumn("_one", F.lit(1).cast("bigint"))
     ranks = ordered.running_before(distinct, [prompt], [score], {"rank": "_one"}, hot=hot).drop("_one")
     top = F.expr("greatest(1, cast(ceil(log2(_m + 1)) as int))")
     size = ranks.groupBy(prompt).agg(F.max("rank").alias("_m")).select(prompt, top.alias("_levels"))
-    ranked = held.join(ranks, [prompt, score]).join(size, prompt)
+    ranked = ordered.join_groups(ordered.join_groups(held, ranks, [prompt, score]), size, [prompt])
     level = F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)).alias("level")
     block = F.expr("shiftright(rank, level)")
 
@@ -187,12 +187,12 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
         .groupBy(prompt, "model_a", "level", "block", "e.at", "e.kind").agg(F.sum("times").alias("times"))
     )
     opponents = entered.select(prompt, "model_b", "level", "block").distinct()
-    asked = asking.join(opponents, [prompt, "level", "block"]).withColumn("entered", F.lit(0).cast("long"))
+    asked = ordered.join_groups(asking, opponents, [prompt, "level", "block"]).withColumn("entered", F.lit(0).cast("long"))
     events = entered.unionByName(asked.select(entered.columns))
     counted = ordered.running_before(events, [prompt, "model_b", "level", "block"], ["at", "kind"], {"seen": "entered"}, hot=hot)
     signed = F.when(F.col("kind") == 2, F.col("seen")).otherwise(-F.col("seen")) * F.col("times")
     return (
-        counted.where(F.col("model_a").isNotNull()).groupBy(prompt, "model_a", "model_b").agg(F.sum(signed).alias("wins"))
+        counted.where(F.col("kind") != 1).groupBy(prompt, "model_a", "model_b").agg(F.sum(signed).alias("wins"))
         .where(F.col("wins") > 0)
     )
 
@@ -215,7 +215,7 @@ def win_order(rates: DataFrame) -> DataFrame:
 def win_shrinkage(free: DataFrame, controlled: DataFrame) -> DataFrame:
     """AG-33: how much of the distance from one half disappears under length control."""
     c = controlled.select("model_a", "model_b", F.col("win_rate").alias("controlled"))
-    return free.select("model_a", "model_b", F.col("win_rate").alias("free")).join(c, ["model_a", "model_b"]).withColumn(
+    return ordered.join_groups(free.select("model_a", "model_b", F.col("win_rate").alias("free")), c, ["model_a", "model_b"]).withColumn(
         "shrinkage", (F.col("free") - F.col("controlled")) / F.nullif(F.col("free") - 0.5, F.lit(0.0))
     )
 

@@ -137,7 +137,8 @@ def nearest_centroid(rows: DataFrame, means: DataFrame, key: str = "query_id", e
     """CLS-10: ``(key, category, cosine)`` of the nearest centroid.
 
     There is one centroid per category; at most ``MAX_CENTROIDS`` are shipped to the tasks (more is an error).  Rows are
-    streamed in Arrow batches, one matrix product per batch, without a shuffle.
+    streamed in Arrow batches, one matrix product per batch, without a shuffle.  Rows without a vector, null or empty,
+    have no category and are left out.
     """
     table = bounded_rows(means.select("category", "centroid").orderBy("category"), MAX_CENTROIDS, "the centroid table")
     names = np.array([r.category for r in table], dtype=object)
@@ -156,7 +157,8 @@ def nearest_centroid(rows: DataFrame, means: DataFrame, key: str = "query_id", e
             best = cosine.argmax(axis=1)
             yield pd.DataFrame({key: batch[key], "category": names[best], "cosine": cosine[np.arange(len(x)), best]})
 
-    out = rows.select(key, embedding).mapInPandas(assign, f"`{key}` {key_type}, category {cat_type}, cosine double")
+    held = rows.where(F.col(embedding).isNotNull() & (F.size(embedding) > 0)).select(key, embedding)
+    out = held.mapInPandas(assign, f"`{key}` {key_type}, category {cat_type}, cosine double")
     return out if threshold is None else out.where(F.col("cosine") >= threshold)
 
 

@@ -120,17 +120,24 @@ def literacy_instruction(level: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(level)), F.lit(LITERACY["medium"]))
 
 
-def evidence_block(hits: Column) -> Column:
-    """UDF-03: numbered evidence lines from an ordered array of hits."""
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def evidence_block(hits: Column, chars: int | None = None) -> Column:
+    """UDF-03: numbered evidence lines from an ordered array of hits, each with its text or the first ``chars`` of it."""
     lines = F.transform(hits, lambda h, i: F.concat(
         F.lit("["), (i + 1).cast("string"), F.lit("] ["), h["quality_tier"], F.lit("] ("), h["source_table"], F.lit("): "),
-        F.substring(h["chunk_text"], 1, 400)))
+        _head(h["chunk_text"], chars)))
     return F.when(F.size(hits) > 0, F.array_join(lines, "\n\n")).otherwise(F.lit("No specific evidence retrieved."))
 
 
-def profile_lines(age: Column, sex: Column, conditions: Column, medications: Column) -> Column:
-    """UDF-03: the user-context lines; parts that are unknown are left out."""
-    names = lambda c: F.array_join(F.slice(F.transform(c, lambda x: x["name"]), 1, 10), ", ")
+def profile_lines(age: Column, sex: Column, conditions: Column, medications: Column, most: int | None = None) -> Column:
+    """UDF-03: the user-context lines; parts that are unknown are left out, and of names those behind the first ``most``."""
+    def names(c: Column) -> Column:
+        every = F.transform(c, lambda x: x["name"])
+        return F.array_join(every if most is None else F.slice(every, 1, most), ", ")
+
     return F.concat_ws(
         "\n",
         F.when(age > 0, F.concat(F.lit("Age: "), age.cast("string"))),
@@ -166,9 +173,10 @@ CALL = "array<struct<tool_name:string,query:string,category:string,result:string
 
 
 def trace_of(query: Column, category: Column, method: Column, terms: Column, must_load: Column, may_load: Column, context: Column,
-             hits: Column, confidence: Column, disclaimer: Column, flags: Column, citations: Column, answer: Column) -> Column:
+             hits: Column, confidence: Column, disclaimer: Column, flags: Column, citations: Column, answer: Column, context_chars: int | None = None) -> Column:
     """PRJ-18: the execution trace of an answered query as a struct, from the columns of its stages.
 
+    The context stands in it whole, or with its first ``context_chars`` characters.
     ``hits`` and ``citations`` are arrays of hit structs; ``terms``, ``must_load``, ``may_load`` and ``flags`` of texts.
     """
     found = F.coalesce(F.size(hits), F.lit(0))
@@ -187,7 +195,7 @@ def trace_of(query: Column, category: Column, method: Column, terms: Column, mus
         F.coalesce(answer, F.lit("")).alias("final_answer"),
         F.array(
             F.struct(F.lit("brain_graph").alias("tool_name"), no_text.alias("query"), named.alias("category"),
-                     F.when(F.coalesce(context, F.lit("")) != "", F.substring(context, 1, 500)).otherwise(F.lit(TRACE["no_context"])).alias("result")),
+                     F.when(F.coalesce(context, F.lit("")) != "", _head(context, context_chars)).otherwise(F.lit(TRACE["no_context"])).alias("result")),
             F.struct(F.lit("hybrid_db_search").alias("tool_name"), query.alias("query"), named.alias("category"), F.format_string(TRACE["retrieved"], found).alias("result")),
         ).cast(CALL).alias("tool_calls"),
         F.array_compact(reasoning).alias("reasoning_trace"),

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions import weights as W
+from caresift.functions.stemming import stem
 from caresift.operators.sizes import checked_broadcast
-from caresift.session import cut_lineage
+from caresift.session import cut_lineage, shared_dir
 
 QUERY_BLOCK = 2_048
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
@@ -115,49 +118,136 @@ def _scanner(rows: list, embedding: str, n: int):
     return scan
 
 
-def lexical_hits(corpus: DataFrame, queries: DataFrame, n: int | None = K.LIST_LENGTH, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
-    """JN-03: records that contain every query word that is not a stop word; ``(query_id, source_table, record_id, score)``.
+@dataclass(frozen=True)
+class Postings:
+    """A written index: ``postings`` (source_table, record_id, stem, weight) and ``heads`` (stem, records, top), by bucket."""
 
-    Score: sum over query words of tf / (1 + ln(words in the record)), at most 1.  ``corpus`` is ``(source_table,
-    record_id, text)``, ``queries`` is ``(query_id, text)``.
+    folder: str
+    buckets: int
 
-    Texts are split once (``explode_outer``: a plain ``explode`` would make the optimizer add a ``size > 0`` filter that
-    splits them again).  Only words that some query asks for leave the scan, added up per record.  A query first meets
-    the records that hold its *rarest* word; only those pairs are checked for its other words, by equality on record and
-    word.  Common words therefore never multiply queries with records.
-    """
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{name}")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _index_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+
+
+def asked_stems(queries: DataFrame, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
+    """``query_id, stem``: the distinct stems of each query's words that are no stop words."""
     stop = F.array(*[F.lit(w) for w in stop_words])
-    asked = queries.select("query_id", F.array_except(F.array_distinct(X.words(F.col("text"))), stop).alias("ws"))
-    asked = asked.select("query_id", F.size("ws").alias("need"), F.explode_outer("ws").alias("word")).where(F.col("word").isNotNull())
-    words = (
-        corpus.withColumn("_w", X.words(F.col("text")))
-        .select("source_table", "record_id", F.size("_w").alias("len"), "_w")  # the array must not follow its words
+    words = queries.select("query_id", F.explode_outer(F.array_except(F.array_distinct(X.words(F.col("text"))), stop)).alias("word"))
+    return words.where(F.col("word").isNotNull()).select("query_id", stem("word").alias("stem")).distinct()
+
+
+def build_postings(corpus: DataFrame, folder: str | None = None, buckets: int = 64, stop_words: list[str] = K.STOP_WORDS, only: DataFrame | None = None) -> Postings:
+    """Write the lexical index of ``corpus`` (``source_table, record_id, text``), by hash of the stem.
+
+    A posting's weight is tf / (1 + ln(words in the record)); ``heads`` has each stem's number of records and its largest
+    weight.  Words are stemmed once each, not once per occurrence.  With ``only`` (a column ``stem``) the index holds
+    these stems alone.
+    """
+    spark = corpus.sparkSession
+    folder = folder or _index_folder(spark)
+    # explode_outer: a plain explode would make the optimizer add a filter on the array's size that splits texts again.
+    tokens = (
+        corpus.withColumn("_w", X.words(F.col("text"))).select("source_table", "record_id", F.size("_w").alias("len"), "_w")
         .select("source_table", "record_id", "len", F.explode_outer("_w").alias("word"))
-        .join(checked_broadcast(asked.select("word").distinct()), "word", "left_semi")
+        .where(F.col("word").isNotNull() & ~F.col("word").isin(stop_words))
     )
-    # Grouped by exactly the keys of the last join, so that join finds the postings placed already.  One aggregate, used
-    # by all three readers below, so the optimizer prunes none of them and one shuffle serves all.
     each = 1.0 / (1 + F.log(F.col("len").cast("double")))
-    postings = words.groupBy("source_table", "record_id", "word").agg(F.sum(each).alias("weight"))
-    held_by = postings.groupBy("word").agg(F.count_if(F.col("weight") > 0).alias("records"))
+    # Texts are split once: their words are written, and both the distinct words and the postings come from there.
+    held = _written(tokens.groupBy("source_table", "record_id", "word").agg(F.sum(each).alias("weight")), f"{folder}/words")
+    # dealt anew: adaptive execution would leave the words to few tasks, and stemming is work of the processor
+    stems = held.select("word").distinct().repartition(spark.sparkContext.defaultParallelism).select("word", stem("word").alias("stem"))
+    # written before they are looked at: a join or filter on the stem would be pushed below it and compute it again
+    stems = _written(stems, f"{folder}/stems")
+    if only is not None:
+        stems = stems.join(checked_broadcast(only.select("stem").distinct()), "stem", "left_semi").select("word", "stem")
+    postings = held.join(checked_broadcast(stems), "word").groupBy("source_table", "record_id", "stem").agg(F.sum("weight").alias("weight"))
+    # rebalanced: a bucket of frequent stems becomes several files, written by several tasks
+    placed = postings.withColumn("bucket", _bucket(buckets)).hint("rebalance", F.col("bucket"))
+    placed.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index = Postings(folder, buckets)
+    if stems.isEmpty():
+        # partitioned folders of no rows have no files, hence no schema
+        none = postings.limit(0).withColumn("bucket", F.lit(0))
+        none.write.mode("overwrite").parquet(f"{folder}/postings")
+        none.select("bucket", "stem", F.lit(0).cast("long").alias("records"), F.col("weight").alias("top")).write.parquet(f"{folder}/heads")
+        return index
+    held = index.table(spark, "postings")
+    heads = held.groupBy("bucket", "stem").agg(F.count_if(F.col("weight") > 0).alias("records"), F.max("weight").alias("top"))
+    heads.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{folder}/heads")
+    return index
+
+
+def search_postings(spark: SparkSession, index: Postings, queries: DataFrame, n: int | None = K.LIST_LENGTH, stop_words: list[str] = K.STOP_WORDS, asked: DataFrame | None = None) -> DataFrame:
+    """Records that hold every stem of a query, best ``n`` per query and table, from a written index alone.
+
+    Only buckets with an asked stem are read.  A query meets the records of its rarest stem.  Their weight for that
+    stem and the largest weights of the others bound their score: the most promising are scored first, and of the
+    rest only those whose bound reaches the n-th best score found.  Score: sum of weights, at most 1; ties go to the smaller id.
+    """
+    asked = _written(asked_stems(queries, stop_words), f"{_index_folder(spark)}/asked") if asked is None else asked
+    stems = asked.select("stem").distinct()
+    # at most as many numbers as there are buckets
+    touched = [r.bucket for r in stems.select(_bucket(index.buckets)).distinct().collect()]
+    wanted = checked_broadcast(stems)
+    heads = index.table(spark, "heads").where(F.col("bucket").isin(touched)).join(wanted, "stem", "left_semi")
+    postings = index.table(spark, "postings").where(F.col("bucket").isin(touched) & (F.col("weight") > 0)).join(wanted, "stem", "left_semi").drop("bucket")
+    need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     rarest = (
-        asked.join(held_by, "word").groupBy("query_id", "need")
-        .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("records", "word")).alias("r"))
-        .where(F.col("known") == F.col("need"))  # a word that no record has rules the query out
-        .select("query_id", "need", F.col("r.word").alias("word"))
+        asked.join(heads, "stem").groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("records", "stem", "top")).alias("r"), F.sum("top").alias("tops"))
+        .join(need, "query_id").where(F.col("known") == F.col("need"))  # a stem that no record has rules the query out
+        .select("query_id", "need", F.col("r.stem").alias("stem"), (F.col("tops") - F.col("r.top")).alias("others"))
     )
-    candidates = postings.where(F.col("weight") > 0).join(rarest, "word").select("query_id", "need", "source_table", "record_id")
-    checked = (
-        candidates.join(asked.select("query_id", "word"), "query_id")
-        .join(postings, ["source_table", "record_id", "word"])
-        .groupBy("query_id", "source_table", "record_id", "need")
-        .agg(F.count(F.lit(1)).alias("got"), F.sum("weight").alias("weight"))
-    )
-    scored = checked.where(F.col("got") == F.col("need")).select(
-        "query_id", "source_table", "record_id",
-        F.round(F.least(F.lit(1.0), F.col("weight")), 9).alias("score"),
-    )
-    return scored if n is None else best_per_query(scored, n, ["query_id", "source_table"], rank="_r").drop("_r")
+    candidates = postings.join(checked_broadcast(rarest), "stem").select(
+        "query_id", "need", "source_table", "record_id", F.least(F.lit(1.0), F.round(F.col("weight") + F.col("others") + 1e-9, 9)).alias("bound"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        pairs = some.join(asked, "query_id").join(postings, ["source_table", "record_id", "stem"])
+        found = pairs.groupBy("query_id", "source_table", "record_id", "need").agg(F.count(F.lit(1)).alias("got"), F.sum("weight").alias("weight"))
+        return found.where(F.col("got") == F.col("need")).select("query_id", "source_table", "record_id", F.round(F.least(F.lit(1.0), F.col("weight")), 9).alias("score"))
+
+    if n is None:
+        return scored(candidates)
+    lists = ["query_id", "source_table"]
+    folder = _index_folder(spark)
+    candidates = _written(candidates, f"{folder}/candidates")
+    order = Window.partitionBy(*lists).orderBy(F.desc("bound"), "record_id")
+    first = candidates.withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= 4 * n)
+    best = _written(best_per_query(scored(first.drop("_p")), n, lists, rank="_r"), f"{folder}/best")
+    # where n records are known, what lies behind the last one scored can only matter if its bound reaches the n-th
+    floor = best.where(F.col("_r") == n).select(*lists, F.col("score").alias("floor"))
+    last = first.where(F.col("_p") == 4 * n).select(*lists, F.col("bound").alias("seen"), F.col("record_id").alias("seen_id"))
+    behind = (F.col("bound") < F.col("seen")) | ((F.col("bound") == F.col("seen")) & (F.col("record_id") > F.col("seen_id")))
+    rest = _written(candidates.join(last, lists).where(behind).join(floor, lists, "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0))).select(candidates.columns), f"{folder}/rest")
+    every = best.drop("_r") if rest.isEmpty() else best.drop("_r").unionByName(scored(rest))
+    return best_per_query(every, n, lists, rank="_r").drop("_r")
+
+
+def lexical_hits(corpus: DataFrame, queries: DataFrame, n: int | None = K.LIST_LENGTH, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
+    """JN-03: records that contain every query word that is not a stop word, words compared by their stems.
+
+    ``(query_id, source_table, record_id, score)`` with score the sum over the query's stems of tf / (1 + ln(words in
+    the record)), at most 1.  ``corpus`` is ``(source_table, record_id, text)``, ``queries`` is ``(query_id, text)``.
+
+    For one table of queries: the index written holds the asked stems only.  To search again and again, write all of
+    it with ``build_postings`` and call ``search_postings``.
+    """
+    spark = corpus.sparkSession
+    asked = _written(asked_stems(queries, stop_words), f"{_index_folder(spark)}/asked")
+    return search_postings(spark, build_postings(corpus, buckets=8, stop_words=stop_words, only=asked), queries, n, stop_words, asked)
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, k: int, payload: tuple[str, ...] = ()) -> DataFrame:

@@ -156,12 +156,9 @@ def accuracy(df: DataFrame, by: Sequence[str], predicted: str, label: str) -> Da
 
 
 def subject_group(subject: Column) -> Column:
-    """AG-20, JN-17: the group of an exam subject."""
-    chain = None
-    for group, subjects in K.SUBJECT_GROUPS.items():
-        hit = subject.isin(subjects)
-        chain = F.when(hit, group) if chain is None else chain.when(hit, group)
-    return chain
+    """AG-20, JN-17: the group of an exam subject; null for an unknown one."""
+    groups = F.create_map(*[F.lit(x) for pair in K.SUBJECT_CATEGORIES.items() for x in pair])
+    return F.element_at(groups, subject)
 
 
 def script_group(language: Column) -> Column:

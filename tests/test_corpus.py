@@ -68,10 +68,10 @@ def test_dialogue_tiers(spark):
     assert got == ["TIER_A", "TIER_B", "TIER_C", "TIER_D", "TIER_D", "TIER_D", "TIER_D"]
 
 
-def test_preview_is_a_default_that_can_be_lifted(spark):
+def test_whole_text_by_default_and_a_preview_on_demand(spark):
     rows = spark.createDataFrame([(1, "nothing", "." * 320 + " stent")], S.DIALOGUE)
-    assert C.categorize_dialogue(rows, RULES["question"]).first().primary_category == "public_health_prevention"
-    assert C.categorize_dialogue(rows, RULES["question"], preview_chars=None).first().primary_category == "heart_blood_vessels"
+    assert C.categorize_dialogue(rows, RULES["question"]).first().primary_category == "heart_blood_vessels"
+    assert C.categorize_dialogue(rows, RULES["question"], preview_chars=300).first().primary_category == "public_health_prevention"
 
 
 def test_build_load_and_report(spark, tmp_path):

@@ -89,6 +89,22 @@ def test_wins(spark, samples, hot_rows, limit):
         assert rate == pytest.approx(sum(shares) / len(shares))
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
+@pytest.mark.parametrize("limit", [None, 0.4])
+def test_null_prompts_and_models_are_groups(spark, hot_rows, limit):
+    r = random.Random(9)
+    rows = [(m, p, r.choice([None, 0.1, 0.5, 0.9]), r.choice([None, 10, 12, 30])) for p in (None, 1) for m in (None, "a", "b") for _ in range(5)]
+    df = spark.createDataFrame(rows, "model string, prompt_id int, score double, length long")
+    got = A.wins(df, hot_rows=hot_rows) if limit is None else A.length_controlled_wins(df, limit, hot_rows=hot_rows)
+    expected = {}
+    for (ma, pa, sa, la), (mb, pb, sb, lb) in itertools.product(rows, rows):
+        if pa != pb or sa is None or sb is None or sa <= sb or (limit is not None and (la is None or lb is None or abs(la - lb) / ((la + lb) / 2) > limit)):
+            continue
+        expected[pa, ma, mb] = expected.get((pa, ma, mb), 0) + 1
+    assert {(r.prompt_id, r.model_a, r.model_b): r.wins for r in got.collect()} == expected
+    assert {(r.model_a, r.model_b) for r in A.win_shrinkage(A.win_rates(got), A.win_rates(got)).collect()} == {k[1:] for k in expected} | {k[:0:-1] for k in expected}
+
+
 @pytest.mark.parametrize("hot_rows", [1_000_000, 2])
 def test_correlations(spark, samples, hot_rows):
     rows, df = samples

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caresift import constants as K
 from caresift.functions import text as X
+from caresift.functions.stemming import stem
 from caresift.operators import classify as C
 from caresift.operators import kb
 from caresift.operators import retrieval as R
@@ -95,6 +97,67 @@ def test_lexical_search_needs_every_word(spark):
     assert score == 1.0 and R.lexical_hits(corpus, queries).where("query_id = 4 and record_id = 1").first().score == pytest.approx(1 / (1 + np.log(5)))
 
 
+def test_rows_without_a_vector_have_no_centroid(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "query_id int, embedding array<double>")
+    means = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "category string, centroid array<double>")
+    assert values(C.nearest_centroid(rows, means, threshold=None), "query_id", "category") == [(1, "x")]
+
+
+STEMS = """consigned consign|consistency consist|consolatory consolatori|conspirators conspir|constancy constanc|knackeries knackeri|knavish knavish|knitting knit|
+knives knive|ties tie|cries cri|gas gas|this this|gaps gap|kiwis kiwi|hoping hope|hopping hop|luxuriated luxuri|generously generous|generic generic|communism communism|
+skies sky|dying die|exceed exceed|proceeds proceed|happily happili|by by|say say|cry cri|relational relat|rational ration|electricity electr|hopefulness hope|
+possibly possibl|agreed agre|feed feed|youth youth|boyish boyish|diabetes diabet|medications medic|shed shed|bing bing|fizzed fizz|probate probat|cease ceas|
+controlling control|roll roll|biology biolog|cats cat|été été|ü ü"""
+
+
+def test_stems_of_known_words(spark):
+    pairs = [tuple(p.split()) for p in STEMS.replace("\n", "").split("|")]
+    df = spark.createDataFrame([*pairs, (None, None)], "word string, want string").select("word", "want", stem("word").alias("got"))
+    assert [r for r in df.collect() if r.got != r.want] == []
+
+
+def test_lexical_search_compares_stems(spark):
+    corpus = spark.createDataFrame([("t", 1, "a cat sat"), ("t", 2, "cats were treated"), ("t", 3, "treatment of dogs")], "source_table string, record_id int, text string")
+    queries = spark.createDataFrame([(1, "Cats"), (2, "the cat's treating"), (3, "dog treatments")], "query_id int, text string")
+    assert values(R.lexical_hits(corpus, queries), "query_id", "record_id") == [(1, 1), (1, 2), (2, 2), (3, 3)]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark):
+    r = random.Random(17)
+    words = ["pain", "pains", "heart", "hearts", "treated", "treat", "zeta", "of", "été"] + [f"w{k}" for k in range(12)]
+    docs = [(r.choice("ab"), i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(400)]
+    corpus = spark.createDataFrame(docs, "source_table string, record_id int, text string")
+    return docs, R.build_postings(corpus, buckets=16)
+
+
+@pytest.mark.parametrize("n", [1, 3, None])
+def test_search_in_a_written_index(spark, indexed, n):
+    docs, index = indexed
+    stems = {"pains": "pain", "hearts": "heart", "treated": "treat"}
+    asked = [(1, "pains"), (2, "heart of pain"), (3, "w1 w2"), (4, "of"), (5, "pain nowhere"), (6, "w3 treat été"), (7, None)]
+    got = {}
+    for r in R.search_postings(spark, index, spark.createDataFrame(asked, "query_id int, text string"), n).collect():
+        got.setdefault((r.query_id, r.source_table), []).append((-r.score, r.record_id))
+    for q, text in asked:
+        need = {stems.get(w, w) for w in (text or "").split()} - {"of"}
+        for t in "ab":
+            want = []
+            for t2, i, d in docs:
+                ws = [stems.get(w, w) for w in d.split()]
+                if t2 == t and need and need <= set(ws):
+                    want.append((-round(min(1.0, sum(w in need for w in ws) / (1 + math.log(len(ws)))), 9), i))
+            assert sorted(got.get((q, t), [])) == sorted(want)[:n]
+
+
+def test_a_search_reads_the_touched_buckets_of_the_index_only(spark, indexed):
+    queries = spark.createDataFrame([(1, "heart")], "query_id int, text string")
+    df = R.search_postings(spark, indexed[1], queries, None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert R.search_postings(spark, R.build_postings(spark.createDataFrame([], "source_table string, record_id int, text string")), queries).count() == 0
+
+
 @pytest.mark.parametrize("inline", [1000, 0])
 def test_contained_phrases_both_ways(spark, inline):
     r = random.Random(5)
