@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from caresift.session import shared_dir
@@ -21,7 +22,6 @@ BATCH_BYTES = 4 << 20
 WHITE_SPACE = (9, 10, 11, 12, 13, 32)
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -56,6 +56,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,25 +121,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words from one running polynomial over the bytes of a slice."""
+    """64-bit hashes of words.  Each distinct word of a slice is hashed once, by its bytes alone."""
 
     def __init__(self) -> None:
         self.byte = np.random.default_rng(20_011).integers(1, 1 << 63, 256).astype(np.uint64)
-        self.grow(SLICE_BYTES + 1)
 
-    def grow(self, size: int) -> None:
-        self.power = np.cumprod(np.full(size, _BASE, np.uint64))
-        self.inverse = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
+    def pairs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two independent hashes of every word, as rows of an array of two columns."""
+        if not len(starts):
+            return np.zeros((0, 2), np.uint64)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        words = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
+        digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()])
+        return np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        if len(data) >= len(self.power):
-            self.grow(2 * len(data))
-        running = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.byte[data] * self.power[:len(data)], out=running[1:])
-        value = (running[ends] - running[starts]) * self.inverse[starts]
-        return mixed(value + (ends - starts).astype(np.uint64))
+        return self.pairs(data, starts, ends)[:, 0].copy()
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

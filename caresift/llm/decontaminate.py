@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import WordHasher, mixed, ranges, separators, small_batches, stored, text_slices, word_bounds
+from caresift.llm.common import WordHasher, mixed, ranges, separators, small_batches, stored, text_slices, unused, word_bounds
 
 SIMILARITY = 0.8
 STEPS = 8
@@ -373,7 +373,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, target: float = 0.99, block_words: int = BLOCK_WORDS, passages: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found (see ``leaks``), all columns, one pass per block."""
     small_batches(docs.sparkSession)
-    kept, names = docs, docs.columns
+    kept, names, lower = docs, docs.columns, unused(docs, "_lower")
     for items in item_blocks(benchmark, item_id, item_text, block_words):
         width = len(names)
 
@@ -385,5 +385,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     good[low + finder(data, offsets)[0]] = False
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:width]], names=names)
 
-        kept = kept.withColumn("_lower", F.lower(F.col(text))).mapInArrow(clean, docs.schema)
+        kept = kept.withColumn(lower, F.lower(F.col(text))).mapInArrow(clean, docs.schema)
     return kept

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import WHITE_SPACE, WordHasher, separators, small_batches, stored, text_slices, word_bounds
+from caresift.llm.common import WHITE_SPACE, WordHasher, separators, small_batches, stored, text_slices, unused, word_bounds
 from caresift.llm.toxicity import bounded_sample
 
 HASH_BITS = 14
@@ -128,7 +128,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text", mix: Mix
                 rates = [pa.array(rates_of(share.astype(np.float64), mix.steps, mix.least)[0])] if mix else []
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(low, high - low) for i in range(width)], pa.array(counts.astype(np.int64)), lists, *rates], names=schema.names)
 
-    return docs.select(*kept.columns, F.col(text).alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*kept.columns, F.col(text).alias(unused(kept, "_text"))).mapInArrow(judge, schema)
 
 
 def _shares(batch: pa.RecordBatch, n_domains: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,8 @@ def fit_rates(members: DataFrame, weights: np.ndarray, least: float = 0.0, keep_
 
     The total is that of the corpus, or with ``keep_all`` the smallest at which no domain has to shrink.  Domains that
     no document may belong to are left out of the fit.  Ends when every domain is within ``tolerance`` of its target, or
-    after ``most`` iterations (targets may be out of reach), with the least-squares state reached.
+    after ``most`` iterations: targets may be out of reach, and the rates are then those of the last iteration, which need not
+    be the least squares yet.  ``expected`` and ``target`` of the result say how far they are.
     """
     n_domains = len(weights)
 

@@ -148,9 +148,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_mixing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    rates, model, _ = mixing.mixed_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    rates, model, mix = mixing.mixed_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
     named = F.map_from_arrays(F.lit(list(model.domains)), F.col("posterior"))
-    return rates.select("doc_id", "n_tokens", named.alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    totals = [F.create_map(*[F.lit(v) for d, n in zip(model.domains, x) for v in (d, float(n))]).alias(name) for name, x in (("expected", mix.expected), ("target", mix.target))]
+    return rates.select("doc_id", "n_tokens", named.alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), *totals)
 
 
 @query("op9_benchmark_decontamination")

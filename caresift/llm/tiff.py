@@ -53,6 +53,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == end or done >= size:
             break
         if not before:
+            if code >= len(table):
+                raise ValueError("LZW code out of range")
             piece = table[code]
         else:
             if code < len(table):
@@ -202,6 +204,8 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     def one(tag: int, default: int | None = None) -> int:
         if tag not in tags and default is None:
             raise ValueError(f"tag {tag} is missing")
+        if tag in tags and not tags[tag]:
+            raise ValueError(f"tag {tag} has no value")
         return tags[tag][0] if tag in tags else default
 
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
@@ -216,8 +220,10 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     tiled = TILE_OFFSETS in tags
     wide, high = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError("a page, strip or tile has no pixels")
     across, down = -(-width // wide), -(-height // high)
-    if len(offsets) < planes * across * down:
+    if min(len(offsets), len(sizes)) < planes * across * down:
         raise ValueError("strips or tiles are missing")
     for k in range(planes * across * down):
         plane, row, column = k // (across * down), k % (across * down) // across * high, k % across * wide

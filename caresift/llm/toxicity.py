@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caresift.llm.common import small_batches, stored, text_slices
+from caresift.llm.common import small_batches, stored, text_slices, unused
 
 GRAM_SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             columns = [batch.column(i) for i in range(n_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=schema.names)
 
-    return source.withColumn("_padded", padded(F.col(text))).mapInArrow(score, schema)
+    return source.withColumn(unused(source, "_padded"), padded(F.col(text))).mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column) -> Column:

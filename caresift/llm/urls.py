@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caresift.llm.common import unused
 from caresift.operators.ordered import running_before
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +97,8 @@ def judged_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .select(_key(F.slice(labels, 1, F.col("level")), F.col("path")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(borders.schema["top"].dataType).alias("top"), "host", "path")
     )
     swept = running_before(borders.unionByName(probes), [], ["at", "kind", "host", "path"], {"active": "top"}, hot=True, how="max")
-    best = swept.where("kind = 1").groupBy("host", "path").agg(F.max("active.value").alias("best"))
+    name = unused(pages, "_best")
+    best = swept.where("kind = 1").groupBy("host", "path").agg(F.max("active.value").alias(name))
     return source.join(best, ["host", "path"], "left").select(
-        *[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        *[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", F.col(name)["rule"].alias("rule"), F.coalesce(F.col(name)["verdict"], F.lit(default)).alias("verdict"),
     )

@@ -90,3 +90,11 @@ def test_components(spark, edges):
             root[a] = root[b] = min(root[a], root[b])
     want = {k: v for k, v in root.items() if any(x != y and k in (x, y) for x, y in edges)}
     assert {r.node: r.component for r in components(df).collect()} == want
+
+
+def test_words_that_collide_under_a_polynomial(spark):
+    one = "a"
+    while len(one) < 4096:
+        one += one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert [(r.class_id, r.copy_id, r.n_links) for r in ngram_join.jaccard_classes(df).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0)]

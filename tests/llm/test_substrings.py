@@ -77,3 +77,19 @@ def test_minimisers_and_window_hashes():
         assert [hashes[k] == hashes[k + 13] for k in range(20)] == [True] * 20 and len(np.unique(hashes)) == 13
     runs = window_hashes(words, 8)
     assert substrings.minimisers(words, 20, 8).tolist() == [runs[k:k + 13].min() for k in range(281)]
+
+
+def thue_morse(n):
+    letters = "a"
+    while len(letters) < n:
+        letters += letters.translate(str.maketrans("ab", "ba"))
+    return letters[:n], letters[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_under_a_polynomial(spark, n):
+    one, other = thue_morse(n)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(0, " ".join(words[:10] + [one] + words[10:])), (1, " ".join(words[:10] + [other] + words[10:]))]
+    want = brute(rows, 20)
+    assert [(r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [want[r] for r in rows]
