@@ -121,26 +121,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words.  Each distinct word of a slice is hashed once, by its bytes alone."""
+    """64-bit hashes of words: eight bytes at a time are taken into two chains, each step of which mixes all bits."""
+
+    #: Words of more bytes than this are hashed one by one.
+    LONG = 512
 
     def __init__(self) -> None:
         self.byte = np.random.default_rng(20_011).integers(1, 1 << 63, 256).astype(np.uint64)
 
-    def pairs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Two independent hashes of every word, as rows of an array of two columns."""
-        if not len(starts):
-            return np.zeros((0, 2), np.uint64)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts] += 1
-        inside[ends] -= 1
-        words = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
-        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
-        digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()])
-        return np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+    def pairs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of every word."""
+        size = ends - starts
+        one, two = mixed(size.astype(np.uint64) ^ self.byte[1]), mixed(size.astype(np.uint64) + self.byte[2])
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[:len(data)] = data
+        # The eight bytes from every byte on.
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        long = size > self.LONG
+        left = np.flatnonzero(~long) if long.any() else np.arange(len(size))
+        at, rest = starts[left], size[left]
+        while len(left):
+            chunk = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.minimum(rest, 8)).astype(np.uint64))
+            one[left] = mixed(one[left] ^ chunk)
+            two[left] = mixed(two[left] * np.uint64(_BASE) + chunk)
+            more = np.flatnonzero(rest > 8)
+            left, at, rest = left[more], at[more] + 8, rest[more] - 8
+        for k in np.flatnonzero(long):
+            one[k], two[k] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[k]:ends[k]].tobytes()), np.uint64)
+        return one, two
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.pairs(data, starts, ends)[:, 0].copy()
+        return self.pairs(data, starts, ends)[0]
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

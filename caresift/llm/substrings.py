@@ -52,10 +52,9 @@ class Windows:
 
     def __init__(self, hasher: WordHasher, between: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> None:
         self.starts, self.ends, self.first = word_bounds(data, offsets, between)
-        pairs = hasher.pairs(data, self.starts, self.ends)
-        self.words = pairs[:, 0].copy()
+        self.words, others = hasher.pairs(data, self.starts, self.ends)
         self.one = window_hashes(self.words, width)
-        self.two = window_hashes(pairs[:, 1].copy(), width)
+        self.two = window_hashes(others, width)
         self.place = np.flatnonzero(full_windows(self.first, width, len(self.one)))
         self.text = np.searchsorted(self.first, self.place, "right") - 1
 
