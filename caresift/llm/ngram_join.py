@@ -1,24 +1,29 @@
-"""N-gram Jaccard join: MinHash banding of a fixed depth, followed by exact verification.
+"""N-gram Jaccard join: MinHash LSH forest, followed by exact verification.
 
 Documents with the same words are one class of copies, represented by its smallest id.  Every representative gets one
-label of MinHash values per tree.  All labels have the same length: the longest, up to ``max_depth``, at which pairs at
-the threshold meet in some tree with the target recall.  It is solved from threshold, trees and target alone; this is no
-LSH forest, as no label is longer and no prefix is shortened by what the data holds.  Equal labels are the candidate
-buckets.  Buckets and what follows are worked on in blocks, so that no task holds an
-unbounded group and no table of pairs is written:
-
-1. within blocks of a bucket, sketches (one byte of every MinHash value) join what looks alike to stars;
-2. connected stars are candidate groups, and each member's shingles are sent to its group once per block;
-3. blocks of a group count common shingles exactly; links are counted in place, and verified stars are connected.
+label of ``max_depth`` MinHash values per tree; the labels of a tree, sorted, are its trie.  A representative asks for all
+labels that share a prefix with its own.  Prefixes start at the whole label and are shortened level by level, all trees
+alike, until a pair at the threshold meets in one of them with the target probability.  A prefix is shortened first only
+as long as few labels share it; prefixes that many share, as of boilerplate, stay long where other trees make up for it,
+and are shortened last, if the target asks for it.  So the recall bound holds for every document, whatever its neighbours.
+
+1. shared prefixes are counted, for all labels at the shortest length, for those of large nodes at every length;
+2. within blocks of the nodes that are asked for, sketches (one byte of every MinHash value) join what shares a long
+   enough prefix and looks alike to stars;
+3. connected stars are candidate groups, and each member's shingles are sent to its group once per block;
+4. blocks of a group count common shingles exactly; links are counted in place, and verified stars are connected.
+
+No task holds an unbounded group and no table of pairs is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caresift.llm.common import (
@@ -26,13 +31,16 @@ from caresift.llm.common import (
     whole_groups, window_hashes, word_bounds,
 )
 from caresift.llm.components import components
+from caresift.operators.sizes import checked_broadcast
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketches of a pair at the threshold agree on fewer values than this share only 4.5 standard deviations below the mean.
-SKETCH_SHARE = 0.6
+#: Sketches of a pair at the threshold agree on fewer values than are let pass only this many standard deviations below the mean.
+SKETCH_DEVIATIONS = 4.5
 BUCKET_BLOCK = 256
 GROUP_BLOCK = 256
+#: Levels by which prefixes may get shorter than trees of equal depth would need, to make up for others that stay long.
+SPARE_LEVELS = 1
 
 
 def forest_depth(threshold: float, trees: int, target: float, max_depth: int) -> int:
@@ -43,6 +51,49 @@ def forest_depth(threshold: float, trees: int, target: float, max_depth: int) ->
     return 1
 
 
+@dataclass(frozen=True)
+class Forest:
+    """Trees of labels of ``deepest`` values, of which prefixes of at least ``shortest`` values are matched."""
+
+    threshold: float
+    trees: int
+    target: float
+    shortest: int
+    deepest: int
+
+    def prefix_lengths(self, small: np.ndarray) -> np.ndarray:
+        """Prefix lengths per document and tree; ``small``: the shortest prefix that few labels share, at most ``deepest`` + 1.
+
+        What a length contributes is the log of the chance of a miss, which adds up over trees.
+        """
+        chance = np.minimum(self.threshold, 1 - 1e-9) ** np.arange(self.deepest + 1.0)
+        chance[0] = 1 - 1e-12
+        gain = -np.log1p(-chance)
+        need = -np.log1p(-min(self.target, 1 - 1e-12))
+        lengths = np.full(small.shape, self.deepest)
+        reached = np.full(len(small), self.trees * gain[self.deepest])
+        for few in (True, False):
+            for level in range(self.deepest - 1, self.shortest - 1, -1):
+                for tree in range(self.trees):
+                    shorten = (reached < need) & (lengths[:, tree] == level + 1)
+                    if few:
+                        shorten &= small[:, tree] <= level
+                    lengths[shorten, tree] = level
+                    reached[shorten] += gain[level] - gain[level + 1]
+        return lengths
+
+    @property
+    def sketch_least(self) -> int:
+        """How many bytes of two sketches have to agree."""
+        n = self.trees * self.deepest
+        return max(0, int(n * self.threshold - SKETCH_DEVIATIONS * (n * self.threshold * (1 - self.threshold)) ** 0.5))
+
+
+def forest_of(threshold: float, trees: int, target: float, max_depth: int) -> Forest:
+    depth = forest_depth(threshold, trees, target, max_depth)
+    return Forest(threshold, trees, target, max(1, depth - SPARE_LEVELS), max_depth)
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, between: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingles in text order, their number per text, word hashes, first word of each text).
 
@@ -90,8 +141,13 @@ def local_roots(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def signatures(docs: DataFrame, trees: int, depth: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, d1, d2`` (digest of the word sequence), ``keys`` (one per tree) and ``sketch`` of every text with words."""
+def signatures(docs: DataFrame, forest: Forest, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, d1, d2`` (digest of the word sequence), ``keys`` and ``sketch`` of every text with words.
+
+    ``keys``: per tree, a hash of the shortest prefix.  ``sketch``: one byte of every value, tree by tree; a tree's bytes
+    beyond the shortest prefix continue its key to the whole label.
+    """
+    trees, depth = forest.trees, forest.deepest
     total = trees * depth
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +167,7 @@ def signatures(docs: DataFrame, trees: int, depth: int, doc_id: str, text: str)
                 for i in range(total):
                     least[:, i] = reduced(np.minimum, (short ^ flips[i]) * factors[i], counts, 0)
                 label = np.zeros((high - low, trees), np.uint64)
-                for level in range(depth):
+                for level in range(forest.shortest):
                     label = mixed(label * np.uint64(0x9E3779B97F4A7C15) + least[:, level::depth])
                 keys = mixed(label ^ salts).view(np.int64)
                 sketch = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
@@ -137,33 +193,102 @@ def in_blocks(rows: DataFrame, keys: list[str], size: str, node: str, block: int
     )
 
 
-def bucket_stars(rows: DataFrame, share: float) -> DataFrame:
-    """Edges ``a, b`` from every member of a block whose sketch is like another's to the smallest member it hangs on."""
-    keys = ["tree", "key", "i", "l"]
+def _prefix(forest: Forest, length: Column) -> Column:
+    """A label's bytes from the shortest prefix up to ``length`` values."""
+    return F.substring("sketch", F.col("tree") * forest.deepest + forest.shortest + 1, length - forest.shortest)
+
+
+def asked_prefixes(classes: DataFrame, forest: Forest, many: int) -> DataFrame:
+    """``node, tree, length, bucket, m, sketch``: each label that shares a prefix asked for, in the largest such node.
+
+    ``length``: the prefix this representative asks for.  ``m``: labels in the node ``bucket`` of the trie; prefixes that
+    more than ``many`` labels share count as shared by many.
+    """
+    labels = classes.select("node", F.posexplode("keys").alias("tree", "key"))
+    sizes = labels.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    members = stored(labels.join(sizes, ["tree", "key"]), "jaccard-labels")
+    crowded = F.col("m") > many
+    sketches = classes.select("node", "sketch")
+
+    # Nodes of many labels, at every length: with what number of values does a label leave them?
+    longer = F.sequence(F.lit(forest.shortest + 1), F.lit(forest.deepest)) if forest.deepest > forest.shortest else F.array().cast("array<int>")
+    grown = members.where(crowded).join(sketches, "node").select("node", "tree", "key", "sketch", F.explode(longer).alias("length"))
+    grown = grown.select("node", "tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix"))
+    place = ["tree", "key", "length", "prefix"]
+    large = stored(grown.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select(*place), "jaccard-large")
+    left = grown.join(checked_broadcast(large), place, "left_semi").groupBy("node", "tree").agg((F.max("length") + 1).alias("small"))
+    uneven = (
+        members.where(crowded).join(left, ["node", "tree"], "left")
+        .groupBy("node").agg(F.collect_list(F.struct("tree", F.coalesce("small", F.lit(forest.shortest + 1)).alias("small"))).alias("held"))
+    )
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = np.full((batch.num_rows, forest.trees), forest.shortest)
+            held = batch.column(1)
+            flat = held.flatten()
+            rows = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
+            small[rows, flat.field("tree").to_numpy()] = flat.field("small").to_numpy()
+            lengths = forest.prefix_lengths(small).astype(np.int32)
+            cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * forest.trees)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(lengths.ravel()))], ["node", "lengths"])
+
+    usual = F.lit(forest.prefix_lengths(np.full((1, forest.trees), forest.shortest))[0].tolist())
+    planned = uneven.mapInArrow(plan, "node bigint, lengths array<int>")
+    length = F.element_at(F.coalesce("lengths", usual), F.col("tree") + 1)
+    asking = members.join(planned, "node", "left").join(sketches, "node").select("node", "tree", "key", "m", "sketch", length.alias("length"))
+    few = asking.where(~crowded).select("node", "tree", "length", F.col("key").alias("bucket"), "m", "sketch")
+    if large.isEmpty() and not members.where(crowded).limit(1).count():
+        return few
+
+    # In a large node, a label stands in the largest of the nodes on its way that somebody asks for.
+    many_asking = stored(asking.where(crowded), "jaccard-crowded")
+    asked = stored(many_asking.select("tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix")).distinct(), "jaccard-asked")
+    every = F.sequence(F.lit(forest.shortest), F.lit(forest.deepest))
+    way = many_asking.select("node", "tree", "key", "sketch", F.explode(every).alias("length")).select("node", "tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix"))
+    top = way.join(checked_broadcast(asked), place, "left_semi").groupBy("node", "tree").agg(F.min("length").alias("top"))
+    placed = many_asking.drop("m").join(top, ["node", "tree"]).withColumn("bucket", F.xxhash64("key", "top", _prefix(forest, F.col("top"))))
+    counted = placed.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    return few.unionByName(placed.join(counted, ["tree", "bucket"]).select("node", "tree", "length", "bucket", "m", "sketch"))
+
+
+def bucket_stars(rows: DataFrame, forest: Forest) -> DataFrame:
+    """Edges ``a, b`` from every member of a block to the smallest member it hangs on.
+
+    Two members hang together if they share the prefix that one of them asks for and their sketches look alike.
+    """
+    keys = ["tree", "bucket", "i", "l"]
+    least = forest.sketch_least
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
-            node = table.column("node").to_numpy()
+            node, tree, asked = (table.column(c).to_numpy() for c in ("node", "tree", "length"))
             sketch = np.stack(binary_rows(table.column("sketch"), np.uint8))
-            least = int(np.ceil(share * sketch.shape[1]))
+            rest = sketch.reshape(len(node), forest.trees, forest.deepest)[np.arange(len(node)), tree, forest.shortest:]
             cuts = np.append(group_starts(table, keys), len(node))
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]
+            shared = forest.shortest + np.logical_and.accumulate(rest[two] == rest[two + 1], axis=1).sum(1)
+            two = two[shared >= np.minimum(asked[two], asked[two + 1])]
             two = two[(sketch[two] == sketch[two + 1]).sum(1) >= least]
             found = [(node[two], node[two + 1])]
             for low, high in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
                 order = low + np.argsort(node[low:high])
-                mine = sketch[order]
+                mine, label, wish = sketch[order], rest[order], asked[order]
                 near = np.zeros((len(mine), len(mine)), bool)
-                for at in range(0, len(mine), 128):
-                    near[at:at + 128] = (mine[at:at + 128, None, :] == mine[None, :, :]).sum(2, dtype=np.uint16) >= least
+                for at in range(0, len(mine), 64):
+                    part = slice(at, at + 64)
+                    shared = forest.shortest + np.logical_and.accumulate(label[part, None, :] == label[None, :, :], axis=2).sum(2)
+                    one, other = np.nonzero(shared >= np.minimum(wish[part, None], wish[None, :]))
+                    alike = (mine[at + one] == mine[other]).sum(1) >= least
+                    near[at + one[alike], other[alike]] = True
                 root = local_roots(near)
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 found.append((node[order][moved], node[order][root[moved]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], ["a", "b"])
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "node", "sketch").mapInArrow(stars, "a bigint, b bigint")
+    return dealt.select(*keys, "node", "length", "sketch").mapInArrow(stars, "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -260,16 +385,14 @@ def jaccard_classes(
     that repeat an id repeat its text and count as copies.  Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    depth = forest_depth(threshold, trees, target, max_depth)
-    signed = stored(signatures(docs, trees, depth, doc_id, text), "jaccard-signed")
+    forest = forest_of(threshold, trees, target, max_depth)
+    signed = stored(signatures(docs, forest, doc_id, text), "jaccard-signed")
     classes = stored(
         signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
         "jaccard-classes",
     )
-    labels = classes.select("node", F.posexplode("keys").alias("tree", "key"))
-    sizes = labels.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    members = labels.join(sizes, ["tree", "key"]).join(classes.select("node", "sketch"), "node")
-    stars = bucket_stars(in_blocks(members, ["tree", "key"], "m", "node", BUCKET_BLOCK), SKETCH_SHARE)
+    asked = asked_prefixes(classes, forest, BUCKET_BLOCK)
+    stars = bucket_stars(in_blocks(asked, ["tree", "bucket"], "m", "node", BUCKET_BLOCK), forest)
     groups = components(stars)
 
     group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))

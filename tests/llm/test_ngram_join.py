@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from caresift.llm import ngram_join
@@ -98,3 +99,67 @@ def test_words_that_collide_under_a_polynomial(spark):
         one += one.translate(str.maketrans("ab", "ba"))
     df = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
     assert [(r.class_id, r.copy_id, r.n_links) for r in ngram_join.jaccard_classes(df).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_prefix_lengths_reach_the_target_whatever_is_crowded():
+    forest = ngram_join.forest_of(0.8, 20, 0.9999, 8)
+    assert (forest.shortest, forest.deepest) == (3, 8)
+    small = np.random.default_rng(3).integers(3, 10, (500, 20))
+    small[0], small[1] = 3, 9
+    lengths = forest.prefix_lengths(small)
+    found = 1 - np.prod(1 - 0.8 ** lengths, axis=1)
+    assert (found >= 0.9999).all() and lengths.min() >= 3 and lengths.max() <= 8
+    # Nothing crowded, or everything: all trees within one level; otherwise crowded prefixes stay long while others make up.
+    assert set(lengths[0]) <= {4, 5} and set(lengths[1]) <= {4, 5}
+    half = forest.prefix_lengths(np.array([[3] * 16 + [9] * 4]))[0]
+    assert set(half[16:]) == {8} and half[:16].max() <= 4
+    loose = ngram_join.forest_of(0.8, 1, 0.9999, 8)
+    assert loose.prefix_lengths(np.array([[2]])).tolist() == [[1]]
+
+
+def boilerplate_corpus():
+    """Texts that share half of their words, and groups of near copies among them."""
+    rng = random.Random(21)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for g in range(60):
+        own = [f"o{g}w{k}" for k in range(40)]
+        for c in range(5 if g % 6 == 0 else 1):
+            w = shared + own
+            for _ in range(c):
+                w[rng.randrange(len(w))] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_crowded_prefixes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 4)
+    rows = boilerplate_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == brute(rows)
+
+
+def test_crowded_nodes_are_split_by_longer_prefixes(spark):
+    rows = boilerplate_corpus()
+    forest = ngram_join.forest_of(0.8, 20, 0.9999, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = ngram_join.signatures(df, forest, "doc_id", "text").withColumnRenamed("doc_id", "node")
+    labels = {r.node: np.frombuffer(r.sketch, np.uint8).reshape(20, 8) for r in signed.collect()}
+    asked = ngram_join.asked_prefixes(signed, forest, 4).collect()
+    assert {r.length for r in asked} - {4, 5}, "some prefixes stay longer or get shorter than without crowds"
+    together = {}
+    for r in asked:
+        together.setdefault((r.tree, r.bucket), []).append((r.node, r.length))
+    for r in asked:
+        assert r.m == len(together[r.tree, r.bucket])
+    # Whoever shares the prefix that a label asks for stands in its node (one byte a value tells these few labels apart).
+    for r in asked:
+        same = {y for y, label in labels.items() if (label[r.tree][:r.length] == labels[r.node][r.tree][:r.length]).all()}
+        assert same <= {n for n, _ in together[r.tree, r.bucket]}
+    forest_nodes = sum(len(h) ** 2 for h in together.values())
+    flat = {}
+    for node, label in labels.items():
+        for tree in range(20):
+            flat.setdefault((tree, label[tree][:3].tobytes()), []).append(node)
+    assert forest_nodes < sum(len(h) ** 2 for h in flat.values() if len(h) > 1), "pairs within nodes, against the shortest prefixes alone"
