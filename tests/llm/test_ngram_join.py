@@ -145,7 +145,9 @@ def test_crowded_nodes_are_split_by_longer_prefixes(spark):
     forest = ngram_join.forest_of(0.8, 20, 0.9999, 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     signed = ngram_join.signatures(df, forest, "doc_id", "text").withColumnRenamed("doc_id", "node")
-    labels = {r.node: np.frombuffer(r.sketch, np.uint8).reshape(20, 8) for r in signed.collect()}
+    rows_signed = signed.collect()
+    labels = {r.node: np.frombuffer(r.sketch, np.uint8).reshape(20, 8) for r in rows_signed}
+    keys = {r.node: r["keys"] for r in rows_signed}
     asked = ngram_join.asked_prefixes(signed, forest, 4).collect()
     assert {r.length for r in asked} - {4, 5}, "some prefixes stay longer or get shorter than without crowds"
     together = {}
@@ -153,13 +155,14 @@ def test_crowded_nodes_are_split_by_longer_prefixes(spark):
         together.setdefault((r.tree, r.bucket), []).append((r.node, r.length))
     for r in asked:
         assert r.m == len(together[r.tree, r.bucket])
-    # Whoever shares the prefix that a label asks for stands in its node (one byte a value tells these few labels apart).
+    # Whoever shares the prefix that a label asks for (key of three values, then bytes) stands in its node.
     for r in asked:
-        same = {y for y, label in labels.items() if (label[r.tree][:r.length] == labels[r.node][r.tree][:r.length]).all()}
+        own = labels[r.node][r.tree][3:r.length]
+        same = {y for y in labels if keys[y][r.tree] == keys[r.node][r.tree] and (labels[y][r.tree][3:r.length] == own).all()}
         assert same <= {n for n, _ in together[r.tree, r.bucket]}
     forest_nodes = sum(len(h) ** 2 for h in together.values())
     flat = {}
-    for node, label in labels.items():
-        for tree in range(20):
-            flat.setdefault((tree, label[tree][:3].tobytes()), []).append(node)
+    for node, held in keys.items():
+        for tree, key in enumerate(held):
+            flat.setdefault((tree, key), []).append(node)
     assert forest_nodes < sum(len(h) ** 2 for h in flat.values() if len(h) > 1), "pairs within nodes, against the shortest prefixes alone"
