@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caresift.catalog.registry import query, table
 from caresift.catalog.scans import fresh
 from caresift.operators import providers
-from caresift.streaming import state
+from caresift.streaming import state, windows
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -126,3 +126,60 @@ def ag_45b(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("source_table"), F.col("doc_id").alias("source_id"))
     done = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
     return providers.embedding_summary(docs, done)
+
+
+def _closed(spark, d, result, name):
+    path = fresh(spark, name)
+    windows.write_closed(result, path, fresh(spark, "ck"))
+    return windows.closed(spark, path, result.schema)
+
+
+def _day(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
+def _measures():
+    return [F.count(F.lit(1)).alias("n"), F.max("value").alias("highest"), F.count_if(F.col("value") > 50).alias("n_over_50")]
+
+
+# A stream closes what ends no later than its watermark, which counts in milliseconds.
+WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+def _windows_sql(starts, length):
+    return f"""
+    WITH w AS (SELECT event_type, value, {starts} AS s FROM events WHERE ts IS NOT NULL)
+    SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(s + {length}, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+           count(*)::BIGINT AS n, max(value) AS highest, count(*) FILTER (value > 50)::BIGINT AS n_over_50
+    FROM w WHERE s + {length} <= {WATERMARK} GROUP BY event_type, s"""
+
+
+@query("str_07_tumbling_windows", _windows_sql("time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')", "INTERVAL 6 HOUR"))
+def str_07_tumbling(spark, d):
+    out = _closed(spark, d, windows.activity_windows(events(spark, d), ["event_type"], _measures(), "6 hours"), "tumbling")
+    return out.select("event_type", _day("window_start"), _day("window_end"), "n", "highest", "n_over_50")
+
+
+@query("str_07_sliding_windows", _windows_sql("unnest([time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR FOR k IN [0, 1, 2, 3]])", "INTERVAL 24 HOUR"))
+def str_07_sliding(spark, d):
+    out = _closed(spark, d, windows.activity_windows(events(spark, d), ["event_type"], _measures(), "24 hours", "6 hours"), "sliding")
+    return out.select("event_type", _day("window_start"), _day("window_end"), "n", "highest", "n_over_50")
+
+
+@query("str_07_sessions", f"""
+    WITH g AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT *, sum(CASE WHEN since <= INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+           count(*)::BIGINT AS n, max(value) AS highest, count(*) FILTER (value > 50)::BIGINT AS n_over_50
+    FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {WATERMARK}""")
+def str_07_sessions(spark, d):
+    out = _closed(spark, d, windows.activity_sessions(events(spark, d), ["user_id"], _measures(), "6 hours"), "sessions")
+    return out.select("user_id", _day("window_start"), _day("window_end"), "n", "highest", "n_over_50")
+
+
+@query("str_07_distinct_events", "SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events")
+def str_07_distinct(spark, d):
+    """The log arrives twice; each event counts once."""
+    twice = events(spark, d).select(F.explode(F.array(F.lit(0), F.lit(1))), "*").drop("col")
+    out = _closed(spark, d, windows.distinct_events(twice, ["event_id"]), "distinct")
+    return out.select("event_id", "user_id", "event_type", _day("ts"))
