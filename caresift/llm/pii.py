@@ -124,14 +124,15 @@ def _stem(term: Column) -> Column:
     return F.concat(F.substring(term, 1, STEM), F.lit("*"))
 
 
-def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, min_documents: int = 2) -> DataFrame:
+def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, min_documents: int = 1) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, base, terms, sanitised``.
 
     ``base``: pattern spans (start, kind, end, value); ``terms``: start, end, term and whether its first letters may
     stay.  ``sanitised``: the text with every span replaced (null texts: empty).  Positions count code points.
 
-    Counts are over all rows, repeated ones included.  An entity or pair found in fewer than ``min_documents`` rows is
-    no evidence and reveals nothing.  Terms inside pattern spans are not terms of their document.
+    Counts are over all rows, repeated ones included, and entities found in one row only are protected like others.  An
+    entity or pair found in fewer than ``min_documents`` rows is taken as no evidence and reveals nothing; at 1, the
+    default, none is left out.  Terms inside pattern spans are not terms of their document.
     """
     base = base_spans(F.col("text"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -142,9 +143,17 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     # Copies of a text are worked on once, with their number as weight.
     texts = stored(holding.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("n")), "pii-texts")
 
-    entities = texts.select("digest", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))).alias("entity"))
-    known = entities.groupBy("entity").agg(F.sum("n").alias("n_entity")).where(F.col("n_entity") >= min_documents)
-    protected = entities.join(known, "entity").groupBy("digest").agg(F.collect_list("entity").alias("entities"))
+    entities = texts.select("digest", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))).alias("value"))
+    # Entities that stand in the same texts have the same counts with every term: they are counted once, as one class,
+    # known by the number of its texts and two sums over their hashes.  A row of many addresses is mostly one class.
+    in_text = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")).alias(f"texts{seed}") for seed in (1, 2)]
+    classes = (
+        entities.groupBy("value").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"), *in_text)
+        .where(F.col("n_entity") >= min_documents)
+        .select("value", "n_entity", F.struct("n_texts", "texts1", "texts2").alias("entity"))
+    )
+    known = classes.select("entity", "n_entity").distinct()
+    protected = entities.join(classes, "value").groupBy("digest").agg(F.collect_set("entity").alias("entities"))
     spread = (
         texts.join(protected, "digest")
         .select("digest", "n", "entities", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))

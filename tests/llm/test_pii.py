@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from caresift.llm import pii
@@ -49,5 +50,51 @@ def test_revealing_terms(spark):
     assert all(not rows[k].terms and rows[k].sanitised == (secret + others)[k] for k in range(3, n))
 
 
+def told_terms(texts, threshold=0.8):
+    """Brute force: the terms of every text that reveal one of its entities, and whether their first letters may stay."""
+    base = [[(m.start(), m.end(), k, m.group().lower()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(t) if ok(m.group())] for t in texts]
+    masked = ["".join(" " if any(a <= i < b for a, b, _, _ in spans) else c for i, c in enumerate(t)) for t, spans in zip(texts, base)]
+    terms = lambda t: {x for w in re.findall(r"[^\W\d_]{3,}", t.lower()) for x in (w, w[:3] + "*")}
+    held, clear, n = [terms(t) for t in texts], [terms(t) for t in masked], len(texts)
+    owners = {}
+    for i, spans in enumerate(base):
+        for _, _, k, v in spans:
+            owners.setdefault((k, v), set()).add(i)
+
+    def share(entity, term):
+        rows = owners[entity]
+        pair, total = sum(term in clear[i] for i in rows), sum(term in h for h in held)
+        return math.log2(pair * n / (len(rows) * total)) / math.log2(n / len(rows))
+
+    told = []
+    for i, text in enumerate(texts):
+        mine = {(k, v) for _, _, k, v in base[i] if len(owners[k, v]) < n}
+        out = []
+        for m in re.finditer(r"[^\W\d_]{3,}", masked[i]):
+            risky = [e for e in mine if share(e, m.group().lower()) >= threshold]
+            if risky:
+                out.append((m.start(), m.group(), all(share(e, m.group().lower()[:3] + "*") < threshold for e in risky)))
+        told.append(out)
+    return told
+
+
+def test_terms_equal_brute_force(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(3, 7))) for _ in range(500)]
+    names = [f"user{i}@mail.net" for i in range(12)] + [f"10.0.0.{i}" for i in range(6)]
+    texts = []
+    for i in range(160):
+        text = [r.choice(words[:20] if r.random() < 0.6 else words) for _ in range(r.randint(0, 25))]
+        for _ in range(r.choice([0, 0, 0, 1, 2, 5])):
+            text.insert(r.randint(0, len(text)), r.choice(names))
+        texts.append(" ".join(text))
+    texts += texts[:15]  # repeated rows
+    texts.append(" ".join(f"only{i}@here.org" for i in range(40)) + " uniqueword and mail")  # many entities of one row
+    want = told_terms(texts)
+    assert sum(map(len, want)) > 50 and want[-1]
+    got = {x.doc_id: [(t.start, t.value, t.stays) for t in x.terms] for x in pii.sanitised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_empty_table(spark):
     assert pii.sanitised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
