@@ -140,42 +140,62 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     found = stored(source.withColumn("base", base), "pii-spans")
     n_rows = found.count()
     holding = found.where(F.size("base") > 0)
-    # Copies of a text are worked on once, with their number as weight.
-    texts = stored(holding.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("n")), "pii-texts")
+    # Copies of a text are worked on once, with their number as weight; the id is written, so it stays the same.
+    texts = stored(
+        holding.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("n"))
+        .withColumn("text_id", F.monotonically_increasing_id()),
+        "pii-texts",
+    )
 
-    entities = texts.select("digest", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))).alias("value"))
+    entities = texts.select("text_id", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))).alias("value"))
     # Entities that stand in the same texts have the same counts with every term: they are counted once, as one class,
-    # known by the number of its texts and two sums over their hashes.  A row of many addresses is mostly one class.
-    in_text = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")).alias(f"texts{seed}") for seed in (1, 2)]
+    # known by two sums over the hashes of its texts.  A row of many addresses is mostly one class.
+    in_texts = F.struct(*[F.bit_xor(F.xxhash64(F.lit(seed), "text_id")).alias(f"sum{seed}") for seed in (1, 2)])
     classes = (
-        entities.groupBy("value").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"), *in_text)
-        .where(F.col("n_entity") >= min_documents)
-        .select("value", "n_entity", F.struct("n_texts", "texts1", "texts2").alias("entity"))
+        entities.groupBy("value").agg(F.sum("n").alias("n_entity"), in_texts.alias("class"), F.count(F.lit(1)).alias("n_texts"))
+        .where((F.col("n_entity") >= min_documents) & (F.col("n_entity") < n_rows))
+        .select("value", F.struct("class", "n_entity", (F.col("n_texts") == 1).alias("alone")).alias("entity"))
     )
-    known = classes.select("entity", "n_entity").distinct()
-    protected = entities.join(classes, "value").groupBy("digest").agg(F.collect_set("entity").alias("entities"))
-    spread = (
-        texts.join(protected, "digest")
-        .select("digest", "n", "entities", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
-        .select("digest", "n", "term", F.explode("entities").alias("entity"))
+    protected = (
+        entities.join(classes, "value").groupBy("text_id").agg(F.collect_set("entity").alias("entities"))
+        .withColumn("most", F.array_max(F.transform("entities", lambda e: e["n_entity"])))
     )
-    pairs = spread.groupBy("entity", "term").agg(F.sum("n").alias("n_pair")).where(F.col("n_pair") >= min_documents)
     document_counts = source.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    wanted = pairs.select("term").distinct()
-    share = (F.log2(F.col("n_pair") * n_rows / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n_rows)) / F.col("n_entity"))).alias("share")
-    shares = stored(
-        pairs.join(document_counts.join(wanted, "term", "left_semi"), "term").join(known, "entity").where(F.col("n_entity") < n_rows).select("entity", "term", share),
-        "pii-shares",
+
+    def share(pair: Column, entity: Column, term: Column) -> Column:
+        return F.log2(pair * n_rows / (entity * term)) / F.log2(F.lit(float(n_rows)) / entity)
+
+    def most_share(entity: Column) -> Column:
+        """No pair can have a greater share: it occurs at most as often as the rarer of the two."""
+        return share(F.least(entity, F.col("n_term")), entity, F.col("n_term"))
+
+    # A bound falls with the count of the term and rises with that of the entity, so that terms too common to reveal even
+    # the text's most frequent entity go before they meet its entities.
+    spread = (
+        texts.join(protected.select("text_id", "most"), "text_id")
+        .select("text_id", "n", "most", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
+        .join(document_counts, "term").where(most_share(F.col("most")) >= threshold - 1e-9).drop("most")
+        .join(protected.drop("most"), "text_id")
+        .select("text_id", "n", "term", "n_term", F.explode("entities").alias("e"))
+        .select("text_id", "n", "term", "n_term", F.col("e.class").alias("class"), "e.n_entity", "e.alone")
+        .where(most_share(F.col("n_entity")) >= threshold - 1e-9)
     )
-    stems = shares.where(F.col("term").endswith("*") & (F.col("share") < threshold)).select("entity", F.col("term").alias("stem"), F.lit(True).alias("stays"))
-    risky = (
-        shares.where(~F.col("term").endswith("*") & (F.col("share") >= threshold)).withColumn("stem", _stem(F.col("term")))
-        .join(stems, ["entity", "stem"], "left").select("entity", "term", F.coalesce("stays", F.lit(False)).alias("stays"))
+    spread = stored(spread, "pii-pairs")
+    # Entities of one text occur with its terms as often as the text does: nothing to count.
+    alone = spread.where(F.col("alone") & (F.col("n") >= min_documents) & (share(F.col("n"), F.col("n_entity"), F.col("n_term")) >= threshold))
+    pairs = spread.where(~F.col("alone")).groupBy("class", "term").agg(F.sum("n").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    telling = pairs.where((F.col("n_pair") >= min_documents) & (share(F.col("n_pair"), F.col("n_entity"), F.col("n_term")) >= threshold)).select("class", "term")
+    risky = alone.select("text_id", "class", "term").unionByName(
+        spread.where(~F.col("alone")).select("text_id", "class", "term").join(telling, ["class", "term"])
     )
+    # First letters that are risky themselves stand among the terms of the same text and entity.
+    is_stem = F.col("term").endswith("*")
     told = (
-        spread.select("digest", "entity", "term").join(risky, ["entity", "term"])
-        .groupBy("digest", "term").agg(F.min("stays").alias("stays"))
-        .groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "stays"))).alias("told"))
+        risky.groupBy("text_id", "class", F.when(is_stem, F.col("term")).otherwise(_stem(F.col("term"))).alias("stem"))
+        .agg(F.collect_list(F.when(~is_stem, F.col("term"))).alias("words"), (~F.bool_or(is_stem)).alias("stays"))
+        .select("text_id", F.explode("words").alias("term"), "stays")
+        .groupBy("text_id", "term").agg(F.bool_and("stays").alias("stays"))
+        .groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "stays"))).alias("told"))
     )
     spotted = F.filter(
         F.transform(
@@ -184,7 +204,7 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
         ),
         lambda s: s["stays"].isNotNull(),
     )
-    by_text = texts.join(told, "digest").select("digest", spotted.alias("terms"))
+    by_text = texts.join(told, "text_id").select("digest", spotted.alias("terms"))
     no_terms = F.array().cast(by_text.schema["terms"].dataType)
     # Rows without an entity find nothing: their key only spreads them.
     key = F.when(F.size("base") > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "text")))
