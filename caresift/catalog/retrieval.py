@@ -139,6 +139,29 @@ def jn_05(spark, d):
     return C.contained(questions(spark, d), X.normalized(F.col("text")), C.phrase_index(terms(spark, d)), "phrase").select("query_id", "phrase", "category")
 
 
+@query("jn_05_many_phrases", f"""
+    WITH ph AS (SELECT DISTINCT word AS phrase FROM (SELECT unnest({WORDS_SQL('text')}) AS word FROM documents) WHERE length(word) >= 5),
+    q AS (SELECT item_id, regexp_replace(lower(text), {PUNCT}, ' ', 'g') AS t FROM benchmark)
+    SELECT item_id, count(*)::BIGINT AS n, min(phrase) AS least, max(phrase) AS largest FROM q JOIN ph ON contains(t, phrase) GROUP BY 1""")
+def jn_05_many(spark, d):
+    words = table(spark, d, "documents").select(F.explode_outer(X.words(F.col("text"))).alias("phrase"))
+    phrases = words.where(F.length("phrase") >= 5).distinct()
+    found = C.contained(table(spark, d, "benchmark").select("item_id", "text"), X.normalized(F.col("text")), phrases, "phrase")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("largest"))
+
+
+@query("cls_02_rules_of_any_number", f"""
+    WITH r AS (SELECT item_id AS rule_idx, 'c' || (item_id % 7) AS category, unnest({WORDS_SQL('text')}) AS keyword FROM benchmark),
+    k AS (SELECT keyword, min(rule_idx) AS rule_idx FROM r WHERE length(keyword) >= 6 GROUP BY 1),
+    hit AS (SELECT doc_id, min(rule_idx) AS rule_idx FROM documents JOIN k ON contains(lower(text), keyword) GROUP BY 1)
+    SELECT doc_id, 'c' || (rule_idx % 7) AS category FROM documents LEFT JOIN hit USING (doc_id)""")
+def cls_02_many(spark, d):
+    item = F.col("item_id")
+    rules = table(spark, d, "benchmark").select(F.lit("words").alias("rule_set"), item.alias("rule_idx"), F.concat(F.lit("c"), item % 7).alias("category"), F.explode_outer(X.words(F.col("text"))).alias("keyword"))
+    docs = texts(spark, d, "documents", "doc_id", "text")
+    return C.first_rules(docs, F.lower("text"), rules.where(F.length("keyword") >= 6), "words").select("doc_id", "category")
+
+
 KEYWORD_SQL = f"""{TERMS_SQL},
   p1 AS (SELECT query_id, category, count(*) AS s FROM q JOIN ph ON contains(t, phrase) GROUP BY 1, 2),
   p2 AS (SELECT query_id, category, s, rank() OVER (PARTITION BY query_id ORDER BY s DESC) AS r FROM p1),

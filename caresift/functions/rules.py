@@ -36,6 +36,7 @@ def read_rules(table: DataFrame, name: str) -> list[Rule]:
     """Rules of one name from a table ``(rule_set, rule_idx, category, keyword)``.
 
     Rules become part of the query text, so the table must be small; more than ``MAX_RULE_ROWS`` rows is an error.
+    ``operators.classify.first_rules`` takes tables of any size.
     """
     rows = table.where(F.col("rule_set") == name).orderBy("rule_idx", "keyword").limit(MAX_RULE_ROWS + 1).collect()
     if len(rows) > MAX_RULE_ROWS:

@@ -8,20 +8,26 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructType
 
 from caresift import constants as K
 from caresift.functions import text as X
 from caresift.functions.rules import any_keyword, bound
-from caresift.operators.sizes import checked_broadcast
-from caresift.session import cut_lineage
 
 MAX_INLINE = 2_000
+#: Bounds of one automaton (its nodes are at most its characters) and of the rows written at once.
+PART_PHRASES = 200_000
+PART_CHARS = 4_000_000
+OUT_ROWS = 4_096
 MAX_CENTROIDS = 4_096
 
 
@@ -33,13 +39,14 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram: int = 4, inline: int = MAX_INLINE) -> DataFrame:
+def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, inline: int = MAX_INLINE,
+              part_phrases: int = PART_PHRASES, part_chars: int = PART_CHARS) -> DataFrame:
     """JN-05: rows of ``df`` with every phrase that is a substring of ``text``, as ``(df columns, phrase columns)``.
 
     Null and empty phrases are contained in nothing.  Up to ``inline`` phrases become one literal array that is searched
-    inside the row.  More than that are joined on character grams: a phrase can only be contained where its first gram
-    is, so the grams of the text give equality keys and the phrase is checked afterwards.  Rows get a number of their
-    own for that, written with them, so repeated rows stay apart and a lost executor changes none.
+    inside the row.  More than that go into an Aho-Corasick automaton, which finds all of them in one pass over a text:
+    short or common phrases are no hot keys, and texts are not shuffled.  A phrase table beyond ``part_phrases`` rows or
+    ``part_chars`` characters is split by the hash of the phrase, one automaton and one pass over ``df`` each.
     """
     phrases = phrases.where(F.length(phrase) > 0)
     sample = phrases.limit(inline + 1).collect()
@@ -53,27 +60,109 @@ def contained(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, gram
             .where(F.col("_hit").isNotNull())
             .select(*df.columns, *[F.col(f"_hit.{n}").alias(n) for n in names])
         )
-    keyed = phrases.withColumn("_len", F.least(F.length(phrase), F.lit(gram))).withColumn("_gram", F.substring(phrase, 1, gram))
-    numbered = cut_lineage(df.withColumns({"_t": text, "_row": F.monotonically_increasing_id()}))
-    texts = numbered.select("_row", "_t", F.length("_t").alias("_n"))
-
-    def grams(length: int) -> Column:
-        last = F.col("_n") - length + 1
-        places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        cut = F.array_distinct(F.transform(places, lambda at: F.substring("_t", at, F.lit(length))))
-        return F.transform(cut, lambda g: F.struct(F.lit(length).alias("_len"), g.alias("_gram")))
-
-    # phrases shorter than a gram need grams of their own length
-    every = F.concat(*[grams(n) for n in range(1, gram + 1)])
-    candidates = (
-        texts.select("_row", F.explode_outer(every).alias("g")).where(F.col("g").isNotNull()).select("_row", "g._len", "g._gram")
-        .join(checked_broadcast(keyed), ["_len", "_gram"])
-    )
-    return (
-        candidates.drop("_len", "_gram").join(numbered, "_row")
-        .where(F.contains(F.col("_t"), F.col(phrase)))
-        .select(*df.columns, *phrases.columns)
+    source = df.select(*df.columns, text.alias("_searched"))
+    schema = StructType([*df.schema.fields, *phrases.schema.fields])
+    found = [source.mapInArrow(_finder(part, phrase), schema) for part in phrase_parts(phrases, phrase, part_phrases, part_chars)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def phrase_parts(phrases: DataFrame, phrase: str, part_phrases: int = PART_PHRASES, part_chars: int = PART_CHARS) -> Iterator[Broadcast]:
+    """The phrase table in bounded parts, each sent to the tasks as Arrow data; the driver holds one part at a time."""
+    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(phrase)).alias("chars")).first()
+    parts = max(-(-size.n // part_phrases), -(-(size.chars or 0) // part_chars), 1)
+    for number in range(parts):
+        mine = phrases if parts == 1 else phrases.where(F.pmod(F.xxhash64(phrase), F.lit(parts)) == number)
+        sink = pa.BufferOutputStream()
+        rows = mine.toArrow()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        yield phrases.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    """Automaton whose values are the positions of a phrase in ``words``."""
+    places: dict[str, list[int]] = {}
+    for at, word in enumerate(words):
+        places.setdefault(word, []).append(at)
+    automaton = ahocorasick.Automaton()
+    for word, found in places.items():
+        automaton.add_word(word, found)
+    if places:
+        automaton.make_automaton()
+    return automaton
+
+
+def _finder(part: Broadcast, phrase: str):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(part.value).read_all().combine_chunks()
+        automaton = _automaton(table.column(phrase).to_pylist())
+        for batch in batches:
+            if not len(automaton):
+                continue
+            at: list[int] = []
+            hits: list[int] = []
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                value = text.as_py()
+                if value:
+                    for places in {places[0]: places for _, places in automaton.iter(value)}.values():
+                        at.extend([row] * len(places))
+                        hits.extend(places)
+                if len(at) >= OUT_ROWS:
+                    yield from _joined(batch, table, at, hits)
+                    at, hits = [], []
+            yield from _joined(batch, table, at, hits)
+
+    return find
+
+
+def _joined(batch: pa.RecordBatch, table: pa.Table, at: list[int], hits: list[int]) -> Iterator[pa.RecordBatch]:
+    """Found rows with their phrases, at most ``OUT_ROWS`` at once: a text is repeated for each of its phrases."""
+    for low in range(0, len(at), OUT_ROWS):
+        left = batch.take(pa.array(at[low:low + OUT_ROWS], pa.int64())).columns[:-1]
+        right = table.take(pa.array(hits[low:low + OUT_ROWS], pa.int64()))
+        names = [*batch.schema.names[:-1], *right.schema.names]
+        yield pa.RecordBatch.from_arrays([*left, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in right.columns]], names=names)
+
+
+def first_rules(df: DataFrame, lowered: Column, table: DataFrame, name: str, to: str = "category",
+                part_phrases: int = PART_PHRASES, part_chars: int = PART_CHARS) -> DataFrame:
+    """CLS-02 for rule sets of any size: ``df`` with the category of the first rule that hits its text, else null.
+
+    ``table`` is ``(rule_set, rule_idx, category, keyword)``, as ``read_rules`` takes it.  Keywords are looked up with
+    automata over bounded parts of the table; each part takes the best rule of the parts before it and passes the better
+    one on, so that rows are neither shuffled nor repeated.  Null and empty keywords hit nothing; of two categories with
+    one ``rule_idx`` the smaller name wins; rules without an index or a category are left out.
+    """
+    whole = (F.length("keyword") > 0) & F.col("rule_idx").isNotNull() & F.col("category").isNotNull()
+    rules = table.where((F.col("rule_set") == name) & whole).select(
+        F.lower("keyword").alias("keyword"), F.col("rule_idx").cast("bigint").alias("rule_idx"), "category"
     )
+    least = rules.groupBy("keyword").agg(F.min(F.struct("rule_idx", "category")).alias("r")).select("keyword", "r.*")
+    kept = [c for c in df.columns if c != to]
+    out = df.select(*kept, lowered.alias("_searched"), F.lit(None).cast("bigint").alias("_rule"), F.lit(None).cast("string").alias("_category"))
+    for part in phrase_parts(least, "keyword", part_phrases, part_chars):
+        out = out.mapInArrow(_first_of(part), out.schema)
+    return out.select(*kept, F.col("_category").alias(to))
+
+
+def _first_of(part: Broadcast):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = pa.ipc.open_stream(part.value).read_all()
+        automaton = _automaton(rules.column("keyword").to_pylist())
+        order = list(zip(rules.column("rule_idx").to_pylist(), rules.column("category").to_pylist()))
+        for batch in batches:
+            texts, indexes, names = (c.to_pylist() for c in batch.columns[-3:])
+            if len(automaton):
+                for row, text in enumerate(texts):
+                    hits = [order[places[0]] for _, places in automaton.iter(text)] if text else []
+                    if indexes[row] is not None:
+                        hits.append((indexes[row], names[row]))
+                    if hits:
+                        indexes[row], names[row] = min(hits)
+            columns = [*batch.columns[:-2], pa.array(indexes, pa.int64()), pa.array(names, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return find
 
 
 def phrase_index(terms: DataFrame) -> DataFrame:

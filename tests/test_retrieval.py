@@ -168,6 +168,37 @@ def test_contained_phrases_both_ways(spark, inline):
     assert values(got, "id", "phrase") == sorted((i, p) for i, t in texts + texts[:3] for p in phrases if p and p in t)
 
 
+@pytest.mark.parametrize("part", [200_000, 50])
+def test_many_phrases_in_parts(spark, part):
+    r = random.Random(8)
+    phrases = ["".join(r.choice("abcdé") for _ in range(r.choice([1, 2, 3, 4, 12]))) for _ in range(400)]
+    texts = [(i, "".join(r.choice("abcdé") for _ in range(r.choice([0, 30, 3000])))) for i in range(25)] + [(None, "abc"), (99, None)]
+    table = spark.createDataFrame([(p, k) for k, p in enumerate(phrases + ["", None])], "phrase string, number int")
+    got = C.contained(spark.createDataFrame(texts, "id int, text string"), F.col("text"), table, "phrase", inline=0, part_phrases=part)
+    want = sorted((str(i), k) for i, t in texts for k, p in enumerate(phrases) if t and p in t)
+    assert sorted((str(x.id), x.number) for x in got.collect()) == want and len(want) > 3 * C.OUT_ROWS // 4
+
+
+def test_200_000_phrases_with_common_prefixes(spark):
+    phrases = spark.range(200_000).select(F.concat(F.lit("the "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("phrase"), F.col("id").alias("number"))
+    texts = spark.createDataFrame([(i, " ".join(f"the {(i * 7919 + k * 131) % 250_000:06d}" for k in range(40))) for i in range(50)], "id int, text string")
+    got = C.contained(texts, F.col("text"), phrases, "phrase", part_phrases=60_000)
+    assert values(got, "id", "number") == sorted((i, n) for i in range(50) for n in {(i * 7919 + k * 131) % 250_000 for k in range(40)} if n < 200_000)
+
+
+@pytest.mark.parametrize("part", [200_000, 40])
+def test_first_rules_of_any_number(spark, part):
+    r = random.Random(4)
+    rules = [("t", k % 30, f"c{k % 7}", "".join(r.choice("abcD") for _ in range(r.randint(2, 6)))) for k in range(300)]
+    noise = [("other", 0, "x", "a"), ("t", None, "x", "a"), ("t", 0, None, "a"), ("t", 0, "x", None), ("t", 0, "x", "")]
+    texts = [(i, "".join(r.choice("abcd") for _ in range(r.choice([0, 2, 4, 9, 40])))) for i in range(60)] + [(70, None)]
+    got = C.first_rules(spark.createDataFrame(texts, "id int, text string"), F.lower("text"), spark.createDataFrame(rules + noise, "rule_set string, rule_idx int, category string, keyword string"), "t", part_phrases=part)
+    best = lambda t: min(((i, c) for _, i, c, k in rules if t and k.lower() in t), default=(0, None))[1]
+    assert {x.id: x.category for x in got.collect()} == {i: best(t) for i, t in texts}
+    empty = C.first_rules(spark.createDataFrame(texts, "id int, text string"), F.lower("text"), spark.createDataFrame(rules, "rule_set string, rule_idx int, category string, keyword string"), "none")
+    assert empty.where("category is not null").count() == 0 and empty.count() == len(texts)
+
+
 def test_keyword_classifier(spark):
     terms = spark.createDataFrame(
         [("heart", "heart attack", "MI"), ("heart", "heart flutter", "AF"), ("lung", "short breath", "dyspnea"), ("lung", "chest cold", "x"), ("heart", "chest pain", "angina")],
