@@ -64,6 +64,24 @@ def ag_28(spark, d):
     return A.size_quantiles(sizes, ["role"], "n").withColumn("value", r6(F.col("value")))
 
 
+@query("ag_28_merged_sketches", """
+    SELECT l_returnflag, count(l_extendedprice)::BIGINT AS n, q, TRUE AS within FROM lineitem, unnest([0, 0.05, 0.25, 0.5, 0.75, 0.95, 1]::DOUBLE[]) AS t(q) GROUP BY 1, 3""")
+def ag_28b(spark, d):
+    """Sketches per ship year, merged; ranks of their quantiles among all rows are within the stated error."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("year"), "l_extendedprice")
+    found = A.sketched_quantiles(A.quantile_sketches(rows, ["l_returnflag", "year"], "l_extendedprice"), ["l_returnflag"])
+    wide = found.groupBy("l_returnflag").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("at"))
+    value = F.col("l_extendedprice").cast("double")
+    counts = [(F.count_if(value < F.col("at")[F.lit(q)]), F.count_if(value <= F.col("at")[F.lit(q)])) for q in A.QUANTILES]
+    ranks = F.array(*[F.struct(F.lit(q).alias("q"), low.alias("low"), high.alias("high")) for q, (low, high) in zip(A.QUANTILES, counts)])
+    error = 0.0035 * F.col("n") + 1
+    return (
+        rows.join(F.broadcast(wide), "l_returnflag").groupBy("l_returnflag", "n").agg(ranks.alias("ranks"))
+        .select("l_returnflag", "n", F.explode("ranks").alias("r"))
+        .select("l_returnflag", "n", "r.q", ((F.col("r.low") <= F.col("r.q") * F.col("n") + error) & (F.col("r.high") >= F.col("r.q") * F.col("n") - error)).alias("within"))
+    )
+
+
 @query("ag_29_repeated_criteria", """
     WITH c AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT line, count(*) AS n FROM c GROUP BY 1) SELECT count(*)::BIGINT AS distinct_criteria, count_if(n > 1)::BIGINT AS repeated_criteria FROM n""")
 def ag_29(spark, d):

@@ -59,6 +59,25 @@ def size_quantiles(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int
     return quantiles.unionByName(means)
 
 
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = 800) -> DataFrame:
+    """AG-28 for sizes that keep arriving: one KLL sketch per group, ``(keys, n, sketch)``, to be written per day or load.
+
+    Tasks build their own sketches before the shuffle, so a hot group moves a few kilobytes a task.  The rank error of a
+    quantile is about 2.3 / ``k`` ** 0.97 of the rows of its group with 99 % confidence, 0.35 % as set.  Null values count nowhere;
+    a group of nulls alone has n = 0.
+    """
+    number = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.count(number).alias("n"), F.kll_sketch_agg_double(number, k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES, k: int = 800) -> DataFrame:
+    """Quantiles of any number of written sketches, merged by ``keys``: ``(keys, n, q, value)``; rows are not read again."""
+    merged = sketches.where(F.col("n") > 0).groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    ranks = F.array(*[F.lit(float(q)) for q in quantiles])
+    pairs = F.arrays_zip(ranks.alias("q"), F.kll_sketch_get_quantile_double("sketch", ranks).alias("value"))
+    return merged.select(*keys, "n", F.explode(pairs).alias("p")).select(*keys, "n", "p.q", "p.value")
+
+
 def repeated_criteria(rubrics: DataFrame, criterion: str = "criterion") -> DataFrame:
     """AG-29: number of distinct criteria and of criteria seen more than once."""
     counts = rubrics.groupBy(criterion).agg(F.count(F.lit(1)).alias("n"))

@@ -1,3 +1,4 @@
+import bisect
 import random
 import statistics
 
@@ -97,3 +98,19 @@ def test_failures_and_patterns(spark):
     known = spark.createDataFrame([("g", 4, False)], "tag string, cnt int, graduated boolean")
     s = failures.run_summary(merged, known).first()
     assert (s.failures_analyzed, s.new_tags, s.merged_tags, s.graduated) == (7, 1, 1, 2)
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    from caresift.operators import analysis
+
+    n = 60_000
+    rows = spark.range(n).select((F.col("id") % 5).alias("day"), F.lit("g").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(0, "none", None), (1, "one", 7)], "day long, g string, v long"))
+    days = analysis.quantile_sketches(rows, ["g", "day"], "v")
+    got = {(r.g, r.q): (r.n, r.value) for r in analysis.sketched_quantiles(days, ["g"]).collect()}
+    every = sorted(r.v for r in rows.where("g = 'g'").collect())
+    assert {g for g, _ in got} == {"g", "one"} and got["one", 0.5] == (1, 7.0)
+    for q in analysis.QUANTILES:
+        count, value = got["g", q]
+        assert count == n and abs(bisect.bisect_left(every, value) - q * n) <= 0.0035 * n + 1
+    assert got["g", 0.0][1] == every[0] and got["g", 1.0][1] == every[-1]
