@@ -238,6 +238,14 @@ def cls_13(spark, d):
     return C.resolve_checklist(picks, checklist).select("p_partkey", C.medication_category(F.col("p_name"), DRUGS).alias("drug_category"), "checklist")
 
 
+@query("cls_13_medications", """
+    SELECT p_partkey, p_name AS name, CASE WHEN contains(p_name, 'small') THEN 'heart_blood_vessels' WHEN contains(p_name, 'blue') THEN 'infections' WHEN contains(p_name, 'ring') THEN 'eye_health' ELSE 'medications_drug_safety' END AS category
+      FROM part WHERE p_size % 5 <> 0""")
+def cls_13_medications(spark, d):
+    name = F.when(F.col("p_size") % 10 == 0, None).when(F.col("p_size") % 5 == 0, " \t ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("\n")))
+    return C.resolve_medications(table(spark, d, "part").select("p_partkey", name.alias("name")), "name", DRUGS)
+
+
 @query("cls_13_freetext", """
     SELECT p_partkey, 'eye_health' AS category, 'colour' AS subcategory, CASE WHEN contains(p_name, 'red') THEN 'Red' WHEN contains(p_name, 'blue') THEN 'Blue' WHEN contains(p_name, 'green') THEN 'Green' ELSE 'Ring' END AS name
       FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'blue') OR contains(p_name, 'green') OR contains(p_name, 'ring')

@@ -301,6 +301,12 @@ def medication_category(name: Column, keywords: list[tuple[str, str]]) -> Column
     return F.coalesce(first, F.lit(K.MEDICATIONS))
 
 
+def resolve_medications(df: DataFrame, name: str, keywords: list[tuple[str, str]]) -> DataFrame:
+    """CLS-13: ``df`` with trimmed medication names and their category; rows without a name, null or blank, are dropped."""
+    trimmed = X.strip(F.col(name))
+    return df.where(F.length(trimmed) > 0).withColumns({name: trimmed, "category": medication_category(F.col(name), keywords)})
+
+
 def freetext_conditions(df: DataFrame, text: Column, rules: list[tuple[list[str], str, str]]) -> DataFrame:
     """CLS-13: one row per distinct (category, subcategory) named in free text, named after the first keyword."""
     table = F.array(*[

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from caresift.operators import classify as C
 from caresift.operators import graph as G
 from caresift.operators import retrieval as R
+from caresift.operators.sizes import checked_broadcast
+from caresift.session import cut_lineage
 
 
 def search(corpus: DataFrame, records: DataFrame, queries: DataFrame, k: int = 8, plan: DataFrame | None = None) -> DataFrame:
     """Hybrid search.  ``corpus``: source_table, record_id, text, embedding; ``records``: source_table, record_id,
     primary_category, quality_tier, chunk_text; ``queries``: query_id, text, embedding; ``plan`` as ``retrieval_plan``.
 
-    Both lists carry keys and scores only; record columns are joined to the few fused hits at the end.
+    Both lists carry keys and scores only; record columns are joined to the few fused hits at the end.  What has no record
+    takes no place in a list: such keys, normally few, are found by keys alone, so that no vector or text is shuffled.
     """
+    keys = ["source_table", "record_id"]
+    without_record = cut_lineage(corpus.select(*keys).distinct().join(records.select(*keys), keys, "left_anti"))
+    corpus = corpus.join(checked_broadcast(without_record), keys, "left_anti")
     semantic = R.list_top(R.semantic_hits(corpus, queries))
     lexical = R.list_top(R.lexical_hits(corpus, queries))
     hits = R.fused(semantic, lexical, R.prefetch(k) if plan is not None else k)
-    described = hits.join(records, ["source_table", "record_id"], "left").withColumns({
+    described = hits.join(records, keys, "left").withColumns({
         "primary_category": F.coalesce("primary_category", F.lit("public_health_prevention")),
         "quality_tier": F.coalesce("quality_tier", F.lit("TIER_D")), "chunk_text": F.coalesce("chunk_text", F.lit("")),
     })

@@ -277,6 +277,19 @@ def test_context_sections(spark):
     assert found == {"a": (True, None), "q": (False, "a, b, c, d")}
 
 
+def test_medications_without_a_name(spark):
+    rows = spark.createDataFrame([(1, " Aspirin 100 "), (2, "  "), (3, None), (4, "other")], "id int, name string")
+    got = C.resolve_medications(rows, "name", [("aspirin", "heart"), ("other", "x")])
+    assert values(got, "id", "name", "category") == [(1, "Aspirin 100", "heart"), (4, "other", "x")]
+
+
+def test_what_has_no_record_takes_no_place(spark):
+    corpus = spark.createDataFrame([("t", f"{i:03d}", "heart pain", [1.0, 0.0]) for i in range(60)], "source_table string, record_id string, text string, embedding array<float>")
+    records = corpus.where("record_id >= '055'").select("source_table", "record_id", F.lit("cancer").alias("primary_category"), F.lit("TIER_A").alias("quality_tier"), F.col("text").alias("chunk_text"))
+    queries = spark.createDataFrame([(1, "heart", [1.0, 0.0])], "query_id int, text string, embedding array<float>")
+    assert values(answering.search(corpus, records, queries), "record_id", "rank") == [(f"{i:03d}", i - 54) for i in range(55, 60)]
+
+
 def test_answering_end_to_end(spark):
     r = np.random.default_rng(1)
     vec = lambda i: [float(x) for x in r.normal(size=4) * 0.01 + np.eye(4)[i % 4]]
