@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from caresift import constants as K
 from caresift.functions import text as X
 from caresift.operators import ordered
 from caresift.operators.ordered import HOT_ROWS
+from caresift.operators.sizes import checked_broadcast
+from caresift.session import cut_lineage
+
+#: Prompts of up to so many samples are paired inside their group: at most so many pairs a sample.
+PAIR_ROWS = 64
 
 
 def result_matrix(metrics: DataFrame, rows: Sequence[str], columns: str, values: Sequence, value: str = "value", agg=F.avg) -> DataFrame:
@@ -135,14 +140,39 @@ def run_variability(scores: DataFrame, model: str = "model", run: str = "run_id"
     )
 
 
-def wins(scores: DataFrame, model: str = "model", prompt: str = "prompt_id", score: str = "score", hot_rows: int = HOT_ROWS) -> DataFrame:
+def _by_size(scores: DataFrame, prompt: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Samples of prompts with at most ``most`` of them, and those of larger prompts (None if a counting job finds none)."""
+    sizes = scores.groupBy(prompt).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > most).select(prompt)
+    if large.isEmpty():
+        return scores, None
+    large = checked_broadcast(cut_lineage(large))
+    return ordered.join_groups(scores, large, [prompt], "left_anti"), ordered.join_groups(scores, large, [prompt], "left_semi")
+
+
+def _paired_wins(scores: DataFrame, prompt: str, model: str, values: Sequence[str], decides: Callable[[Column, Column], Column]) -> DataFrame:
+    """Wins of small prompts: a prompt's samples meet in one shuffle and are paired there; no pair is shuffled or written."""
+    held = scores.groupBy(prompt).agg(F.collect_list(F.struct(F.col(model).alias("model"), *values)).alias("_s"))
+    pairs = held.select(prompt, "_s", F.explode("_s").alias("_a")).select(prompt, "_a", F.explode("_s").alias("_b")).where(decides(F.col("_a"), F.col("_b")))
+    return pairs.groupBy(prompt, F.col("_a.model").alias("model_a"), F.col("_b.model").alias("model_b")).agg(F.count(F.lit(1)).alias("wins"))
+
+
+def wins(scores: DataFrame, model: str = "model", prompt: str = "prompt_id", score: str = "score", hot_rows: int = HOT_ROWS, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """JN-15: ``(prompt, model_a, model_b, wins)``: sample pairs in which a scored above b, without writing pairs.
 
-    For every distinct score of a prompt and every model of the prompt, the number of that model's samples below it
+    Prompts of up to ``pair_rows`` samples are paired inside their group, so only samples are shuffled.  In larger ones, for
+    every distinct score of a prompt and every model of the prompt, the number of that model's samples below it
     comes from one running sum, so work grows with samples times models.  A null prompt or model is one like any other;
     samples without a score are in no pair.
     """
-    held = scores.where(F.col(score).isNotNull()).groupBy(prompt, model, score).agg(F.count(F.lit(1)).alias("c"))
+    scores = scores.where(F.col(score).isNotNull())
+    small, large = _by_size(scores, prompt, min(pair_rows, hot_rows))
+    found = _paired_wins(small, prompt, model, [F.col(score).alias("score")], lambda a, b: a["score"] > b["score"])
+    return found if large is None else found.unionByName(_counted_wins(large, model, prompt, score, hot_rows))
+
+
+def _counted_wins(scores: DataFrame, model: str, prompt: str, score: str, hot_rows: int) -> DataFrame:
+    held = scores.groupBy(prompt, model, score).agg(F.count(F.lit(1)).alias("c"))
     models = held.select(prompt, model).distinct()
     levels = held.select(prompt, score).distinct()
     every = ordered.join_groups(levels, models, [prompt]).select(prompt, model, score, F.lit(0).cast("long").alias("c"))
@@ -157,9 +187,13 @@ def wins(scores: DataFrame, model: str = "model", prompt: str = "prompt_id", sco
     )
 
 
+def _close(a: Column, b: Column, limit: float) -> Column:
+    return F.abs(a - b) / ((a + b) / 2) <= limit
+
+
 def _length_bounds(length: Column, limit: float) -> tuple[Column, Column]:
     """Shortest and longest whole length within the symmetric relative difference, by the exact float test."""
-    close = lambda b: F.abs(length - b) / ((length + b) / 2) <= limit
+    close = lambda b: _close(length, b, limit)
     lo0 = F.ceil(length * ((2 - limit) / (2 + limit)))
     hi0 = F.floor(length * ((2 + limit) / (2 - limit)))
     lo = F.when(close(lo0 - 1) & (lo0 > 1), lo0 - 1).when(close(lo0), lo0).otherwise(lo0 + 1)
@@ -168,20 +202,26 @@ def _length_bounds(length: Column, limit: float) -> tuple[Column, Column]:
 
 
 def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "model", prompt: str = "prompt_id",
-                           score: str = "score", length: str = "length", hot_rows: int = HOT_ROWS) -> DataFrame:
+                           score: str = "score", length: str = "length", hot_rows: int = HOT_ROWS, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """JN-15 with length control: pairs whose whole-number lengths differ by at most ``limit`` relative to their mean.
 
-    Counting, not pairing: a sample counts the samples of each model with a smaller score and a length in its window.
+    Prompts of up to ``pair_rows`` samples are paired inside their group.  In larger ones a sample counts the samples of each model with a smaller score and a length in its window.
     Scores become ranks within the prompt; ``ranks below r`` is split into dyadic blocks (one per set bit of r), every
     sample is entered in the block of each level it belongs to, and within a block the lengths in a window are a
     difference of two running sums.  Work grows with samples times models times log(samples).  A null prompt or model is
     one like any other; samples without a score or a positive length are in no pair.
     """
+    scores = scores.where((F.col(length) > 0) & F.col(score).isNotNull())
+    small, large = _by_size(scores, prompt, min(pair_rows, hot_rows))
+    values = [F.col(score).alias("score"), F.col(length).alias("length")]
+    found = _paired_wins(small, prompt, model, values, lambda a, b: (a["score"] > b["score"]) & _close(a["length"], b["length"].cast("long"), limit))
+    return found if large is None else found.unionByName(_counted_length_wins(large, limit, model, prompt, score, length, hot_rows))
+
+
+def _counted_length_wins(scores: DataFrame, limit: float, model: str, prompt: str, score: str, length: str, hot_rows: int) -> DataFrame:
     # a block holds at most each sample of its prompt once and is asked about two ends of each
     hot = ordered.has_hot_group(scores, [prompt], hot_rows // 3)
-    held = (
-        scores.where((F.col(length) > 0) & F.col(score).isNotNull()).groupBy(prompt, model, score, length).agg(F.count(F.lit(1)).alias("c"))
-    )
+    held = scores.groupBy(prompt, model, score, length).agg(F.count(F.lit(1)).alias("c"))
     distinct = held.select(prompt, score).distinct().withColumn("_one", F.lit(1).cast("bigint"))
     ranks = ordered.running_before(distinct, [prompt], [score], {"rank": "_one"}, hot=hot).drop("_one")
     top = F.expr("greatest(1, cast(ceil(log2(_m + 1)) as int))")
@@ -218,8 +258,12 @@ def length_controlled_wins(scores: DataFrame, limit: float = 0.1, model: str = "
 
 def win_rates(win_counts: DataFrame, prompt: str = "prompt_id") -> DataFrame:
     """AG-33: mean over prompts of the share of decided pairs that a won; prompts with ties only are left out."""
-    reverse = win_counts.select(prompt, F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), F.lit(0).cast("long").alias("won"), F.col("wins").alias("lost"))
-    both = win_counts.select(prompt, "model_a", "model_b", F.col("wins").alias("won"), F.lit(0).cast("long").alias("lost")).unionByName(reverse)
+    # both directions from one row: counts dealt by prompt stay where they are
+    none = F.lit(0).cast("long")
+    ways = F.array(
+        F.struct(F.col("model_a"), F.col("model_b"), F.col("wins").alias("won"), none.alias("lost")),
+        F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), none.alias("won"), F.col("wins").alias("lost")))
+    both = win_counts.select(prompt, F.explode(ways).alias("_w")).select(prompt, "_w.*")
     per_prompt = both.groupBy(prompt, "model_a", "model_b").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"))
     rate = F.col("won") / (F.col("won") + F.col("lost"))
     return per_prompt.groupBy("model_a", "model_b").agg(F.avg(rate).alias("win_rate"), F.count(F.lit(1)).alias("prompts"))

@@ -163,3 +163,19 @@ def test_null_groups_keep_their_values(spark, hot_rows):
     got = {(r.g, r.q): r.value for r in O.exact_quantiles(df, ["g"], "v", [0.5], hot_rows).collect()}
     assert got == {(None, 0.5): 4.0, ("a", 0.5): 2.0}
     assert O.mid_ranks(df, ["g"], "v", "r", hot_rows).where("g IS NULL").count() == 9
+
+
+@pytest.mark.parametrize("limit", [None, 0.4])
+def test_small_prompts_are_shuffled_once_and_large_ones_are_counted(spark, limit):
+    r = random.Random(4)
+    rows = [(r.choice("abc"), p, r.randint(0, 6) / 7, r.choice([8, 10, 11, 30])) for p in (1, 1, 2, 3, 3, 3, 3, 4) for _ in range(5)]
+    df = spark.createDataFrame(rows, "model string, prompt_id int, score double, length long")
+    won = (lambda **k: A.wins(df, **k)) if limit is None else (lambda **k: A.length_controlled_wins(df, limit, **k))
+    expected = {}
+    for (ma, pa, sa, la), (mb, pb, sb, lb) in itertools.product(rows, rows):
+        if pa == pb and sa > sb and (limit is None or abs(la - lb) / ((la + lb) / 2) <= limit):
+            expected[pa, ma, mb] = expected.get((pa, ma, mb), 0) + 1
+    for pair_rows in (0, 7, 10, 64):
+        assert {(x.prompt_id, x.model_a, x.model_b): x.wins for x in won(pair_rows=pair_rows).collect()} == expected
+    plan = A.win_rates(won())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(prompt_id") == 1  # samples, once; levels, blocks and opponents are not written
