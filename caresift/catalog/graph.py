@@ -16,6 +16,7 @@ from caresift.functions import weights as W
 from caresift.operators import classify as C
 from caresift.operators import graph as G
 from caresift.operators import kb
+from caresift.operators.sizes import dealt
 from caresift.session import cut_lineage
 from caresift.streaming import state
 
@@ -212,6 +213,7 @@ def history(spark, d):
     k = F.from_json("props", "k int")["k"]
     touches = table(spark, d, "events").select(
         "user_id", F.array(F.concat(F.lit("cat:"), _cat(k)), F.concat(F.lit("cat:"), _cat(k + F.length("event_type")))).alias("nodes"), F.col("ts").cast("timestamp").alias("ts"))
+    touches = dealt(touches, 200_000)  # counted per edge and task
     return state.query_history(state.history_increments(touches))
 
 

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from caresift import constants as K
 from caresift.functions import weights as W
 from caresift.operators import kb
-from caresift.operators.sizes import checked_broadcast
+from caresift.operators.sizes import checked_broadcast, dealt, parts_of
 
+#: So many users are read by one task, each of whom becomes up to some hundred boosts.
+USER_ROWS = 20_000
+#: The boosts, edges and history of so many queries or anchors meet in one task.
+PLAN_ROWS = 5_000
+EDGE = ["user_id", "src", "dst"]
 BOOST_COLUMNS = ["user_id", "src", "dst", "boost", "source_type", "reason"]
 
 
@@ -56,6 +61,10 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 def anchored(profiles: DataFrame, graph: DataFrame) -> DataFrame:
     """Active conditions whose subcategory is in the graph: ``(user_id, cat, sub, condition)``."""
+    return _anchored(dealt(profiles, USER_ROWS), graph)
+
+
+def _anchored(profiles: DataFrame, graph: DataFrame) -> DataFrame:
     conditions = (
         profiles.select("user_id", F.explode("conditions").alias("c")).where(F.coalesce("c.active", F.lit(True)))
         .select("user_id", F.concat(F.lit("cat:"), "c.category_id").alias("cat"),
@@ -161,8 +170,9 @@ def medication_boosts(profiles: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def user_overlay(profiles: DataFrame, graph: DataFrame) -> DataFrame:
-    """All boosts of all users."""
-    anchors = anchored(profiles, graph)
+    """All boosts of all users.  Users are dealt over tasks by their number, since each becomes many rows."""
+    profiles = dealt(profiles, USER_ROWS)
+    anchors = _anchored(profiles, graph)
     parts = [anchor_boosts(anchors, graph), expand_boosts(anchors, graph), comorbidity_boosts(profiles, graph),
              demographic_boosts(profiles, anchors, graph), medication_boosts(profiles, graph)]
     out = parts[0].select(*BOOST_COLUMNS)
@@ -171,21 +181,24 @@ def user_overlay(profiles: DataFrame, graph: DataFrame) -> DataFrame:
     return out
 
 
-def both_directions(boosts: DataFrame) -> DataFrame:
-    """Positive boosts summed per (user, src, dst) with each boost counted for the edge and its reverse."""
+def both_directions(boosts: DataFrame, parts: int) -> DataFrame:
+    """Positive boosts summed per (user, src, dst) with each boost counted for the edge and its reverse, in ``parts`` tasks."""
     ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return (
-        boosts.where(F.col("boost") > 0).select("user_id", "boost", F.explode(ends).alias("e"))
-        .groupBy("user_id", "e.src", "e.dst").agg(F.sum("boost").alias("boosts"))
-    )
+    # dealt by edge before they are summed: hardly two are the same edge of a user, so sums per task would only fill its memory
+    each = boosts.where(F.col("boost") > 0).select("user_id", "boost", F.explode(ends).alias("e")).select("user_id", "e.src", "e.dst", "boost")
+    return each.repartition(parts, *EDGE).groupBy(*EDGE).agg(F.sum("boost").alias("boosts"))
 
 
 def retrieval_plan(queries: DataFrame, graph: DataFrame, boosts: DataFrame, history: DataFrame, anchors: DataFrame, now: Column) -> DataFrame:
     """JN-07, JN-08, PRJ-25: ``(query_id, category, weight, bucket)``.
 
     ``queries`` is ``(query_id, user_id, primary_category)``; ``history`` is ``(user_id, src, dst, cnt, last_used)``.
+    What meets on (user, src, dst) is dealt over tasks by the number of queries and anchors, both counted first; users
+    without either have boosts too, so there are never fewer tasks than Spark's own shuffles have.
     """
-    total = both_directions(boosts)
+    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts_of(queries, PLAN_ROWS), parts_of(anchors, PLAN_ROWS), least)
+    total = both_directions(boosts, parts)
     asked = queries.select("query_id", "user_id", F.concat(F.lit("cat:"), "primary_category").alias("src"))
     out = graph.where(F.col("src").startswith("cat:") & F.col("dst").startswith("cat:")).select("src", "dst", "base_weight")
     linked = checked_broadcast(out)
@@ -200,9 +213,9 @@ def retrieval_plan(queries: DataFrame, graph: DataFrame, boosts: DataFrame, hist
     )
     days = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_used").cast("timestamp"))) / 86_400_000_000)
     weighted = (
-        direct.unionByName(extra)
-        .join(total, ["user_id", "src", "dst"], "left")
-        .join(history, ["user_id", "src", "dst"], "left")
+        direct.unionByName(extra).repartition(parts, *EDGE)
+        .join(total, EDGE, "left")
+        .join(history.repartition(parts, *EDGE), EDGE, "left")
         .where(F.col("direct") | F.col("boosts").isNotNull())
         .withColumn("weight", W.effective_weight(
             F.col("base_weight"), F.coalesce("boosts", F.lit(0.0)),

@@ -85,3 +85,18 @@ def test_profile_change_keeps_other_users(spark, graph, profiles):
     assert new.where("user_id = 'b'").count() == old.where("user_id = 'b'").count()
     assert new.where("user_id = 'a' and source_type = 'medication'").count() == 0
     assert set(K.CATEGORIES) >= {r.c for r in new.select(F.substring("src", 5, 50).alias("c")).where("not c like '%:%'").distinct().collect()}
+
+
+def test_users_and_their_edges_are_dealt_by_their_number(spark, graph, profiles, monkeypatch):
+    monkeypatch.setattr(G, "USER_ROWS", 1)
+    monkeypatch.setattr(G, "PLAN_ROWS", 1)
+    one = profiles.coalesce(1)
+    boosts, anchors = G.user_overlay(one, graph), G.anchored(one, graph)
+    assert "RoundRobinPartitioning(3)" in boosts._jdf.queryExecution().toString()
+    assert values(boosts, "user_id", "src", "dst") == values(G.user_overlay(profiles, graph), "user_id", "src", "dst")
+    queries = spark.range(9).select(F.col("id").alias("query_id"), F.element_at(F.array(F.lit("a"), F.lit("c"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("user_id"), F.lit(HEART).alias("primary_category"))
+    history = spark.createDataFrame([("c", f"cat:{HEART}", f"cat:{EYES}", 5, "2024-01-01")], "user_id string, src string, dst string, cnt long, last_used string").withColumn("last_used", F.to_timestamp("last_used"))
+    plan = G.retrieval_plan(queries, graph, boosts, history, anchors, F.lit("2024-03-31").cast("timestamp"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") >= 3 and ", 9), REPARTITION_BY_NUM" in text
+    assert {r.query_id for r in plan.where(F.col("category") == EYES).collect()} == set(range(9))
