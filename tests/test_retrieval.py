@@ -310,3 +310,13 @@ def test_answering_end_to_end(spark):
     assert {r.query_id: r.method for r in confidence.collect()} == {1: "keyword", 2: "embedding"}
     got = hits.groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {1: 4, 2: 4}
+
+
+def test_phrases_beyond_one_part_are_searched_for_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(C, "phrase_parts", lambda *_: pytest.fail("the phrase table was sent to the driver"))
+    r = random.Random(3)
+    phrases = ["".join(r.choice("abé") for _ in range(r.randint(1, 5))) for _ in range(300)]
+    texts = [(i, "".join(r.choice("abé ") for _ in range(60))) for i in range(20)] + [(20, None), (21, "")]
+    table = spark.createDataFrame([(p, k) for k, p in enumerate(phrases + ["", None])], "phrase string, number int").repartition(3)
+    got = C.contained(spark.createDataFrame(texts, "id int, text string"), F.col("text"), table, "phrase", inline=0, part_phrases=70)
+    assert values(got, "id", "number") == sorted((i, k) for i, t in texts for k, p in enumerate(phrases) if t and p in t)
