@@ -17,6 +17,8 @@ from caresift.session import shared_dir
 SLICE_BYTES = 1 << 18
 #: Bytes of an Arrow batch on its way to Python.
 BATCH_BYTES = 4 << 20
+#: Rows of a few numbers that are worth a task and a file of their own.
+TASK_ROWS = 50_000
 
 #: White space of the word contract, [\x20\x09-\x0D].
 WHITE_SPACE = (9, 10, 11, 12, 13, 32)
@@ -36,6 +38,11 @@ def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as about ``rows`` rows ask for, one for each core at least: tiny files cost more time than their rows."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table that ``stored`` wrote and nothing needs any more."""
     spark = df.sparkSession

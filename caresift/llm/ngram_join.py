@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caresift.llm.common import (
-    WHITE_SPACE, WordHasher, binary_rows, full_windows, group_starts, mixed, separators, shuffle_partitions, small_batches, stored, text_slices,
+    WHITE_SPACE, WordHasher, binary_rows, few_tasks, full_windows, group_starts, mixed, separators, shuffle_partitions, small_batches, stored, text_slices,
     whole_groups, window_hashes, word_bounds,
 )
 from caresift.llm.components import components
@@ -208,6 +208,8 @@ def asked_prefixes(classes: DataFrame, forest: Forest, many: int) -> DataFrame:
     sizes = labels.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     members = stored(labels.join(sizes, ["tree", "key"]), "jaccard-labels")
     crowded = F.col("m") > many
+    n_crowded = members.where(crowded).count()
+    n_longer = n_crowded * (forest.deepest - forest.shortest + 1)
     sketches = classes.select("node", "sketch")
 
     # Nodes of many labels, at every length: with what number of values does a label leave them?
@@ -215,7 +217,8 @@ def asked_prefixes(classes: DataFrame, forest: Forest, many: int) -> DataFrame:
     grown = members.where(crowded).join(sketches, "node").select("node", "tree", "key", "sketch", F.explode(longer).alias("length"))
     grown = grown.select("node", "tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix"))
     place = ["tree", "key", "length", "prefix"]
-    large = stored(grown.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select(*place), "jaccard-large")
+    large = grown.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select(*place)
+    large = stored(few_tasks(large, n_longer), "jaccard-large")
     left = grown.join(checked_broadcast(large), place, "left_semi").groupBy("node", "tree").agg((F.max("length") + 1).alias("small"))
     uneven = (
         members.where(crowded).join(left, ["node", "tree"], "left")
@@ -234,16 +237,18 @@ def asked_prefixes(classes: DataFrame, forest: Forest, many: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(lengths.ravel()))], ["node", "lengths"])
 
     usual = F.lit(forest.prefix_lengths(np.full((1, forest.trees), forest.shortest))[0].tolist())
-    planned = uneven.mapInArrow(plan, "node bigint, lengths array<int>")
+    # written: both the few and the many look them up
+    planned = stored(few_tasks(uneven, n_crowded).mapInArrow(plan, "node bigint, lengths array<int>"), "jaccard-planned")
     length = F.element_at(F.coalesce("lengths", usual), F.col("tree") + 1)
     asking = members.join(planned, "node", "left").join(sketches, "node").select("node", "tree", "key", "m", "sketch", length.alias("length"))
     few = asking.where(~crowded).select("node", "tree", "length", F.col("key").alias("bucket"), "m", "sketch")
-    if large.isEmpty() and not members.where(crowded).limit(1).count():
+    if not n_crowded:
         return few
 
     # In a large node, a label stands in the largest of the nodes on its way that somebody asks for.
-    many_asking = stored(asking.where(crowded), "jaccard-crowded")
-    asked = stored(many_asking.select("tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix")).distinct(), "jaccard-asked")
+    many_asking = stored(few_tasks(asking.where(crowded), n_crowded), "jaccard-crowded")
+    asked = many_asking.select("tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix")).distinct()
+    asked = stored(few_tasks(asked, n_crowded), "jaccard-asked")
     every = F.sequence(F.lit(forest.shortest), F.lit(forest.deepest))
     way = many_asking.select("node", "tree", "key", "sketch", F.explode(every).alias("length")).select("node", "tree", "key", "length", _prefix(forest, F.col("length")).alias("prefix"))
     top = way.join(checked_broadcast(asked), place, "left_semi").groupBy("node", "tree").agg(F.min("length").alias("top"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from caresift.llm import ngram_join
+from caresift.llm.common import stored
 from caresift.llm.components import components
 
 
@@ -166,3 +167,23 @@ def test_crowded_nodes_are_split_by_longer_prefixes(spark):
         for tree, key in enumerate(held):
             flat.setdefault((tree, key), []).append(node)
     assert forest_nodes < sum(len(h) ** 2 for h in flat.values() if len(h) > 1), "pairs within nodes, against the shortest prefixes alone"
+
+
+def test_steps_of_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    from caresift.llm import components as M
+
+    written = []
+    monkeypatch.setattr(M, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    monkeypatch.setattr(M, "forget", lambda df: None)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10] + [(7, None)], "a bigint, b bigint")
+        got = {r.node: r.component for r in M.components(edges).collect()}
+        files = [len(df.inputFiles()) for df in written]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {k: max(1, (k - 1) // 10 * 10 + 1) for k in range(1, 301)}
+    assert max(files[1:]) <= spark.sparkContext.defaultParallelism < files[0]
