@@ -375,3 +375,34 @@ def test_few_stems_and_few_scored_records_are_broadcast(spark, indexed, monkeypa
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     best = next(p for path, p in plans if path.endswith("/best"))
     assert re.search(r"BroadcastHashJoin \[source_table#\d+, record_id#\d+L?\], .*LeftSemi", best)
+
+
+def test_lists_of_records_are_dealt_once_and_then_summed(spark, monkeypatch):
+    plans, write = {}, R._written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "_written", lambda df, path: plans.update({path.rpartition("/")[2]: plan(df)}) or write(df, path))
+    r = random.Random(11)
+    words = ["pain", "pains", "the", *(f"w{k}" for k in range(20))]
+    docs = [(r.choice(["a", "b", None]), r.choice([None, *(str(k) for k in range(90))]), " ".join(r.choice(words) for _ in range(r.randint(0, 30)))) for _ in range(300)]
+    corpus = spark.createDataFrame(docs, "source_table string, record_id string, text string").coalesce(1)
+    want = {}
+    for table, record, text in docs:
+        for w in text.split():
+            if w != "the":
+                key = (str(table), str(record), w.removesuffix("s"))
+                want[key] = want.get(key, 0) + 1 / (1 + math.log(len(text.split())))
+    for block, chunk in ((1 << 20, 1000), (400, 40)):
+        monkeypatch.setattr(R, "BLOCK_BYTES", block)
+        monkeypatch.setattr(R, "COUNTED_BYTES", min(block, 300))
+        monkeypatch.setattr(R, "CHUNK_RECORDS", chunk)
+        monkeypatch.setattr(R, "POSTING_ROWS", 200)
+        index = R.build_postings(corpus, buckets=4)
+        rows = index.table(spark, "postings").collect()
+        assert {(str(x.source_table), str(x.record_id), x.stem): round(x.weight, 9) for x in rows} == {k: round(v, 9) for k, v in want.items()} and len(rows) == len(want)
+        heads = {x.stem: (x.records, round(x.top, 9)) for x in index.table(spark, "heads").collect()}
+        assert heads == {s: (sum(k[2] == s for k in want), round(max(v for k, v in want.items() if k[2] == s), 9)) for s in {k[2] for k in want}}
+        if block > 400:  # a row for each word and table of a block, not for each word of a record
+            lists = spark.read.parquet(f"{index.folder}/words")
+            assert lists.count() == 22 * 3 and "Exchange" not in plans["words"] and "stems" not in plans
+            dealt = plan(R.dealt_postings(lists, 5, 4))
+            assert dealt.count("Exchange") == 1 and "Join" not in dealt
