@@ -406,3 +406,18 @@ def test_lists_of_records_are_dealt_once_and_then_summed(spark, monkeypatch):
             assert lists.count() == 22 * 3 and "Exchange" not in plans["words"] and "stems" not in plans
             dealt = plan(R.dealt_postings(lists, 5, 4))
             assert dealt.count("Exchange") == 1 and "Join" not in dealt
+
+
+def test_texts_stay_where_they_are_while_labels_are_two_million_at_most(spark, tmp_path):
+    from caresift.catalog import retrieval
+
+    spark.createDataFrame([(1, "a", 1), (200_001, "b", 400), (300_000, None, None)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(200_002).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = retrieval.records(spark, str(tmp_path))
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert values(df, "record_id", "source_table") == [(1, retrieval.TABLES[0]), (200_001, retrieval.TABLES[0]), (300_000, retrieval.TABLES[0])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
